@@ -309,5 +309,9 @@ def eval_freeze(b) -> DataFrame:
     earlier = Book(b.sources, replace(b.p, as_of=b.p.month_ends[-2]))
     closed = earlier.p.month_ends[1:]
     pick = lambda k: history.carr_account_month_end(k).where(F.col("month_end").isin(closed))
-    diff = history.restatement_diff(pick(earlier), pick(later)).agg(F.count("*").alias("n_changed"))
-    return diff.withColumn("identical", F.col("n_changed") == 0)
+    old = pick(earlier).select("month_end", "account_id", F.col("carr").alias("old"))
+    new = pick(later).select("month_end", "account_id", F.col("carr").alias("new"))
+    both = old.join(new, ["month_end", "account_id"], "full_outer")
+    changed = F.count_if(~F.col("old").eqNullSafe(F.col("new")))
+    row = both.agg(F.count("*").alias("n_rows"), changed.alias("n_changed"))
+    return row.withColumn("identical", F.col("n_changed") == 0)
