@@ -20,7 +20,10 @@ def daynum(d: Column | str) -> Column:
 
 
 def daily_deltas(contracts: DataFrame) -> DataFrame:
-    """(account_id, day, d_n, d_arr, d_included): what changes on that day. An end takes effect the day after."""
+    """(account_id, day, d_n, d_arr_cents, d_included): what changes on that day. An end takes effect the day after.
+
+    Money is summed in whole cents, which stays exact and inside code generation.
+    """
     steps = F.array(
         F.struct(F.col("start_date").alias("day"), F.lit(1).alias("sign")),
         F.struct(F.date_add("end_date", 1).alias("day"), F.lit(-1).alias("sign")),
@@ -32,7 +35,7 @@ def daily_deltas(contracts: DataFrame) -> DataFrame:
         .groupBy("account_id", F.col("step.day").alias("day"))
         .agg(
             F.sum(s.cast("bigint")).alias("d_n"),
-            F.sum((F.col("annual_commit_dollars") * s).cast("decimal(20,2)")).alias("d_arr"),
+            F.sum((F.col("annual_commit_dollars") * 100).cast("bigint") * s).alias("d_arr_cents"),
             F.sum(F.col("included_monthly_credits") * s).alias("d_included"),
         )
     )

@@ -17,6 +17,12 @@ from ..session import ready_for_checkpoint
 SLICE = "_slice"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder, for a small result that several order statistics read."""
+    ready_for_checkpoint(df.sparkSession)
+    return df.checkpoint()
+
+
 def running_totals(
     df: DataFrame, group: list[str], value: str, sums: dict[str, Column], slices: int, descending: bool = False
 ) -> DataFrame:

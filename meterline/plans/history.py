@@ -1,9 +1,11 @@
 """The metric on many days at once, month-end snapshots, and corrections to closed months.
 
-Contract changes, daily usage and the requested days are stacked into one event stream per account, and
-every input of the score is a running or range sum over it: one shuffle and one sort by account, no join of
-days with contracts or with usage, no loop over days. An account contributes at most a few rows per calendar
-day to its window.
+Every input of the score is a sum that changes only on known days: a contract counts from its start to the day
+after its end, a day's usage enters the window on its day and leaves it ``window_days`` later. These changes
+form one stream per account, running sums over it give the state from each change to the next, and only then are
+the requested days unfolded from the stretches between changes. That is one shuffle and one sort of the
+changes by account: no join of days with contracts or usage, no sliding frame, no loop over days. An account
+has at most a few changes per calendar day, because contracts and usage are summed per (account, day) before.
 """
 
 from __future__ import annotations
@@ -36,47 +38,82 @@ def every_day(low: date, high: date) -> tuple[Days, date, date]:
     return days, low, high
 
 
-def daily_state(b, request: tuple[Days, date, date]) -> DataFrame:
-    """Per account and requested day on which it has an active contract: contract sums and window usage."""
-    days, low, high = request
+def _changes(b, low: date, high: date) -> DataFrame:
+    """(account_id, day, n, arr, included, oldest, used, early): what changes on that day; money in cents."""
     p = b.p
     contracts = b.stg_contracts.where(F.col("start_date") <= F.lit(high))
-    none = lambda t, n: F.lit(None).cast(t).alias(n)
-
-    asked = I.active_stretches(contracts).select(
-        "account_id", F.explode(days(F.col("from_day"), F.col("to_day"))).alias("day"), "oldest_active_start"
+    names = ("n", "arr", "included", "oldest", "used", "early")
+
+    def shaped(df: DataFrame, day: Column, **cells: Column) -> DataFrame:
+        zero = F.lit(0).cast("bigint")
+        return df.select("account_id", day.alias("day"), *[cells.get(n, zero).cast("bigint").alias(n) for n in names])
+
+    signed = shaped(
+        I.daily_deltas(contracts),
+        F.col("day"),
+        n=F.col("d_n"),
+        arr=F.col("d_arr_cents"),
+        included=F.col("d_included"),
     )
-    deltas = I.daily_deltas(contracts).where(F.col("day") <= F.lit(high))
-    used = b.valid_daily.where(
-        (F.col("usage_date") > F.date_sub(F.lit(low), p.window_days)) & (F.col("usage_date") <= F.lit(high))
+    # The stretches of an account are disjoint, so a running sum holds the start day of the current one.
+    stretch = I.active_stretches(contracts)
+    old = I.daynum("oldest_active_start")
+    stretches = shaped(
+        stretch.select(
+            "account_id",
+            F.inline(
+                F.array(
+                    F.struct(F.col("from_day").alias("at"), old.alias("v")),
+                    F.struct(F.date_add("to_day", 1).alias("at"), (-old).alias("v")),
+                )
+            ),
+        ),
+        F.col("at"),
+        oldest=F.col("v"),
+    )
+    # Usage enters the window, moves into its first month, and leaves both on the same day.
+    cents = (F.col("credits_consumed") * 100).cast("bigint")
+    none = F.lit(0).cast("bigint")
+    move = lambda after, used, early: F.struct(
+        F.lit(after).alias("after"), used.alias("used"), early.alias("early")
+    )
+    moves = F.array(
+        move(0, cents, none), move(p.window_days - p.m1_days, none, cents), move(p.window_days, -cents, -cents)
     )
-    events = (
-        asked.select("account_id", "day", "oldest_active_start", none("bigint", "d_n"), none("decimal(30,2)", "d_arr"),
-                     none("bigint", "d_included"), none("decimal(28,2)", "credits"))
-        .unionByName(deltas.select("account_id", "day", none("date", "oldest_active_start"), "d_n",
-                                   F.col("d_arr").cast("decimal(30,2)").alias("d_arr"), "d_included",
-                                   none("decimal(28,2)", "credits")))
-        .unionByName(used.select("account_id", F.col("usage_date").alias("day"), none("date", "oldest_active_start"),
-                                 none("bigint", "d_n"), none("decimal(30,2)", "d_arr"), none("bigint", "d_included"),
-                                 F.col("credits_consumed").alias("credits")))
-        .withColumn("_day", I.daynum("day"))
+    seen = b.valid_daily.where(
+        (F.col("usage_date") > F.date_sub(F.lit(low), p.window_days)) & (F.col("usage_date") <= F.lit(high))
+    ).select("account_id", "usage_date", F.inline(moves))
+    usage = shaped(seen, F.date_add(F.col("usage_date"), F.col("after")), used=F.col("used"), early=F.col("early"))
+    return signed.unionByName(stretches).unionByName(usage).where(F.col("day") <= F.lit(high))
+
+
+def daily_state(b, request: tuple[Days, date, date]) -> DataFrame:
+    """Per account and requested day on which it has an active contract: contract sums and window usage."""
+    days, low, high = request
+    line = W.partitionBy("account_id").orderBy("day")
+    run = line.rowsBetween(W.unboundedPreceding, 0)
+    total = lambda c: F.sum(c).over(run).alias(c)
+    # A stretch unfolds to many days, so the input bytes that adaptive coalescing goes by say little about this stage;
+    # the session's own number of partitions is kept.
+    partitions = int(b.spark.conf.get("spark.sql.shuffle.partitions"))
+    # Of several changes on one day only the last has days before the next change, and it holds them all.
+    held = _changes(b, low, high).repartition(partitions, "account_id").select(
+        "account_id",
+        F.col("day").alias("since"),
+        F.coalesce(F.date_sub(F.lead("day").over(line), 1), F.lit(high)).alias("until"),
+        *[total(c) for c in ("n", "arr", "included", "oldest", "used", "early")],
     )
-    line = W.partitionBy("account_id").orderBy("_day")
-    run = line.rangeBetween(W.unboundedPreceding, 0)
-    window = line.rangeBetween(1 - p.window_days, 0)
-    first_month = line.rangeBetween(1 - p.window_days, p.m1_days - p.window_days)
-    zero = F.lit(0).cast("decimal(28,2)")
-    state = events.select(
+    money = lambda c: (F.col(c).cast("decimal(26,0)") / 100).cast("decimal(28,2)")
+    return held.where((F.col("n") > 0) & (F.col("until") >= F.greatest(F.col("since"), F.lit(low)))).select(
         "account_id",
-        "day",
-        "oldest_active_start",
-        F.sum("d_n").over(run).alias("n_active_contracts"),
-        F.sum("d_arr").over(run).alias("active_committed_arr"),
-        F.sum("d_included").over(run).alias("included_monthly_credits"),
-        F.coalesce(F.sum("credits").over(window), zero).alias("credits_90d"),
-        F.coalesce(F.sum("credits").over(first_month), zero).alias("credits_month_1"),
+        F.explode(days(F.col("since"), F.col("until"))).alias("day"),
+        F.date_add(F.lit(date(1970, 1, 1)), F.col("oldest").cast("int")).alias("oldest_active_start"),
+        F.col("n").alias("n_active_contracts"),
+        money("arr").alias("active_committed_arr"),
+        F.col("included").alias("included_monthly_credits"),
+        money("used").alias("credits_90d"),
+        money("early").alias("credits_month_1"),
     )
-    return state.where(F.col("oldest_active_start").isNotNull())
 
 
 def metric_on(b, request: tuple[Days, date, date]) -> DataFrame:

@@ -138,7 +138,7 @@ def eval_rank_spearman(b) -> DataFrame:
 def _ranked_on_both_days(b) -> DataFrame:
     """Reps present on both days, ranked among each other."""
     p = b.p
-    reps = trends._both_days(b, ["rep_id"]).where("carr IS NOT NULL AND prev_carr IS NOT NULL")
+    reps = O.settled(trends.both_days(b, ["rep_id"]).where("carr IS NOT NULL AND prev_carr IS NOT NULL"))
     now = O.ranked_values(reps, [], "carr", p.ordered_slices, descending=True).select("carr", "rank", "avg_rank")
     before = O.ranked_values(reps, [], "prev_carr", p.ordered_slices, descending=True).select(
         "prev_carr", F.col("rank").alias("prev_rank"), F.col("avg_rank").alias("prev_avg_rank")
@@ -173,7 +173,7 @@ def eval_param_grid(b) -> DataFrame:
     base = S.base_score(F.col("utilization_u"), p, floor=F.col("hs_floor"))
     hs = F.greatest(F.col("hs_floor"), F.least(F.col("hs_cap"), base * F.col("modifier")))
     carr = (money("committed_arr") * hs).cast(CARR_SUM)
-    reps = grid.groupBy("cell", "rep_id").agg(F.sum(carr).alias("carr"))
+    reps = O.settled(grid.groupBy("cell", "rep_id").agg(F.sum(carr).alias("carr")))
     ranked = O.ranked_values(reps, ["cell"], "carr", p.ordered_slices, descending=True)
     by_rep = (
         salted_join(reps, ranked.select("cell", "carr", "avg_rank"), ["cell", "carr"], ["rep_id"], p.skew_salts, "inner")

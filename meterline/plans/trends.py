@@ -67,7 +67,7 @@ def account_history(b) -> DataFrame:
     return used.unionByName(signed)
 
 
-def _both_days(b, keys: list[str]) -> DataFrame:
+def both_days(b, keys: list[str]) -> DataFrame:
     """Sums per key on the as-of date and on the earlier date, as columns of one row."""
     now = F.col("as_of_date") == F.lit(b.p.as_of)
     carr = F.col("carr").cast(CARR_SUM)
@@ -80,7 +80,7 @@ def _both_days(b, keys: list[str]) -> DataFrame:
 def rep_movement(b) -> DataFrame:
     """Per rep: rank by carr on both days (1 = highest; ties share the better rank), movement and change."""
     p = b.p
-    reps = _both_days(b, ["rep_id"])
+    reps = O.settled(both_days(b, ["rep_id"]))
     ranks = lambda c: O.ranked_values(reps, [], c, p.ordered_slices, descending=True)
     now = ranks("carr").select("carr", "rank", F.col("avg_rank"))
     before = ranks("prev_carr").select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,12 +71,22 @@ PLANS: dict[str, Plan] = {
 }
 
 
+@lru_cache(maxsize=8)
+def _book(app_id: str, spark: SparkSession, folder: str, params: Params | None) -> Book:
+    return Book(load(spark, folder), params)
+
+
+def book(spark: SparkSession, folder: str, params: Params | None = None) -> Book:
+    """The lazily built plans over one folder; shared by all queries of a session. Holds plans, never data."""
+    return _book(spark.sparkContext.applicationId, spark, folder, params)
+
+
 def run(key: str, spark: SparkSession, folder: str, params: Params | None = None) -> DataFrame:
     """One query over the given tables in ``folder``, with its published column types."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     if key == "stream_daily_rollup":
         return publish(roundtrips.stream_daily_rollup(spark, folder))
-    return publish(PLANS[key](Book(load(spark, folder), params)))
+    return publish(PLANS[key](book(spark, folder, params)))
 
 
 KEYS = [*PLANS, "stream_daily_rollup"]

@@ -281,8 +281,8 @@ def share_of(cond: str, where: str) -> str:
 
 def eval_row(check: str, k: str, observed: str, second: str, ok: str) -> str:
     return (
-        f"SELECT '{check}' AS check_id, '{check[:2]}' AS tier, {n(k, 'n')}, {r(observed, 'observed')}, "
-        f"{r(second, 'second')}, COALESCE({ok}, FALSE) AS passed"
+        f"SELECT '{check}' AS check_id, '{check[:2]}' AS tier, {n(k, 'n')}, CAST({observed} AS DOUBLE) AS observed, "
+        f"CAST({second} AS DOUBLE) AS second, COALESCE({ok}, FALSE) AS passed"
     )
 
 
@@ -404,7 +404,7 @@ SCHEMA_COLUMNS = rows(
     ]
 )
 
-SPEC = f"""SELECT account_id, {m('committed_arr')}, {n('contract_age_days')}, {m('included_90d')}, {m('credits_90d')},
+SPEC = f"""SELECT account_id, {m('committed_arr')}, {n('contract_age_days')}, {r('included_90d')}, {m('credits_90d')},
     {r('utilization_u')}, {r('m1_share')}, is_expanded AS expanded, {r('base_score')}, {r('modifier')},
     {r('healthscore')}, {m('CAST(committed_arr AS DOUBLE) * healthscore', 'carr')}
     FROM (SELECT *, GREATEST(0.40::DOUBLE, LEAST(1.30::DOUBLE, base_score * modifier)) AS healthscore FROM
@@ -679,7 +679,7 @@ FINALS: dict[str, str] = {
     "join_semi_range_usage_contract": f"SELECT {LOG} FROM clean_usage",
     "split_clean_orphan": f"""SELECT {LOG}, CASE WHEN log_id IN (SELECT log_id FROM clean_usage) THEN 'clean' ELSE 'orphan' END
         AS side FROM stg_daily_usage_logs""",
-    "spec_included_90d": f"SELECT account_id, {m('included_90d')} FROM included_90d",
+    "spec_included_90d": f"SELECT account_id, {r('included_90d')} FROM included_90d",
     "spec_m1_share": f"""SELECT account_id, contract_id, {m('credits_90d')}, {m('credits_month_1')},
         {r('CASE WHEN credits_90d <> 0 THEN CAST(credits_month_1 AS DOUBLE) / CAST(credits_90d AS DOUBLE) END', 'm1_share')}
         FROM spec_m1""",
@@ -747,7 +747,7 @@ FINALS: dict[str, str] = {
     "dq_fresh": FRESH,
     "dq_catalog": rows(NOT_NULL, ENUM, PK, REF, BIZ, RATE, VOLUME, METRIC, ORPHAN_AB, RECON, FRESH),
     # ---- evals ----
-    "eval_results": EVALS,
+    "eval_results": f"SELECT check_id, tier, n, {r('observed')}, {r('second')}, passed FROM ({EVALS})",
     "eval_tier_summary": f"""SELECT tier, {COUNT} AS n_checks, {n_if('passed', 'n_pass')}, {n_if('NOT passed', 'n_fail')},
         tier IN ('T1', 'T4', 'T5') AND COUNT(CASE WHEN NOT passed THEN 1 END) > 0 AS stops_release
         FROM ({EVALS}) GROUP BY tier""",
