@@ -2,8 +2,7 @@
 
 Contracts are first reduced to one row per (account, day of the calendar): daily deltas, or the latest end
 per start day. Windows per account then run over at most one row per calendar day, however many contracts
-an account has. Row-level neighbours are found inside (account, start day) slices, with the last contract of
-the previous start day carried over.
+an account has.
 """
 
 from __future__ import annotations
@@ -120,28 +119,6 @@ def max_concurrency(contracts: DataFrame, low: date, high: date) -> DataFrame:
     )
 
 
-def with_previous(contracts: DataFrame, cols: list[str], into: str) -> DataFrame:
-    """Adds struct ``into`` = ``cols`` of the account's previous contract by (start_date, contract_id).
-
-    Neighbours inside one start day come from a window over that day. The first contract of a day takes the
-    last contract of the account's previous start day, found over one row per start day.
-    """
-    rec = F.struct(*cols)
-    day = W.partitionBy("account_id", "start_date").orderBy("contract_id")
-    last_of_day = contracts.groupBy("account_id", "start_date").agg(F.max_by(rec, F.col("contract_id")).alias("_last"))
-    carried = last_of_day.select(
-        "account_id",
-        "start_date",
-        F.lag("_last").over(W.partitionBy("account_id").orderBy("start_date")).alias("_carried"),
-    )
-    inner = contracts.withColumn("_prev", F.lag(rec).over(day))
-    return (
-        inner.join(carried, ["account_id", "start_date"])
-        .withColumn(into, F.coalesce("_prev", "_carried"))
-        .drop("_prev", "_carried")
-    )
-
-
 def overlap_counts(contracts: DataFrame) -> DataFrame:
     """(account_id, n_overlapping_pairs): consecutive contracts where the earlier ends after the later starts.
 

@@ -1,9 +1,12 @@
-"""Exact global order statistics without a global window.
+"""Exact order statistics and neighbours without a window over an unbounded group.
 
-Equal values are first collapsed to one row by a partially aggregated ``groupBy``, so ties never pile up.
-The distinct values are range-partitioned into slices and checkpointed, which fixes the slice borders for
-every later use (and after the loss of an executor). Running totals are then the slice's own running
-totals plus the totals of the slices before it; the only unsliced window runs over one row per slice.
+Rows are range-partitioned into slices and checkpointed, which fixes the slice borders for every later use (and
+after the loss of an executor). A window then runs inside one slice of a group, and one small row per slice carries
+totals, or the last row, on to the next slice; only those small rows see a window over the whole group. For
+order statistics equal values are first collapsed to one row by a partially aggregated ``groupBy``, so ties
+never pile up.
+
+``slices`` None takes the session's number of shuffle partitions.
 """
 
 from __future__ import annotations
@@ -17,6 +20,13 @@ from ..session import ready_for_checkpoint
 SLICE = "_slice"
 
 
+def _sliced(df: DataFrame, order: list, slices: int | None) -> DataFrame:
+    spark = df.sparkSession
+    ready_for_checkpoint(spark)
+    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *order).withColumn(SLICE, F.spark_partition_id()).checkpoint()
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder, for a small result that several order statistics read."""
     ready_for_checkpoint(df.sparkSession)
@@ -24,19 +34,13 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def running_totals(
-    df: DataFrame, group: list[str], value: str, sums: dict[str, Column], slices: int, descending: bool = False
+    df: DataFrame, group: list[str], value: str, sums: dict[str, Column], slices: int | None = None, descending: bool = False
 ) -> DataFrame:
     """One row per (group, value) with each sum, its total ``<name>_before`` over smaller values of the group
     (larger if ``descending``) and its group total ``<name>_all``."""
-    ready_for_checkpoint(df.sparkSession)
     order = F.col(value).desc() if descending else F.col(value).asc()
-    sliced = (
-        df.groupBy(*group, value)
-        .agg(*[c.alias(n) for n, c in sums.items()])
-        .repartitionByRange(slices, *group, order)
-        .withColumn(SLICE, F.spark_partition_id())
-        .checkpoint()
-    )
+    totals = df.groupBy(*group, value).agg(*[c.alias(n) for n, c in sums.items()])
+    sliced = _sliced(totals, [*group, order], slices)
     by_slice = W.partitionBy(*group).orderBy(SLICE)
     before = by_slice.rowsBetween(W.unboundedPreceding, -1)
     everything = W.partitionBy(*group)
@@ -58,7 +62,7 @@ def running_totals(
     )
 
 
-def ranked_values(df: DataFrame, group: list[str], value: str, slices: int, descending: bool = False) -> DataFrame:
+def ranked_values(df: DataFrame, group: list[str], value: str, slices: int | None = None, descending: bool = False) -> DataFrame:
     """(group, value, rank, avg_rank, n_all) per distinct non-NULL value."""
     t = running_totals(df.where(F.col(value).isNotNull()), group, value, {"n": F.count("*")}, slices, descending)
     return t.select(
@@ -70,7 +74,7 @@ def ranked_values(df: DataFrame, group: list[str], value: str, slices: int, desc
     )
 
 
-def percentiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float], slices: int) -> DataFrame:
+def percentiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float], slices: int | None = None) -> DataFrame:
     """Exact percentiles with linear interpolation, one column per name in ``probs``; NULL values are ignored."""
     t = running_totals(df.where(F.col(value).isNotNull()), group, value, {"n": F.count("*")}, slices)
     picks = []
@@ -90,3 +94,21 @@ def percentiles(df: DataFrame, group: list[str], value: str, probs: dict[str, fl
             (F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_w")).alias(n) for n in probs
         ],
     )
+
+
+def with_previous(
+    df: DataFrame, group: list[str], order: list[str], cols: list[str], into: str, slices: int | None = None
+) -> DataFrame:
+    """Adds struct ``into`` = ``cols`` of the row before in its group; ``order`` must be unique inside a group."""
+    rec = F.struct(*cols)
+    sliced = _sliced(df, [*group, *order], slices)
+    last = sliced.groupBy(*group, SLICE).agg(F.max_by(rec, F.struct(*order)).alias("_last"))
+    carried = last.select(
+        *group, SLICE, F.lag("_last").over(W.partitionBy(*group).orderBy(SLICE)).alias("_carried")
+    )
+    inner = sliced.withColumn("_prev", F.lag(rec).over(W.partitionBy(*group, SLICE).orderBy(*order)))
+    return (
+        inner.join(carried, [*group, SLICE])
+        .withColumn(into, F.coalesce("_prev", "_carried"))
+        .drop("_prev", "_carried", SLICE)
+    )

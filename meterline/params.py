@@ -59,7 +59,6 @@ class Params:
 
     # execution
     skew_salts: int = 8
-    ordered_slices: int = 16
 
     @property
     def window_start(self) -> date:

@@ -87,7 +87,7 @@ def measures(b) -> DataFrame:
     )
     rolled = b.int_usage_rolled.agg(F.coalesce(F.sum("credits_90d"), F.lit(0)).cast("double").alias("rolled_credits"))
     groups = mart.where(is_("overage") | mature).select("archetype", "healthscore")
-    med = O.percentiles(groups, ["archetype"], "healthscore", {"med": 0.5}, p.ordered_slices)
+    med = O.percentiles(groups, ["archetype"], "healthscore", {"med": 0.5})
     medians = med.agg(
         F.max(F.when(is_("overage"), F.col("med"))).alias("over_med"),
         F.max(F.when(is_("normal"), F.col("med"))).alias("mature_med"),

@@ -315,7 +315,7 @@ def pay_blend(b) -> DataFrame:
         F.explode(F.array(F.lit(0.30), F.lit(0.70))).alias("weight"), change.alias("_c")
     )
     blended = reps.withColumn("change", F.col("weight") * F.col("_c"))
-    q = O.percentiles(blended, ["weight"], "change", {"median_change": 0.5, "p95_change": 0.95}, b.p.ordered_slices)
+    q = O.percentiles(blended, ["weight"], "change", {"median_change": 0.5, "p95_change": 0.95})
     return q.select(
         "weight",
         "median_change",

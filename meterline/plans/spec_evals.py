@@ -32,7 +32,6 @@ def hs_dist_archetype(b) -> DataFrame:
         ["archetype"],
         "healthscore",
         {"p10": 0.1, "median": 0.5, "p90": 0.9},
-        b.p.ordered_slices,
     )
     low, high = [
         F.element_at(F.create_map(*[F.lit(x) for k, v in EXPECTED_MEDIAN.items() for x in (k, v[i])]), F.col("archetype"))
@@ -42,14 +41,14 @@ def hs_dist_archetype(b) -> DataFrame:
     return q.withColumn("passed", F.col("median").between(low - 0.10, high + 0.10))
 
 
-def _threshold(df: DataFrame, value: str, q: float, slices: int) -> DataFrame:
-    return O.percentiles(df.select(value), [], value, {"threshold": q}, slices)
+def _threshold(df: DataFrame, value: str, q: float) -> DataFrame:
+    return O.percentiles(df.select(value), [], value, {"threshold": q})
 
 
 def _share_beyond(b, value: str, q: float, label: str, below: bool, need: float) -> DataFrame:
     """Share of a label's accounts on the wanted side of a percentile of all accounts."""
     mart = labelled(b).select("archetype", F.col(value).cast("double").alias(value))
-    limit = _threshold(mart, value, q, b.p.ordered_slices).scalar()
+    limit = _threshold(mart, value, q).scalar()
     side = F.col(value) <= F.col("threshold") if below else F.col(value) >= F.col("threshold")
     row = (
         mart.withColumn("threshold", limit)
@@ -96,7 +95,7 @@ def _scorers(b) -> DataFrame:
 def eval_auc_pr(b) -> DataFrame:
     """Area under the precision-recall curve, lowest scores first; equal scores enter the curve together."""
     t = O.running_totals(
-        _scorers(b), ["scorer"], "score", {"n": F.count("*"), "pos": F.sum("at_risk")}, b.p.ordered_slices
+        _scorers(b), ["scorer"], "score", {"n": F.count("*"), "pos": F.sum("at_risk")}
     )
     precision = (F.col("pos_before") + F.col("pos")) / (F.col("n_before") + F.col("n"))
     step = F.when(F.col("pos_all") > 0, F.col("pos") / F.col("pos_all")) * precision
@@ -139,8 +138,8 @@ def _ranked_on_both_days(b) -> DataFrame:
     """Reps present on both days, ranked among each other."""
     p = b.p
     reps = O.settled(trends.both_days(b, ["rep_id"]).where("carr IS NOT NULL AND prev_carr IS NOT NULL"))
-    now = O.ranked_values(reps, [], "carr", p.ordered_slices, descending=True).select("carr", "rank", "avg_rank")
-    before = O.ranked_values(reps, [], "prev_carr", p.ordered_slices, descending=True).select(
+    now = O.ranked_values(reps, [], "carr", descending=True).select("carr", "rank", "avg_rank")
+    before = O.ranked_values(reps, [], "prev_carr", descending=True).select(
         "prev_carr", F.col("rank").alias("prev_rank"), F.col("avg_rank").alias("prev_avg_rank")
     )
     out = salted_join(reps, now, ["carr"], ["rep_id"], p.skew_salts, "inner")
@@ -174,7 +173,7 @@ def eval_param_grid(b) -> DataFrame:
     hs = F.greatest(F.col("hs_floor"), F.least(F.col("hs_cap"), base * F.col("modifier")))
     carr = (money("committed_arr") * hs).cast(CARR_SUM)
     reps = O.settled(grid.groupBy("cell", "rep_id").agg(F.sum(carr).alias("carr")))
-    ranked = O.ranked_values(reps, ["cell"], "carr", p.ordered_slices, descending=True)
+    ranked = O.ranked_values(reps, ["cell"], "carr", descending=True)
     by_rep = (
         salted_join(reps, ranked.select("cell", "carr", "avg_rank"), ["cell", "carr"], ["rep_id"], p.skew_salts, "inner")
         .groupBy("rep_id")

@@ -81,7 +81,7 @@ def rep_movement(b) -> DataFrame:
     """Per rep: rank by carr on both days (1 = highest; ties share the better rank), movement and change."""
     p = b.p
     reps = O.settled(both_days(b, ["rep_id"]))
-    ranks = lambda c: O.ranked_values(reps, [], c, p.ordered_slices, descending=True)
+    ranks = lambda c: O.ranked_values(reps, [], c, descending=True)
     now = ranks("carr").select("carr", "rank", F.col("avg_rank"))
     before = ranks("prev_carr").select(
         "prev_carr", F.col("rank").alias("prev_rank"), F.col("avg_rank").alias("prev_avg_rank")

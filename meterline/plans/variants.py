@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..operators import intervals as I
+from ..operators import ordered as O
 from ..operators.skew import salted_join
 from ..operators.usage import reconcile
 from .history import daily_state, every_day
@@ -237,10 +238,14 @@ def overlap_pairs(b) -> DataFrame:
 PAIR = ["contract_id", "start_date", "end_date", "included_monthly_credits"]
 
 
+def with_previous_contract(contracts: DataFrame, cols: list[str], into: str) -> DataFrame:
+    return O.with_previous(contracts, ["account_id"], ["start_date", "contract_id"], cols, into)
+
+
 def overlap_non_expansion(b) -> DataFrame:
     """Consecutive contracts that overlap by more than 30 days while included credits fell twice in a row."""
-    once = I.with_previous(b.stg_contracts.select("account_id", *PAIR), PAIR, "prev")
-    twice = I.with_previous(
+    once = with_previous_contract(b.stg_contracts.select("account_id", *PAIR), PAIR, "prev")
+    twice = with_previous_contract(
         once.withColumn("prev_included", F.col("prev.included_monthly_credits")), ["prev_included"], "before"
     )
     overlap = F.datediff(F.least("end_date", "prev.end_date"), F.greatest("start_date", "prev.start_date")) + 1
@@ -259,7 +264,7 @@ def overlap_non_expansion(b) -> DataFrame:
 
 def renewal_pattern(b) -> DataFrame:
     """Each contract against the account's previous one: overlapping, back_to_back, gap, or first."""
-    pairs = I.with_previous(b.stg_contracts.select("account_id", *PAIR), PAIR, "prev")
+    pairs = with_previous_contract(b.stg_contracts.select("account_id", *PAIR), PAIR, "prev")
     gap = F.datediff("start_date", "prev.end_date")
     kind = (
         F.when(F.col("prev").isNull(), "first")

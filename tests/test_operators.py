@@ -45,8 +45,12 @@ def test_previous_contract(spark):
     for g in per_account(rows).values():
         for prev, cur in zip([None, *g], g):
             want[cur[0]] = prev[0] if prev else None
-    got = I.with_previous(frame(spark, rows), ["contract_id"], "prev")
-    assert {r.contract_id: r.p for r in got.select("contract_id", F.col("prev.contract_id").alias("p")).collect()} == want
+    # More slices than accounts, so the hot account, and even one of its start days, spans several of them.
+    for slices in (1, 40):
+        got = O.with_previous(
+            frame(spark, rows), ["account_id"], ["start_date", "contract_id"], ["contract_id"], "prev", slices
+        ).select("contract_id", F.col("prev.contract_id").alias("p"))
+        assert {r.contract_id: r.p for r in got.collect()} == want
 
 
 def test_overlap_counts(spark):
