@@ -19,7 +19,21 @@ BAND_DISPLAY = {
     "healthy": "Healthy",
 }
 
-# Wording of the account narrative.
+# Wording of the account narrative. %s stands for a percentage, a count or a dollar amount.
+NO_SCORE_TEXT = "No active contract on the snapshot date; metric not computed."
+SCORE_TEXT = "HealthScore is **%s** — %s. cARR is %s against Committed ARR of %s."
+DRIVER_TEXT = {
+    "at_risk_shelfware": "Trailing-90-day utilization is only %s of included credits.",
+    "spike_drop": "Month-1 of the 90-day window accounts for %s of total usage — classic spike-drop.",
+    "expansion": "Utilization at %s with %s overlapping contracts — the account is expanding.",
+    "overage": "Utilization at %s, consistently above included — the customer is paying overage.",
+    "healthy": "Utilization at %s, within the healthy band; no anomaly flags tripped.",
+}
+OTHER_DRIVER_TEXT = "Utilization at %s; modifier=%s."
+NO_USAGE_TEXT = {
+    "at_risk_shelfware": "No usage observed in the trailing 90 days despite an active contract.",
+    "healthy": "No usage data yet — HealthScore defaults to booking trust.",
+}
 BAND_COPY = {
     "at_risk_shelfware": "shelfware-leaning",
     "spike_drop": "spike-drop pattern",
@@ -111,70 +125,26 @@ def two_decimals(x: Column) -> Column:
 
 def narrative(p: Params) -> Column:
     """Two sentences per account: the score line and the main driver. Expects the columns of the current mart."""
-    u, b, m1 = F.col("utilization_u"), F.col("band"), F.col("m1_share")
-    pct = percent_text(u)
-    driver = (
-        F.when(
-            (b == "at_risk_shelfware") & u.isNull(),
-            "No usage observed in the trailing 90 days despite an active contract.",
-        )
-        .when(
-            b == "at_risk_shelfware",
-            F.concat(F.lit("Trailing-90-day utilization is only "), pct, F.lit(" of included credits.")),
-        )
-        .when(
-            b == "spike_drop",
-            F.concat(
-                F.lit("Month-1 of the 90-day window accounts for "),
-                percent_text(m1),
-                F.lit(" of total usage — classic spike-drop."),
-            ),
-        )
-        .when(
-            b == "expansion",
-            F.concat(
-                F.lit("Utilization at "),
-                pct,
-                F.lit(" with "),
-                F.col("n_active_contracts").cast("string"),
-                F.lit(" overlapping contracts — the account is expanding."),
-            ),
-        )
-        .when(
-            b == "overage",
-            F.concat(
-                F.lit("Utilization at "), pct, F.lit(", consistently above included — the customer is paying overage.")
-            ),
-        )
-        .when(
-            (b == "healthy") & u.isNull(),
-            "No usage data yet — HealthScore defaults to booking trust.",
-        )
-        .when(
-            b == "healthy",
-            F.concat(F.lit("Utilization at "), pct, F.lit(", within the healthy band; no anomaly flags tripped.")),
-        )
-        .otherwise(
-            F.concat(
-                F.lit("Utilization at "), pct, F.lit("; modifier="), two_decimals(F.col("modifier")), F.lit(".")
-            )
-        )
-    )
-    text = F.concat(
-        F.lit("HealthScore is **"),
+    u, b = F.col("utilization_u"), F.col("band")
+    slots = {name: [percent_text(u)] for name in DRIVER_TEXT}
+    slots["spike_drop"] = [percent_text(F.col("m1_share"))]
+    slots["expansion"] += [F.col("n_active_contracts").cast("string")]
+
+    driver = F
+    for name, text in NO_USAGE_TEXT.items():
+        driver = driver.when((b == name) & u.isNull(), text)
+    for name, text in DRIVER_TEXT.items():
+        driver = driver.when(b == name, F.format_string(text, *slots[name]))
+    driver = driver.otherwise(F.format_string(OTHER_DRIVER_TEXT, percent_text(u), two_decimals(F.col("modifier"))))
+
+    score = F.format_string(
+        SCORE_TEXT,
         two_decimals(F.col("healthscore")),
-        F.lit("** — "),
         _mapped(b, BAND_COPY),
-        F.lit(". cARR is "),
         dollars_text(F.col("carr")),
-        F.lit(" against Committed ARR of "),
         dollars_text(F.col("committed_arr")),
-        F.lit(".\n\n"),
-        driver,
     )
-    return F.when(
-        F.col("healthscore").isNull(), "No active contract on the snapshot date; metric not computed."
-    ).otherwise(text)
+    return F.when(F.col("healthscore").isNull(), NO_SCORE_TEXT).otherwise(F.concat(score, F.lit("\n\n"), driver))
 
 
 def histogram_bin(x: Column, low: Column, high: Column, bins: int) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import usage as U
 from ..params import Params
+from ..sources.sinks import read_table
 from . import history, models, variants
 
 
@@ -25,7 +26,7 @@ class Book:
     def stored(cls, spark: SparkSession, sources: dict[str, DataFrame], folder: str, params: Params | None = None):
         book = cls(sources, params)
         for name in models.TABLES + models.SHARED:
-            setattr(book, name, spark.read.parquet(f"{folder}/{name}"))
+            setattr(book, name, read_table(spark, f"{folder}/{name}"))
         book.usage_rollup = book.usage_daily.drop("usage_class")
         book.valid_daily = book.usage_daily.where(f"usage_class = '{U.VALID}'").drop("usage_class")
         return book

@@ -15,7 +15,7 @@ from ..params import Params
 from ..session import build_session
 from ..sources.fixture import load
 from ..sources.readers import read_sources, register_raw_views
-from ..sources.sinks import write_table
+from ..sources.sinks import read_table, write_table, write_usage
 from . import evals, models, quality
 from .book import Book
 
@@ -38,12 +38,25 @@ WRITE_ORDER = [
 ]
 
 
-def write_all(spark: SparkSession, sources: dict[str, DataFrame], folder: str, params: Params | None = None) -> Book:
-    """Write all tables under ``folder``; each is read back before the tables that depend on it are planned."""
+def write_all(
+    spark: SparkSession,
+    sources: dict[str, DataFrame],
+    folder: str,
+    params: Params | None = None,
+    files_per_month: int = 1,
+) -> Book:
+    """Write all tables under ``folder``; each is read back before the tables that depend on it are planned.
+
+    The staged logs are partitioned by month; give ``files_per_month`` so that a file stays near a gigabyte.
+    """
     book = Book(sources, params)
     for name in WRITE_ORDER:
-        write_table(getattr(book, name), f"{folder}/{name}")
-        setattr(book, name, spark.read.parquet(f"{folder}/{name}"))
+        path = f"{folder}/{name}"
+        if name == "stg_daily_usage_logs":
+            write_usage(book.stg_daily_usage_logs, path, files_per_month)
+        else:
+            write_table(getattr(book, name), path)
+        setattr(book, name, read_table(spark, path))
         if name == "usage_daily":
             book.usage_rollup = book.usage_daily.drop("usage_class")
             book.valid_daily = book.usage_daily.where("usage_class = 'valid'").drop("usage_class")

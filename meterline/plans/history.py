@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
+from ..functions.edges import carr_sum
 from ..operators import intervals as I
 from . import models
 
@@ -158,6 +159,11 @@ def carr_account_month_end(b) -> DataFrame:
     return b.month_end_metric.withColumnRenamed("as_of_date", "month_end")
 
 
+def carr_per_rep(month_ends: DataFrame) -> DataFrame:
+    """(month_end, rep_id, carr) of an account-level month-end frame."""
+    return month_ends.groupBy("month_end", "rep_id").agg(carr_sum().cast("double").alias("carr"))
+
+
 def carr_rep_month_end(b) -> DataFrame:
     per_rep = b.month_end_metric.groupBy("rep_id", F.col("as_of_date").alias("month_end")).agg(*models.sums())
     return (
@@ -167,9 +173,11 @@ def carr_rep_month_end(b) -> DataFrame:
     )
 
 
-def restatement_diff(frozen: DataFrame, recomputed: DataFrame, tolerance: float = 0.0) -> DataFrame:
+def restatement_diff(
+    frozen: DataFrame, recomputed: DataFrame, tolerance: float = 0.0, key: str = "account_id"
+) -> DataFrame:
     """Rows of closed months whose recomputed value differs from the published one; published rows stay as they are."""
-    keys = ["month_end", "account_id"]
+    keys = ["month_end", key]
     old = frozen.select(*keys, F.col("carr").alias("old_value"))
     new = recomputed.select(*keys, F.col("carr").alias("new_value"))
     delta = F.coalesce(F.col("new_value"), F.lit(0.0)) - F.coalesce(F.col("old_value"), F.lit(0.0))

@@ -98,21 +98,25 @@ def freeze_write(b) -> DataFrame:
     return kept.join(refused, "month_end")
 
 
-def restatement_diff(b) -> DataFrame:
-    """Corrections to published months once orphan logs of known accounts are claimed.
-
-    The frozen side is the published metric. The recomputed side counts every log of a known account, as a later
-    backfill of contracts would.
-    """
+def _backfilled(b):
+    """The metric once every log of a known account counts, as after a backfill of contracts."""
     from .book import Book
 
     again = Book(b.sources, b.p)
-    known = b.sources["accounts"].select("account_id")
-    again.valid_daily = b.usage_rollup.join(known, "account_id", "left_semi")
-    diff = history.restatement_diff(
-        history.carr_account_month_end(b), history.carr_account_month_end(again), tolerance=500.0
-    )
-    return diff.withColumn("rationale", F.lit("usage backfill"))
+    again.valid_daily = b.usage_rollup.join(b.sources["accounts"].select("account_id"), "account_id", "left_semi")
+    return again
+
+
+def restatement_diff(b) -> DataFrame:
+    """Accounts of published months that a backfill would move by more than 500 dollars."""
+    old, new = history.carr_account_month_end(b), history.carr_account_month_end(_backfilled(b))
+    return history.restatement_diff(old, new, tolerance=500.0).withColumn("rationale", F.lit("usage backfill"))
+
+
+def restatement_by_rep(b) -> DataFrame:
+    """Reps of published months that the same backfill would move by more than 5,000 dollars."""
+    old, new = history.carr_account_month_end(b), history.carr_account_month_end(_backfilled(b))
+    return history.restatement_diff(history.carr_per_rep(old), history.carr_per_rep(new), 5000.0, "rep_id")
 
 
 def stream_daily_rollup(spark: SparkSession, folder: str) -> DataFrame:

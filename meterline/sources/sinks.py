@@ -19,7 +19,12 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_usage(df: DataFrame, path: str, day: str = "usage_date", files_per_month: int = 1) -> None:
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A written table with the columns it was written from."""
+    return spark.read.parquet(path).drop("usage_month")
+
+
+def write_usage(df: DataFrame, path: str, files_per_month: int = 1, day: str = "usage_date") -> None:
     """Month partitions, sorted by account inside each file so row-group statistics can skip accounts.
 
     A month is spread over ``files_per_month`` tasks by a hash of the log id, so neither a

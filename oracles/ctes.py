@@ -136,20 +136,20 @@ CTES: dict[str, str] = {
     "scores": f"SELECT * FROM scores_on WHERE t = {T}",
     "cur": f"SELECT * FROM metric_on WHERE t = {T}",
     "by_rep": """
-      SELECT s.rep_id, s.rep_name, s.region, s.segment, COUNT(c.account_id) AS n_accounts,
-             SUM(c.committed_arr) AS committed_arr, SUM(CAST(c.carr AS DECIMAL(28,6))) AS carr,
-             CASE WHEN SUM(c.committed_arr) > 0
-                  THEN CAST(SUM(CAST(c.carr AS DECIMAL(28,6))) AS DOUBLE) / CAST(SUM(c.committed_arr) AS DOUBLE)
-                  END AS weighted_healthscore,
-             SUM(CASE WHEN band = 'at_risk_shelfware' THEN 1 ELSE 0 END) AS n_at_risk,
-             SUM(CASE WHEN band = 'spike_drop' THEN 1 ELSE 0 END) AS n_spike_drop,
-             SUM(CASE WHEN band = 'expansion' THEN 1 ELSE 0 END) AS n_expansion,
-             SUM(CASE WHEN band = 'overage' THEN 1 ELSE 0 END) AS n_overage
-      FROM stg_sales_reps s LEFT JOIN cur c ON s.rep_id = c.rep_id GROUP BY ALL""",
+      SELECT rep_id, rep_name, region, segment, COALESCE(k, 0) AS n_accounts, arr AS committed_arr, c AS carr,
+             CASE WHEN arr > 0 THEN CAST(c AS DOUBLE) / CAST(arr AS DOUBLE) END AS weighted_healthscore,
+             COALESCE(risk, 0) AS n_at_risk, COALESCE(spike, 0) AS n_spike_drop, COALESCE(expanding, 0) AS n_expansion,
+             COALESCE(over, 0) AS n_overage
+      FROM stg_sales_reps NATURAL LEFT JOIN (
+        SELECT rep_id, COUNT(*) AS k, SUM(committed_arr) AS arr, SUM(CAST(carr AS DECIMAL(28,6))) AS c,
+               COUNT(*) FILTER (WHERE band = 'at_risk_shelfware') AS risk,
+               COUNT(*) FILTER (WHERE band = 'spike_drop') AS spike,
+               COUNT(*) FILTER (WHERE band = 'expansion') AS expanding,
+               COUNT(*) FILTER (WHERE band = 'overage') AS over
+        FROM cur GROUP BY rep_id)""",
     "by_region": """
       SELECT region, segment, COUNT(*) AS n_accounts, SUM(committed_arr) AS committed_arr,
-             SUM(CAST(carr AS DECIMAL(28,6))) AS carr,
-             SUM(CASE WHEN band = 'at_risk_shelfware' THEN 1 ELSE 0 END) AS n_at_risk
+             SUM(CAST(carr AS DECIMAL(28,6))) AS carr, COUNT(*) FILTER (WHERE band = 'at_risk_shelfware') AS n_at_risk
       FROM cur GROUP BY region, segment""",
     "months": "SELECT * FROM metric_on WHERE t IN (" + ", ".join(f"DATE '{d}'" for d in MONTH_ENDS) + ")",
     "rep_flow": """
@@ -234,10 +234,10 @@ CTES: dict[str, str] = {
                 + (COUNT(*) OVER (PARTITION BY hs_floor, hs_cap, carr) - 1) / 2.0 AS avg_rank FROM grid""",
     # ---- assertions ----
     "violations": """
-      SELECT 'A01' AS assertion_id, COUNT(*) - COUNT(DISTINCT rep_id) AS v FROM stg_sales_reps
-      UNION ALL SELECT 'A02', COUNT(*) - COUNT(DISTINCT account_id) FROM stg_accounts
-      UNION ALL SELECT 'A03', COUNT(*) - COUNT(DISTINCT contract_id) FROM stg_contracts
-      UNION ALL SELECT 'A04', COUNT(*) - COUNT(DISTINCT log_id) FROM stg_daily_usage_logs
+      SELECT 'A01' AS assertion_id, (SELECT COUNT(*) FROM stg_sales_reps) - (SELECT COUNT(*) FROM (SELECT rep_id FROM stg_sales_reps WHERE rep_id IS NOT NULL GROUP BY rep_id)) AS v
+      UNION ALL SELECT 'A02', (SELECT COUNT(*) FROM stg_accounts) - (SELECT COUNT(*) FROM (SELECT account_id FROM stg_accounts WHERE account_id IS NOT NULL GROUP BY account_id))
+      UNION ALL SELECT 'A03', (SELECT COUNT(*) FROM stg_contracts) - (SELECT COUNT(*) FROM (SELECT contract_id FROM stg_contracts WHERE contract_id IS NOT NULL GROUP BY contract_id))
+      UNION ALL SELECT 'A04', (SELECT COUNT(*) FROM stg_daily_usage_logs) - (SELECT COUNT(*) FROM (SELECT log_id FROM stg_daily_usage_logs WHERE log_id IS NOT NULL GROUP BY log_id))
       UNION ALL SELECT 'A05', COUNT(*) FROM stg_accounts WHERE rep_id NOT IN (SELECT rep_id FROM stg_sales_reps)
       UNION ALL SELECT 'A06', COUNT(*) FROM stg_contracts WHERE account_id NOT IN (SELECT account_id FROM accounts)
       UNION ALL SELECT 'A07', COUNT(*) FROM stg_contracts WHERE annual_commit_dollars < 0

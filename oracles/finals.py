@@ -62,6 +62,7 @@ TWO = lambda x: (
 DAILY_DETAIL = "DATE '1997-05-31'"
 
 # ---- catalogue rows ----
+# Rule id, tier, threshold in words, owning team.
 TEAMS = {
     "DQ-SCHEMA-003": ("P0", "0 nulls", "Data Platform"),
     "DQ-SCHEMA-004": ("P0", "0 values outside the taxonomy", "Data Platform"),
@@ -241,6 +242,7 @@ FRESH = rows(
     rule("DQ-FRESH-003", "2", "0", "TRUE", "SELECT COUNT(*) FROM cur"),
 )
 
+# Id, name, severity of the assertions.
 A_NAMES = {
     "A01": ("rep_id is unique", "block"),
     "A02": ("account_id is unique", "block"),
@@ -447,21 +449,21 @@ TABLE_ROWS = {
     "mart_carr_by_rep": "sales_reps", "mart_carr_by_region": "by_region", "mart_dq_summary": "(SELECT 1 AS one)",
 }
 
-DQ_SUMMARY = f"""SELECT {n('(SELECT COUNT(*) FROM sales_reps)', 'n_reps')},
-    {n('(SELECT COUNT(*) FROM accounts)', 'n_accounts')}, {n('(SELECT COUNT(*) FROM contracts)', 'n_contracts')},
-    {n('(SELECT COUNT(*) FROM daily_usage_logs)', 'n_usage_logs')},
-    {n('(SELECT COUNT(*) FROM int_account_active_contracts)', 'n_accounts_with_active_contract')},
-    {n('(SELECT COUNT(*) FROM cur)', 'n_accounts_in_metric')},
-    {n("(SELECT COUNT(*) FROM int_orphan_usage WHERE usage_class = 'orphan_bad_account')", 'n_orphan_bad_account')},
-    {n("(SELECT COUNT(*) FROM int_orphan_usage WHERE usage_class = 'orphan_out_of_window')", 'n_orphan_out_of_window')},
-    {m("(SELECT SUM(credits_consumed) FROM int_orphan_usage WHERE usage_class <> 'valid')", 'orphan_credits_total')},
-    {n(f"(SELECT COUNT(*) FROM cur WHERE band = {RISK})", 'n_shelfware')},
-    {n("(SELECT COUNT(*) FROM cur WHERE band = 'spike_drop')", 'n_spike_drop')},
-    {n("(SELECT COUNT(*) FROM cur WHERE band = 'expansion')", 'n_expansion')},
-    {n("(SELECT COUNT(*) FROM cur WHERE band = 'overage')", 'n_overage')},
-    {n("(SELECT COUNT(*) FROM cur WHERE band = 'healthy')", 'n_healthy')},
-    {m("(SELECT SUM(committed_arr) FROM cur)", 'total_committed_arr')}, {m(f"(SELECT {CARR} FROM cur)", 'total_carr')},
-    {r(f"(SELECT {ratio(CARR, 'SUM(committed_arr)')} FROM cur)", 'weighted_healthscore')}, {T} AS as_of_date"""
+MART_TALLY = f"""SELECT COUNT(*) AS k, SUM(committed_arr) AS arr, {CARR} AS c,
+    COUNT(*) FILTER (WHERE band = {RISK}) AS risk, COUNT(*) FILTER (WHERE band = 'spike_drop') AS spike,
+    COUNT(*) FILTER (WHERE band = 'expansion') AS expanding, COUNT(*) FILTER (WHERE band = 'overage') AS over,
+    COUNT(*) FILTER (WHERE band = 'healthy') AS fine FROM cur"""
+LOG_TALLY = """SELECT COUNT(*) AS logs, COUNT(*) FILTER (WHERE usage_class = 'orphan_bad_account') AS bad,
+    COUNT(*) FILTER (WHERE usage_class = 'orphan_out_of_window') AS outside,
+    SUM(credits_consumed) FILTER (WHERE usage_class <> 'valid') AS lost FROM int_orphan_usage"""
+DQ_SUMMARY = f"""SELECT {n('reps', 'n_reps')}, {n('accs', 'n_accounts')}, {n('cons', 'n_contracts')},
+    {n('logs', 'n_usage_logs')}, {n('live', 'n_accounts_with_active_contract')}, {n('k', 'n_accounts_in_metric')},
+    {n('bad', 'n_orphan_bad_account')}, {n('outside', 'n_orphan_out_of_window')}, {m('lost', 'orphan_credits_total')},
+    {n('risk', 'n_shelfware')}, {n('spike', 'n_spike_drop')}, {n('expanding', 'n_expansion')}, {n('over', 'n_overage')},
+    {n('fine', 'n_healthy')}, {m('arr', 'total_committed_arr')}, {m('c', 'total_carr')},
+    {r(ratio('c', 'arr'), 'weighted_healthscore')}, {T} AS as_of_date
+    FROM ({MART_TALLY}), ({LOG_TALLY}), (SELECT COUNT(*) AS reps FROM sales_reps), (SELECT COUNT(*) AS accs FROM accounts),
+         (SELECT COUNT(*) AS cons FROM contracts), (SELECT COUNT(*) AS live FROM int_account_active_contracts)"""
 
 ORPHAN_CLASS = f"SELECT usage_class, {COUNT} AS n_logs, {m('SUM(credits_consumed)', 'total_credits')} FROM int_orphan_usage GROUP BY usage_class"
 SPLIT = lambda by: f"SELECT {by}, {SUMS} FROM cur GROUP BY {by}"
@@ -832,6 +834,11 @@ RESTATED = f"""SELECT t AS as_of_month, account_id, {m('o', 'old_value')}, {m('w
     FROM (SELECT f.t, f.account_id, f.carr AS o, b.carr AS w FROM months f JOIN metric_backfill b
           ON f.t = b.t AND f.account_id = b.account_id) WHERE ABS(w - o) > 500"""
 
+RESTATED_REP = f"""SELECT t AS as_of_month, rep_id, {m('o', 'old_value')}, {m('w', 'new_value')}, {m('w - o', 'delta')}
+    FROM (SELECT f.t, f.rep_id, CAST(SUM({EXACT('f.carr')}) AS DOUBLE) AS o, CAST(SUM({EXACT('b.carr')}) AS DOUBLE) AS w
+          FROM months f JOIN metric_backfill b ON f.t = b.t AND f.account_id = b.account_id GROUP BY f.t, f.rep_id)
+    WHERE ABS(w - o) > 5000"""
+
 EVALS_NOW = build(EVALS)
 EVALS_BEFORE = EVALS_NOW.replace(T, "DATE '1999-05-31'")
 REPORT_DELTA = f"""SELECT COALESCE(a.check_id, b.check_id) AS check_id, a.passed AS prev_passed, {r('a.observed', 'prev_observed')},
@@ -842,4 +849,5 @@ REPORT_DELTA = f"""SELECT COALESCE(a.check_id, b.check_id) AS check_id, a.passed
 ORACLES: dict[str, str] = {k: build(v) for k, v in FINALS.items()}
 ORACLES["carr_account_day"] = build(f"SELECT t AS as_of_date, {DAY_METRIC} FROM metric_on", days_t=HOT_DAYS)
 ORACLES["restatement_diff"] = build(RESTATED, **BACKFILL)
+ORACLES["restatement_by_rep"] = build(RESTATED_REP, **BACKFILL)
 ORACLES["eval_report_delta"] = REPORT_DELTA

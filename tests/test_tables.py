@@ -58,6 +58,21 @@ def test_merge_replaces_only_touched_months(spark, tmp_path):
     assert got == {"a": 1, "b": 9, "c": 1, "d": 4}
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    df = spark.range(100).select(F.col("id").cast("string").alias("account_id"), "id")
+    for name in ("left_side", "right_side"):
+        sinks.write_clustered(df, name, str(tmp_path / name), 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = spark.table("left_side").join(spark.table("right_side"), "account_id")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("left_side", "right_side"):
+            spark.sql(f"DROP TABLE {name}")
+
+
 def test_results_append(spark, sf_dir, tmp_path):
     from meterline import registry
 
