@@ -9,6 +9,7 @@ from collections.abc import Callable
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,4 +79,14 @@ def texts_of(docs: DataFrame, ids: list[int]) -> dict[int, str]:
     return {r[0]: r[1] for r in rows}
 
 
+def sample(rows: DataFrame, n: int, key: str = "doc_id") -> list[int]:
+    """At most ``n`` distinct keys in a fixed pseudo-random order."""
+    keys = rows.select(key).filter(F.col(key).isNotNull()).distinct()
+    return [r[0] for r in keys.orderBy(F.md5(F.col(key).cast("string")), key).limit(n).collect()]
+
+
+def sigmoid(x):
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -35.0, 35.0)))
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

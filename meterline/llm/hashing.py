@@ -57,10 +57,16 @@ def bytes_of(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def word_hashes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and n + 1 offsets of each text's words."""
+def word_hashes(
+    texts: pa.Array | pa.ChunkedArray, heads: tuple[int, ...] = (), found_heads: list[np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and n + 1 offsets of each text's words.
+
+    For each length in ``heads``, ``found_heads`` gets an array of hashes of the words' first so many bytes (0 for shorter words).
+    """
     raw, at = bytes_of(texts)
     found, starts_at = [], []
+    parts: list[list[np.ndarray]] = [[] for _ in heads]
     begin = 0
     while begin < len(raw):
         end = min(begin + WINDOW, len(raw))
@@ -84,9 +90,16 @@ def word_hashes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
         np.cumsum(_LOWER[part] * up[: len(part)], out=sums[1:])
         values = (sums[ends] - sums[starts]) * down[starts]
         found.append(mixed(values + (ends - starts).astype(np.uint64)))
+        for n, own in zip(heads, parts):
+            stop = np.minimum(starts + n, len(part))
+            head = mixed((sums[stop] - sums[starts]) * down[starts] + np.uint64(n << 32))
+            head[ends - starts < n] = 0
+            own.append(head)
         starts_at.append(starts + begin)
         begin = end
     words = np.concatenate(found) if found else np.zeros(0, np.uint64)
+    if found_heads is not None:
+        found_heads += [np.concatenate(own) if own else np.zeros(0, np.uint64) for own in parts]
     places = np.concatenate(starts_at) if starts_at else np.zeros(0, np.int64)
     return words, np.searchsorted(places, at)
 

@@ -143,7 +143,9 @@ def plan_mix(
     order = Window.partitionBy("source").orderBy("_key", "doc_id", "size")
     until = F.col("_before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     fits = until - F.col("size") / F.lit(2.0) <= F.col("_budget")
-    last = joined.filter(at_end).withColumn("_in", fits & some).select(*kept, (F.col("_epochs") + F.col("_in").cast("long")).alias("copies"))
+    ends = (F.col("_a") == F.col("_a_end")) & (F.col("_b") == F.col("_b_end"))
+    boundary = rows.join(marks, rows["source"].eqNullSafe(marks["_source"]) & ends)
+    last = boundary.withColumn("_in", fits & some).select(*kept, (F.col("_epochs") + F.col("_in").cast("long")).alias("copies"))
     everything = clear.unionByName(last).withColumn("taken", F.col("size") * F.col("copies"))
     return everything.select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
 
