@@ -26,7 +26,8 @@ LOW_BITS = 4
 SHINGLE = 5
 PROBES = 12
 SEED = 20240
-BUCKET_BITS = 10
+BUCKET_ROWS = 500
+BUCKET_BITS = (4, 16)
 
 
 def words_of(text: Column) -> Column:
@@ -146,7 +147,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def bucket_of(column: str, bounds: list) -> Column:
     """How many of the sorted ``bounds`` (2**m - 1 of them) are at most the value: a search of m steps."""
-    values = F.array(*map(F.lit, bounds))
+    values = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folded into one constant
     steps = F.array(*[F.lit(1 << s) for s in reversed(range(len(bounds).bit_length()))])
     return F.aggregate(
         steps, F.lit(0), lambda at, step: F.when(F.get(values, at + step - 1) <= F.col(column), at + step).otherwise(at)
@@ -156,10 +157,12 @@ def bucket_of(column: str, bounds: list) -> Column:
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``docs(doc_id, ...)`` with the same columns of the next row by doc_id as ``next_*``; after the last comes the first.
 
-    Rows are dealt into ranges of ids (at most 1024, at estimated quantiles, so that each holds about as many); a window looks ahead inside a range, and
-    only the first row of each range meets the last of the one before. Rows with equal ids are ordered by the columns.
+    Rows are dealt into ranges of ids at estimated quantiles, about ``BUCKET_ROWS`` rows each (65,536 ranges at most); a window
+    looks ahead inside a range, and only the first row of each range meets the last of the one before. Rows with equal ids
+    are ordered by the columns.
     """
-    wide = 1 << BUCKET_BITS
+    low, high = BUCKET_BITS
+    wide = 1 << min(max((docs.count() // BUCKET_ROWS).bit_length(), low), high)
     bounds = docs.approxQuantile("doc_id", [i / wide for i in range(1, wide)], 0.25 / wide)
     rows = docs.withColumn("_bucket", bucket_of("doc_id", [int(b) for b in bounds]) if bounds else F.lit(0))
     rows = rows.withColumn("_bucket", F.coalesce("_bucket", F.lit(-1)))

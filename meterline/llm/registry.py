@@ -1,17 +1,19 @@
 """Registered queries of this subpackage and their SQL twins."""
 
-from . import fingerprint, language, mixing, quality, toxicity, url_filter
+from . import fingerprint, language, mixing, neighbours, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_quality": quality.query,
     "op2_mixing": mixing.query,
     "op3_language": language.query,
     "op5_fingerprint": fingerprint.query,
+    "op6_neighbours": neighbours.query,
     "op8_url_filter": url_filter.query,
     "op10_toxicity": toxicity.query,
 }
 
 SQL = {
     "op2_mixing": mixing.ORACLE_SQL,
+    "op6_neighbours": neighbours.ORACLE_SQL,
     "op8_url_filter": url_filter.ORACLE_SQL,
 }
