@@ -16,8 +16,6 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterline.session import ready_for_checkpoint
-
 from .common import table
 
 BINS = 256
@@ -154,30 +152,31 @@ def bucket_of(column: str, bounds: list) -> Column:
     )
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``docs(doc_id, ...)`` with the same columns of the next row by doc_id as ``next_*``; after the last comes the first.
+def with_next(docs: DataFrame, derived: dict[str, Column]) -> DataFrame:
+    """``docs(doc_id, text)`` with ``derived`` columns, and ``next_text`` and ``next_*`` of the next row by doc_id; after the last comes the first.
 
     Rows are dealt into ranges of ids at estimated quantiles, about ``BUCKET_ROWS`` rows each (65,536 ranges at most); a window
     looks ahead inside a range, and only the first row of each range meets the last of the one before. Rows with equal ids
-    are ordered by the columns.
+    are ordered by their text.
     """
     low, high = BUCKET_BITS
     wide = 1 << min(max((docs.count() // BUCKET_ROWS).bit_length(), low), high)
     bounds = docs.approxQuantile("doc_id", [i / wide for i in range(1, wide)], 0.25 / wide)
-    rows = docs.withColumn("_bucket", bucket_of("doc_id", [int(b) for b in bounds]) if bounds else F.lit(0))
-    rows = rows.withColumn("_bucket", F.coalesce("_bucket", F.lit(-1)))
-    order = Window.partitionBy("_bucket").orderBy("doc_id", *columns)
-    ahead = F.lead(F.struct(*columns)).over(order)
-    rows = rows.withColumn("_n", ahead).withColumn("_first", F.row_number().over(order) == 1)
-    heads = rows.filter("_first").select("_bucket", F.struct(*columns).alias("_h"))
-    ring = Window.orderBy("_bucket")
+    bucket = bucket_of("doc_id", [int(b) for b in bounds]) if bounds else F.lit(0)
+    dealt = docs.withColumn("_bucket", F.coalesce(bucket, F.lit(-1)))
+    columns = ["text", *derived]
+    order = Window.partitionBy("_bucket").orderBy("doc_id", "text")
+    rows = dealt.withColumns(derived).withColumn("_n", F.lead(F.struct(*columns)).over(order))
+    # the first row of each range: at most one id per range, so the ids are small; only these texts are read again
+    ids = dealt.groupBy("_bucket").agg(F.min("doc_id").alias("_id")).select(F.col("_bucket").alias("_b"), "_id")
+    first = dealt.join(F.broadcast(ids), (F.col("_bucket") == F.col("_b")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    heads = first.groupBy("_b").agg(F.min("text").alias("text")).withColumns(derived).select("_b", F.struct(*columns).alias("_h"))
+    ring = Window.orderBy("_b")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select(
-        F.col("_bucket").alias("_b"), F.coalesce(F.lead("_h").over(ring), F.first("_h").over(whole)).alias("_h")
-    )
+    heads = heads.select("_b", F.coalesce(F.lead("_h").over(ring), F.first("_h").over(whole)).alias("_h"))
     inner = rows.filter(F.col("_n").isNotNull())
     last = rows.filter(F.col("_n").isNull()).join(heads, F.col("_bucket") == F.col("_b"))
-    kept = [*docs.columns]
+    kept = ["doc_id", *columns]
     return inner.select(*kept, *[F.col(f"_n.{c}").alias(f"next_{c}") for c in columns]).unionByName(
         last.select(*kept, *[F.col(f"_h.{c}").alias(f"next_{c}") for c in columns])
     )
@@ -190,8 +189,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    ready_for_checkpoint(docs.sparkSession)
-    pairs = with_next(docs.withColumn("code", packed(F.col("text"))), ["text", "code"])
+    """Fingerprints of texts and edited texts of ``docs(doc_id, text)`` without null texts; an empty table gives no rows,
+    a single document is its own next."""
+    pairs = with_next(docs, {"code": packed(F.col("text"))})
     n = F.length("text")
     cut = F.floor(n / F.lit(4)).cast("int")
     text = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))

@@ -1,13 +1,15 @@
 """Registered queries of this subpackage and their SQL twins."""
 
-from . import fingerprint, language, mixing, neighbours, quality, toxicity, url_filter
+from . import fingerprint, language, mixing, neighbours, quality, sentence_pieces, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_quality": quality.query,
     "op2_mixing": mixing.query,
     "op3_language": language.query,
+    "op4_token_counts": token_counts.query,
     "op5_fingerprint": fingerprint.query,
     "op6_neighbours": neighbours.query,
+    "op7_sentence_pieces": sentence_pieces.query,
     "op8_url_filter": url_filter.query,
     "op10_toxicity": toxicity.query,
 }
