@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterline.llm import mixing
+from meterline.llm import language, mixing, near_duplicates, quality, sentence_pieces
 from meterline.llm.common import table
 from meterline.session import scratch_path
 
 STAGES = [
+    ("quality", quality.stage),
+    ("language", language.stage),
+    ("near_duplicates", near_duplicates.stage),
     ("mixing", mixing.stage),
+    ("sentence_pieces", sentence_pieces.stage),
 ]
 
 #: Learned models and byte-pair pieces aren't expressible in SQL; tests/llm holds a brute-force version of each stage.

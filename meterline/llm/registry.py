@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and their SQL twins."""
 
-from . import fingerprint, language, mixing, neighbours, quality, sentence_pieces, token_counts, toxicity, url_filter
+from . import fingerprint, language, mixing, near_duplicates, neighbours, quality, sentence_pieces, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_neighbours": neighbours.query,
     "op7_sentence_pieces": sentence_pieces.query,
     "op8_url_filter": url_filter.query,
+    "op9_near_duplicates": near_duplicates.query,
     "op10_toxicity": toxicity.query,
 }
 
@@ -18,4 +19,5 @@ SQL = {
     "op2_mixing": mixing.ORACLE_SQL,
     "op6_neighbours": neighbours.ORACLE_SQL,
     "op8_url_filter": url_filter.ORACLE_SQL,
+    "op9_near_duplicates": near_duplicates.ORACLE_SQL,
 }
