@@ -48,7 +48,7 @@ def targets(sizes: DataFrame, shares=SHARES, volume: float = VOLUME, most: int =
     """``source, source_size, target`` from ``source, source_size`` (one row per source).
 
     Sources in code-point order, null last, weigh ``shares`` in turn. Water level: sources in ascending order of cap over
-    weight reach their cap one after the other; the first that doesn't sets the level for itself and all after it.
+    weight reach their cap one after the other; the first that doesn't sets the level for itself and all after it (at later ones the formula gives lower values still).
     """
     ordered = Window.orderBy(F.col("source").isNull(), F.col("source"))
     filling = Window.orderBy("_ratio", "_nth")
@@ -63,7 +63,7 @@ def targets(sizes: DataFrame, shares=SHARES, volume: float = VOLUME, most: int =
         .withColumn("_cap", F.col("source_size") * most)
         .withColumn("_ratio", F.col("_cap") / F.col("_w"))
         .withColumn("_level", level)
-        .withColumn("_stop", F.min(F.when(F.col("_level") < F.col("_ratio"), F.col("_level"))).over(everything))
+        .withColumn("_stop", F.max(F.when(F.col("_level") < F.col("_ratio"), F.col("_level"))).over(everything))
         .withColumn("target", F.least(F.col("_cap").cast("double"), F.coalesce(F.col("_stop") * F.col("_w"), F.col("_cap"))))
         .select("source", "source_size", "target")
     )
@@ -187,7 +187,7 @@ l AS (
             / ((sum(w) OVER ()) - (sum(w) OVER (ORDER BY ratio, nth)) + w)::DOUBLE AS level
   FROM r
 ), t AS (
-  SELECT source, source_size, least(cap::DOUBLE, coalesce(min(CASE WHEN level < ratio THEN level END) OVER () * w, cap)) AS target FROM l
+  SELECT source, source_size, least(cap::DOUBLE, coalesce(max(CASE WHEN level < ratio THEN level END) OVER () * w, cap)) AS target FROM l
 ), e AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t
 ), c AS (
