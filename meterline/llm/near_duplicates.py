@@ -3,10 +3,11 @@
 A document's set holds the hashes of its word shingles; its sketch is the ``K`` smallest of them, all from one hash function.
 
 1. Documents with equal sets form a class, and its smallest id stands for it from here on.
-2. Inverted lists. Each class is listed under the rarest of its retained values. If two sets are linked, their sketches share more
-   than ``SHARED`` of the values (all but about one pair in 10**8), so the ``K - SHARED + 1`` rarest of either have one in common, whatever the
-   order of the rest. For sets that are retained whole the number follows from the threshold without any chance.
-   Values of a common passage are rare in nobody's list.
+2. Inverted lists. The key of a list is a run of three neighbouring retained values. Of two linked sets at least four in five values of the
+   union are shared, so their sketches share runs: of 64 values with fewer than ``DROPPED + 1`` shared runs there is one pair in three
+   million at the threshold itself, and fewer above it. A sketch may thus leave out its ``DROPPED`` most frequent runs, which are those of
+   passages that many documents hold. Sets that are retained whole leave out none; they always share a run (of two for sets of four or five).
+   Single retained values would need no such care, but at scale most of them occur in unrelated documents too.
 3. Star. The smallest id of a list is its pivot, and every member is compared with it alone: first the similarity over the
    union of the two sketches, then the exact one over the whole texts. A group of n near copies costs n comparisons.
 4. Rest. The members of a pivot's lists are a block. Members outside the block's largest component are compared with the others of the block, if
@@ -32,7 +33,7 @@ from .common import ready, table
 from .hashing import mixed, shingle_sets
 
 K = 64
-SHARED = 32
+DROPPED = 4
 WORDS = 5
 PERCENT = 80
 MARGIN = 0.25
@@ -40,6 +41,7 @@ CHUNK = 1000
 CHUNK_SHINGLES = 300_000
 ROWS_AT_ONCE = 4000
 MATCHES_AT_ONCE = 2_000_000
+SENT_IDS = 1_000_000
 SKETCH = "struct<n:long,a:long,b:long,sketch:array<long>>"
 
 
@@ -65,10 +67,15 @@ def sketch_column(words: int, text: str = "text") -> Column:
     return sketch.asNondeterministic()(F.col(text))
 
 
-def prefix(n: Column, percent: int) -> Column:
-    """How many of the rarest retained values of a set of size n list it."""
-    whole = n - F.ceil(n * percent / F.lit(100)) + 1
-    return F.when(n * 100 <= K * percent, whole).otherwise(F.least(n, F.lit(K)) - SHARED + 1)
+def runs(n: Column, sketch: Column) -> Column:
+    """Keys of the inverted lists: hashes of runs of three retained values; of two as well for sets of four and five."""
+
+    def of(length: int) -> Column:
+        places = F.sequence(F.lit(0), F.size(sketch) - length)
+        return F.transform(places, lambda i: F.xxhash64(*[F.get(sketch, i + j) for j in range(length)]))
+
+    # two different sets of fewer than four values can't be linked
+    return F.when(n > 5, of(3)).when(n > 3, F.concat(of(3), of(2)))
 
 
 def similar_sizes(m: Column, n: Column, percent: int) -> Column:
@@ -273,14 +280,23 @@ def in_components(rows: DataFrame, comps: DataFrame, node: str, name: str) -> Da
     return rows.join(found, F.col(node) == F.col("_node"), "left").withColumn(name, F.coalesce("_comp", node)).drop("_node", "_comp")
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of the documents with an ``id``. Up to ``SENT_IDS`` ids go to the scan, so that other texts aren't shuffled."""
+    ids = ids.distinct()
+    few = ids.limit(SENT_IDS + 1).count() <= SENT_IDS
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
+
+
 def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs(doc_id, text)``.
 
-    Documents are linked if 100 * |intersection| >= percent * |union| of their sets of ``words``-word shingles (fewer words: the whole
+    ``percent`` is at least 80. Documents are linked if 100 * |intersection| >= percent * |union| of their sets of ``words``-word shingles (fewer words: the whole
     sequence is the only shingle). component_id is the smallest id that links reach; kept marks the document of that id.
     Null, empty and blank texts have empty sets and are linked with nothing. Rows with the same id are one document and share its
     component. A null id is in no group, has a null component_id and is kept. An empty table gives no rows; other columns are ignored.
     """
+    if percent < 80:
+        raise ValueError("runs of retained values need a similarity of 80 percent or more")
     spark = docs.sparkSession
     ready(spark)
     ready_for_checkpoint(spark)
@@ -292,15 +308,14 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
         .agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
         .checkpoint()
     )
-    # inverted lists of the rarest retained values
-    values = classes.select("rep", "n", F.explode("sketch").alias("h"))
+    # inverted lists of runs of retained values
+    values = classes.select("rep", "n", F.explode(runs(F.col("n"), F.col("sketch"))).alias("h"))
     shared = values.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    own = Window.partitionBy("rep")
+    frequent = Window.partitionBy("rep").orderBy(F.desc("df"), "h")
     listed = (
         values.join(shared, "h")
-        .withColumn("_nth", F.row_number().over(own.orderBy("df", "h")))
-        .withColumn("_alone", F.least("n", F.lit(K)) - F.count("*").over(own))
-        .filter(F.col("_nth") + F.col("_alone") <= prefix(F.col("n"), percent))
+        .withColumn("_nth", F.row_number().over(frequent))
+        .filter((F.col("_nth") > DROPPED) | (F.col("n") * 100 <= K * percent))
         .select("h", "rep", "n")
         .checkpoint()
     )
@@ -319,7 +334,7 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
         .select(F.col("block").alias("a"), F.col("rep").alias("b"))
         .checkpoint()
     )
-    texts = docs.filter(F.col("doc_id").isNotNull())
+    texts = texts_of(docs, near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))))
     links = (
         near.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -342,7 +357,8 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
         .join(b.withColumnRenamed("sketch_b", "sketch"), "rep")
         .checkpoint()
     )
-    more = rest_links(hopeful(open_, percent).checkpoint(), texts, words, percent)
+    left = hopeful(open_, percent).checkpoint()
+    more = rest_links(left, texts_of(docs, left.select(F.col("rep").alias("id"))), words, percent)
     final = components(links.unionByName(more))
     of_class = in_components(classes.select("n", "a", "b", "rep"), final, "rep", "comp")
     of_class = of_class.select(*[F.col(c).alias(f"_{c}") for c in ("n", "a", "b")], "comp")
