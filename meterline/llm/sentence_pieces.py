@@ -37,10 +37,8 @@ class DoubleArray:
                 node = children[node][s]
             value[node] = number
         wide = len(self.symbol) + 1
-        size = 2 * len(children) + 2 * wide
-        base, check, number = [0] * size, [-1] * size, [-1] * size
-        check[0] = 0
-        free = np.ones(size, bool)
+        span = 2 * len(children) + 4 * wide
+        free = np.ones(span, bool)
         free[0] = False
         place: dict[int, int] = {}
         low, window = 1, 2048
@@ -49,6 +47,8 @@ class DoubleArray:
             wanted = np.array(sorted(children[node]))
             at = max(low, int(wanted[0]))
             while True:
+                if at + window + wide > len(free):
+                    free = np.concatenate([free, np.ones(span + window, bool)])
                 spots = np.flatnonzero(free[at : at + window]) + at
                 fits = np.flatnonzero(free[spots[:, None] + (wanted - wanted[0])[None, :]].all(1))
                 if len(fits):
@@ -56,8 +56,9 @@ class DoubleArray:
                     free[place[node] + wanted] = False
                     break
                 at += window
-            while free[low : low + 256].sum() < 16:
+            while free[low : low + 256].sum() < 16 and low + 256 < len(free):
                 low += 256
+        free = np.concatenate([free, np.ones(span, bool)])
         spare = iter(np.flatnonzero(free).tolist())
         for node in range(len(children)):
             if len(children[node]) == 1:
@@ -65,6 +66,9 @@ class DoubleArray:
                 b = next(x for x in spare if x >= s) - s
                 free[b + s] = False
                 place[node] = b
+        size = int(np.flatnonzero(~free)[-1]) + wide + 1  # every walk stays inside
+        base, check, number = [0] * size, [-1] * size, [-1] * size
+        check[0] = 0
         state = {0: 0}
         for node in range(len(children)):
             own = state[node]
