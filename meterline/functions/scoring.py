@@ -106,8 +106,12 @@ def band_display(b: Column) -> Column:
 
 
 def _whole(x: Column) -> Column:
-    """Rounded half up to a whole number."""
-    return F.floor(x.cast("double") + 0.5).cast("bigint")
+    """The nearest whole number to the exact binary value, ties to even. The fraction of a double is exact."""
+    v = x.cast("double")
+    low = F.floor(v)
+    rest = v - low
+    up = (rest > 0.5) | ((rest == 0.5) & (low % 2 != 0))
+    return low + up.cast("bigint")
 
 
 def dollars_text(x: Column) -> Column:
@@ -115,11 +119,24 @@ def dollars_text(x: Column) -> Column:
 
 
 def percent_text(x: Column) -> Column:
-    return F.concat(_whole(x * 100).cast("string"), F.lit("%"))
+    return F.concat(_whole(x.cast("double") * 100).cast("string"), F.lit("%"))
 
 
 def two_decimals(x: Column) -> Column:
-    cents = _whole(x * 100)
+    """Two decimals of a value from 1/8 to below 8, rounded on its exact binary value, ties to even.
+
+    Such a double is a whole number of 2**-55, taken here as two exact halves; hundred times that number fits 128 bits.
+    """
+    v = x.cast("double")
+    high = F.floor(v * float(1 << 28))
+    low = F.floor((v * float(1 << 28) - high) * float(1 << 27))
+    parts = high.cast("decimal(38,0)") * F.lit(1 << 27).cast("decimal(12,0)") + low.cast("decimal(12,0)")
+    units = (parts.cast("decimal(24,0)") * F.lit(100).cast("decimal(3,0)")).cast("decimal(28,0)")
+    one = F.lit(1 << 55).cast("decimal(20,0)")
+    whole = F.floor(units / one).cast("bigint")
+    rest = units - whole.cast("decimal(20,0)") * one
+    half = F.lit(1 << 54).cast("decimal(20,0)")
+    cents = whole + ((rest > half) | ((rest == half) & (whole % 2 != 0))).cast("bigint")
     return F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
 
 

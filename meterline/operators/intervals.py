@@ -40,17 +40,29 @@ def daily_deltas(contracts: DataFrame) -> DataFrame:
     )
 
 
-def clip(contracts: DataFrame, low: date, high: date) -> DataFrame:
+def as_day(d: Column | date) -> Column:
+    return d if isinstance(d, Column) else F.lit(d)
+
+
+def in_months(df: DataFrame, low: Column | date, high: Column | date, month: str = "usage_month") -> DataFrame:
+    """Adds the month range of a day range where the table is partitioned by month, so that other folders aren't opened."""
+    if month not in df.columns:
+        return df
+    return df.where(F.col(month).between(F.trunc(as_day(low), "month"), F.trunc(as_day(high), "month")))
+
+
+def clip(contracts: DataFrame, low: Column | date, high: Column | date) -> DataFrame:
     """Contracts that touch [low, high], cut to it."""
+    low, high = as_day(low), as_day(high)
     return (
-        contracts.where((F.col("end_date") >= F.lit(low)) & (F.col("start_date") <= F.lit(high)))
+        contracts.where((F.col("end_date") >= low) & (F.col("start_date") <= high))
         .where(F.col("end_date") >= F.col("start_date"))
-        .withColumn("start_date", F.greatest("start_date", F.lit(low)))
-        .withColumn("end_date", F.least("end_date", F.lit(high)))
+        .withColumn("start_date", F.greatest("start_date", low))
+        .withColumn("end_date", F.least("end_date", high))
     )
 
 
-def contract_days(contracts: DataFrame, low: date, high: date) -> DataFrame:
+def contract_days(contracts: DataFrame, low: Column | date, high: Column | date) -> DataFrame:
     """One row per contract and day it is active on within [low, high]."""
     return clip(contracts, low, high).select(
         "contract_id",
@@ -61,26 +73,42 @@ def contract_days(contracts: DataFrame, low: date, high: date) -> DataFrame:
     )
 
 
-def primary_contract_days(contracts: DataFrame, low: date, high: date) -> DataFrame:
-    """Per account and day the active contract with the most included credits; ties go to the smallest id."""
-    # Contracts with the same dates compete everywhere alike, so they are settled before days are unfolded.
+def primary_contract_days(contracts: DataFrame, low: Column | date, high: Column | date) -> DataFrame:
+    """Per account and day the active contract with the most included credits; ties go to the smallest id.
+
+    The winner changes only where a contract starts or has ended. Contracts compete per stretch between such days, and
+    only the winners are unfolded to days. An account has at most two change points per calendar day.
+    """
+    # Contracts with the same dates compete everywhere alike, so they are settled first.
     settled = (
         clip(contracts, low, high)
         .groupBy("account_id", "start_date", "end_date", "included_monthly_credits")
         .agg(F.min("contract_id").alias("contract_id"))
     )
-    days = settled.select(
+    changes = settled.select(
+        "account_id", F.explode(F.array(F.col("start_date"), F.date_add("end_date", 1))).alias("day")
+    )
+    points = changes.groupBy("account_id").agg(F.array_sort(F.collect_set("day")).alias("p"))
+    stretches = points.select(
         "account_id",
-        "contract_id",
-        "included_monthly_credits",
-        F.explode(F.sequence("start_date", "end_date")).alias("day"),
+        F.transform("p", lambda d, i: F.struct(d.alias("since"), F.get(F.col("p"), i + 1).alias("until"))).alias("p"),
+    )
+    held = lambda s: (s["since"] >= F.col("start_date")) & (s["since"] <= F.col("end_date"))
+    pieces = settled.join(stretches, "account_id").select(
+        "account_id", "contract_id", "included_monthly_credits", F.inline(F.filter("p", held))
     )
     # Smallest id among equals: aggregate credits first, then the id.
-    top = days.groupBy("account_id", "day", "included_monthly_credits").agg(F.min("contract_id").alias("contract_id"))
-    return (
-        top.groupBy("account_id", "day")
-        .agg(F.max_by("contract_id", "included_monthly_credits").alias("contract_id"),
-             F.max("included_monthly_credits").alias("included_monthly_credits"))
+    key = ["account_id", "since", "until"]
+    top = pieces.groupBy(*key, "included_monthly_credits").agg(F.min("contract_id").alias("contract_id"))
+    winners = top.groupBy(*key).agg(
+        F.max_by("contract_id", "included_monthly_credits").alias("contract_id"),
+        F.max("included_monthly_credits").alias("included_monthly_credits"),
+    )
+    return winners.select(
+        "account_id",
+        F.explode(F.sequence("since", F.date_sub("until", 1))).alias("day"),
+        "contract_id",
+        "included_monthly_credits",
     )
 
 

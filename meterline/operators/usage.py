@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .intervals import in_months
+
 VALID = "valid"
 BAD_ACCOUNT = "orphan_bad_account"
 OUT_OF_WINDOW = "orphan_out_of_window"
@@ -67,7 +69,8 @@ def window_totals(valid_daily: DataFrame, p) -> DataFrame:
     in_m1 = F.col("usage_date") <= F.lit(p.m1_end)
     credits = F.col("credits_consumed")
     return (
-        valid_daily.where((F.col("usage_date") > F.lit(p.window_start)) & (F.col("usage_date") <= F.lit(p.as_of)))
+        in_months(valid_daily, p.window_start, p.as_of)
+        .where((F.col("usage_date") > F.lit(p.window_start)) & (F.col("usage_date") <= F.lit(p.as_of)))
         .groupBy("account_id")
         .agg(
             F.sum(credits).alias("credits_90d"),

@@ -55,7 +55,6 @@ class Params:
 
     # access
     viewer_email: str = "R000001@example.com"
-    manager_depth: int = 3
 
     # execution
     skew_salts: int = 8

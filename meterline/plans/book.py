@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import usage as U
 from ..params import Params
@@ -27,6 +28,7 @@ class Book:
         book = cls(sources, params)
         for name in models.TABLES + models.SHARED:
             setattr(book, name, read_table(spark, f"{folder}/{name}"))
+        book.stg_daily_usage_logs = book.stg_daily_usage_logs.drop("usage_month")
         book.usage_rollup = book.usage_daily.drop("usage_class")
         book.valid_daily = book.usage_daily.where(f"usage_class = '{U.VALID}'").drop("usage_class")
         return book
@@ -89,6 +91,17 @@ class Book:
         return models.int_usage_rolled(self.active_usage)
 
     # history
+    @cached_property
+    def observed(self) -> tuple[Column, Column]:
+        """First and last day of the usage logs, as scalar subqueries that are read when a plan runs."""
+        days = self.stg_daily_usage_logs.agg(F.min("usage_date").alias("low"), F.max("usage_date").alias("high"))
+        return days.select("low").scalar(), days.select("high").scalar()
+
+    @cached_property
+    def all_month_ends(self) -> DataFrame:
+        """The metric of every account on each month-end up to the as-of date, with band."""
+        return history.metric_on(self, history.every_month_end(self.p.as_of))
+
     @cached_property
     def month_end_metric(self) -> DataFrame:
         """The metric of every account on each of the last month-ends, with band."""

@@ -19,23 +19,7 @@ from ..sources.sinks import read_table, write_table, write_usage
 from . import evals, models, quality
 from .book import Book
 
-WRITE_ORDER = [
-    "stg_sales_reps",
-    "stg_accounts",
-    "stg_contracts",
-    "stg_daily_usage_logs",
-    "int_orphan_usage",
-    "usage_daily",
-    "int_account_active_contracts",
-    "active_usage",
-    "int_usage_rolled",
-    "metric_healthscore",
-    "metric_carr",
-    "mart_carr_current",
-    "mart_carr_by_rep",
-    "mart_carr_by_region",
-    "mart_dq_summary",
-]
+MONTHLY = ("stg_daily_usage_logs", "usage_daily")
 
 
 def write_all(
@@ -43,20 +27,21 @@ def write_all(
     sources: dict[str, DataFrame],
     folder: str,
     params: Params | None = None,
-    files_per_month: int = 1,
 ) -> Book:
     """Write all tables under ``folder``; each is read back before the tables that depend on it are planned.
 
-    The staged logs are partitioned by month; give ``files_per_month`` so that a file stays near a gigabyte.
+    The staged logs and the daily usage are partitioned by month.
     """
     book = Book(sources, params)
-    for name in WRITE_ORDER:
+    for name in models.WRITE_ORDER:
         path = f"{folder}/{name}"
-        if name == "stg_daily_usage_logs":
-            write_usage(book.stg_daily_usage_logs, path, files_per_month)
+        if name in MONTHLY:
+            write_usage(getattr(book, name), path)
         else:
             write_table(getattr(book, name), path)
         setattr(book, name, read_table(spark, path))
+        if name == "stg_daily_usage_logs":
+            book.stg_daily_usage_logs = book.stg_daily_usage_logs.drop("usage_month")
         if name == "usage_daily":
             book.usage_rollup = book.usage_daily.drop("usage_class")
             book.valid_daily = book.usage_daily.where("usage_class = 'valid'").drop("usage_class")

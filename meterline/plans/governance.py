@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.edges import CARR_SUM
 from ..operators.skew import salted_join
 from ..operators.usage import VALID
+from ..session import ready_for_checkpoint
 from .history import listed, metric_on
 
 
@@ -35,32 +36,35 @@ def rls_account_view(b) -> DataFrame:
 
 
 def rep_manager(b) -> DataFrame:
-    """(rep_id, manager_id); without a given table, every block of ten reps reports to its first."""
+    """(rep_id, manager_id); without a given table, a rep reports to the number with its last non-zero digit cleared."""
     given = b.sources.get("rep_manager")
     if given is not None:
         return given
-    key = F.regexp_extract("rep_id", r"(\d+)$", 1).cast("bigint")
-    boss = F.concat(F.lit("R"), F.lpad((key - key % 10).cast("string"), 6, "0"))
+    number = F.regexp_extract("rep_id", r"(\d+)$", 1)
+    boss = F.concat(F.lit("R"), F.regexp_replace(number, "[1-9](0*)$", "0$1"))
     return b.sources["sales_reps"].select("rep_id", boss.alias("manager_id")).where("rep_id <> manager_id")
 
 
 def manager_closure(b) -> DataFrame:
-    """(viewer_id, rep_id, depth): each rep, and every rep below them down to a fixed depth.
+    """(viewer_id, rep_id, depth): each rep, and every rep below them, however deep.
 
-    A level is one join of the reps reached so far with the reporting lines; the depth is a parameter, so the
-    plan has a fixed number of joins. Each rep has one manager, so no pair is reached twice.
+    A level is one join of the reps reached so far with the reporting lines; levels are added until one is empty. Each
+    rep has one manager, so no pair is reached twice; lines that close a circle raise ``ValueError``.
     """
+    ready_for_checkpoint(b.spark)
     lines = rep_manager(b).select("rep_id", "manager_id")
     own = b.sources["sales_reps"].select(F.col("rep_id").alias("viewer_id"), "rep_id", F.lit(0).alias("depth"))
-    level = lines.select(F.col("manager_id").alias("viewer_id"), "rep_id", F.lit(1).alias("depth"))
-    out = own.unionByName(level)
-    for depth in range(2, b.p.manager_depth + 1):
+    up = lines.select(F.col("rep_id").alias("viewer_id"), "manager_id")
+    out, level, depth = own, lines.select(F.col("manager_id").alias("viewer_id"), "rep_id").checkpoint(), 1
+    while not level.isEmpty():
+        if not level.where("viewer_id = rep_id").isEmpty():
+            raise ValueError("the reporting lines have a circle")
+        out = out.unionByName(level.withColumn("depth", F.lit(depth)))
         # Climb from the viewer to the viewer's own manager: unique on the reporting side.
-        up = lines.select(F.col("rep_id").alias("viewer_id"), "manager_id")
         level = salted_join(level, up, ["viewer_id"], ["rep_id"], b.p.skew_salts, "inner").select(
-            F.col("manager_id").alias("viewer_id"), "rep_id", F.lit(depth).alias("depth")
-        )
-        out = out.unionByName(level)
+            F.col("manager_id").alias("viewer_id"), "rep_id"
+        ).checkpoint()
+        depth += 1
     return out
 
 
@@ -89,12 +93,11 @@ def pii_mask(b) -> DataFrame:
 
 
 def retention_usage(b) -> DataFrame:
-    """Daily detail inside the retention period, one row per account and month before it."""
+    """Daily detail inside the retention period, one row per account and month before it; logs without account too."""
     kept = F.col("usage_date") >= F.lit(b.p.retention_from)
     start = F.when(kept, F.col("usage_date")).otherwise(F.trunc("usage_date", "month"))
     return (
-        b.usage_rollup.where(F.col("account_id").isNotNull())
-        .groupBy("account_id", F.when(kept, "day").otherwise("month").alias("grain"), start.alias("period_start"))
+        b.usage_rollup.groupBy("account_id", F.when(kept, "day").otherwise("month").alias("grain"), start.alias("period_start"))
         .agg(F.sum("n_logs").alias("n_logs"), F.sum("credits_consumed").alias("credits"))
     )
 

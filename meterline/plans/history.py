@@ -23,6 +23,7 @@ from ..operators import intervals as I
 from . import models
 
 Days = Callable[[Column, Column], Column]
+Bound = Column | date
 
 
 def listed(days: list[date]) -> tuple[Days, date, date]:
@@ -31,18 +32,36 @@ def listed(days: list[date]) -> tuple[Days, date, date]:
     return (lambda lo, hi: F.filter(asked, lambda d: d.between(lo, hi))), min(days), max(days)
 
 
-def every_day(low: date, high: date) -> tuple[Days, date, date]:
+def every_day(low: Bound, high: Bound) -> tuple[Days, Bound, Bound]:
     def days(lo: Column, hi: Column) -> Column:
-        first, last = F.greatest(lo, F.lit(low)), F.least(hi, F.lit(high))
+        first, last = F.greatest(lo, I.as_day(low)), F.least(hi, I.as_day(high))
         return F.when(first <= last, F.sequence(first, last))
 
     return days, low, high
 
 
-def _changes(b, low: date, high: date) -> DataFrame:
+def every_month_end(high: date) -> tuple[Days, None, date]:
+    """All month-ends up to a day, however far back contracts go."""
+
+    def days(lo: Column, hi: Column) -> Column:
+        first, last = lo, F.least(hi, F.lit(high))
+        # months whose last day is not after the last day asked for
+        begin, end = F.trunc(first, "month"), F.add_months(F.trunc(F.date_add(last, 1), "month"), -1)
+        return F.when(begin <= end, F.transform(F.sequence(begin, end, F.expr("INTERVAL 1 MONTH")), F.last_day))
+
+    return days, None, high
+
+
+def _changes(b, low: Bound | None, high: Bound) -> DataFrame:
     """(account_id, day, n, arr, included, oldest, used, early): what changes on that day; money in cents."""
     p = b.p
-    contracts = b.stg_contracts.where(F.col("start_date") <= F.lit(high))
+    high = I.as_day(high)
+    contracts, seen = b.stg_contracts.where(F.col("start_date") <= high), b.valid_daily.where(F.col("usage_date") <= high)
+    if low is not None:
+        low = I.as_day(low)
+        entered = F.date_sub(low, p.window_days)
+        contracts = contracts.where(F.col("end_date") >= low)
+        seen = I.in_months(seen, entered, high).where(F.col("usage_date") > entered)
     names = ("n", "arr", "included", "oldest", "used", "early")
 
     def shaped(df: DataFrame, day: Column, **cells: Column) -> DataFrame:
@@ -81,16 +100,18 @@ def _changes(b, low: date, high: date) -> DataFrame:
     moves = F.array(
         move(0, cents, none), move(p.window_days - p.m1_days, none, cents), move(p.window_days, -cents, -cents)
     )
-    seen = b.valid_daily.where(
-        (F.col("usage_date") > F.date_sub(F.lit(low), p.window_days)) & (F.col("usage_date") <= F.lit(high))
-    ).select("account_id", "usage_date", F.inline(moves))
+    seen = seen.select("account_id", "usage_date", F.inline(moves))
     usage = shaped(seen, F.date_add(F.col("usage_date"), F.col("after")), used=F.col("used"), early=F.col("early"))
-    return signed.unionByName(stretches).unionByName(usage).where(F.col("day") <= F.lit(high))
+    return signed.unionByName(stretches).unionByName(usage).where(F.col("day") <= high)
+
 
+def daily_state(b, request: tuple[Days, Bound | None, Bound], attributes: DataFrame | None = None) -> DataFrame:
+    """Per account and requested day on which it has an active contract: contract sums and window usage.
 
-def daily_state(b, request: tuple[Days, date, date]) -> DataFrame:
-    """Per account and requested day on which it has an active contract: contract sums and window usage."""
+    ``attributes`` (one row per account) join the stretches, which are far fewer than the days they unfold to.
+    """
     days, low, high = request
+    high = I.as_day(high)
     line = W.partitionBy("account_id").orderBy("day")
     run = line.rowsBetween(W.unboundedPreceding, 0)
     total = lambda c: F.sum(c).over(run).alias(c)
@@ -101,12 +122,19 @@ def daily_state(b, request: tuple[Days, date, date]) -> DataFrame:
     held = _changes(b, low, high).repartition(partitions, "account_id").select(
         "account_id",
         F.col("day").alias("since"),
-        F.coalesce(F.date_sub(F.lead("day").over(line), 1), F.lit(high)).alias("until"),
+        F.coalesce(F.date_sub(F.lead("day").over(line), 1), high).alias("until"),
         *[total(c) for c in ("n", "arr", "included", "oldest", "used", "early")],
     )
     money = lambda c: (F.col(c).cast("decimal(26,0)") / 100).cast("decimal(28,2)")
-    return held.where((F.col("n") > 0) & (F.col("until") >= F.greatest(F.col("since"), F.lit(low)))).select(
+    begin = F.col("since") if low is None else F.greatest(F.col("since"), I.as_day(low))
+    held = held.where((F.col("n") > 0) & (F.col("until") >= begin))
+    carried = []
+    if attributes is not None:
+        carried = [c for c in attributes.columns if c != "account_id"]
+        held = held.join(attributes, "account_id")
+    return held.select(
         "account_id",
+        *carried,
         F.explode(days(F.col("since"), F.col("until"))).alias("day"),
         F.date_add(F.lit(date(1970, 1, 1)), F.col("oldest").cast("int")).alias("oldest_active_start"),
         F.col("n").alias("n_active_contracts"),
@@ -117,20 +145,18 @@ def daily_state(b, request: tuple[Days, date, date]) -> DataFrame:
     )
 
 
-def metric_on(b, request: tuple[Days, date, date]) -> DataFrame:
+def metric_on(b, request: tuple[Days, Bound | None, Bound]) -> DataFrame:
     """(account, day) metric with band and account attributes."""
     p = b.p
     state = (
-        daily_state(b, request)
+        daily_state(b, request, b.stg_accounts)
         .withColumn("contract_age_days", F.datediff("day", "oldest_active_start").cast("bigint"))
         .withColumn("utilization_u", S.utilization(F.col("credits_90d"), F.col("included_monthly_credits")))
         .withColumn("m1_share", S.share(F.col("credits_month_1"), F.col("credits_90d")))
     )
     carr = F.col("active_committed_arr").cast("double") * F.col("healthscore")
     out = (
-        models.scored(state, p)
-        .join(b.stg_accounts, "account_id")
-        .select(
+        models.scored(state, p).select(
             F.col("day").alias("as_of_date"),
             "account_id",
             "company_name",
@@ -156,7 +182,8 @@ def carr_account_day(b) -> DataFrame:
 
 
 def carr_account_month_end(b) -> DataFrame:
-    return b.month_end_metric.withColumnRenamed("as_of_date", "month_end")
+    """Every account on every month-end up to the as-of date."""
+    return b.all_month_ends.withColumnRenamed("as_of_date", "month_end")
 
 
 def carr_per_rep(month_ends: DataFrame) -> DataFrame:
@@ -165,7 +192,7 @@ def carr_per_rep(month_ends: DataFrame) -> DataFrame:
 
 
 def carr_rep_month_end(b) -> DataFrame:
-    per_rep = b.month_end_metric.groupBy("rep_id", F.col("as_of_date").alias("month_end")).agg(*models.sums())
+    per_rep = b.all_month_ends.groupBy("rep_id", F.col("as_of_date").alias("month_end")).agg(*models.sums())
     return (
         b.stg_sales_reps.join(per_rep, "rep_id")
         .select("month_end", "rep_id", "rep_name", "region", "segment", "n_accounts", "committed_arr", "carr",
@@ -176,7 +203,10 @@ def carr_rep_month_end(b) -> DataFrame:
 def restatement_diff(
     frozen: DataFrame, recomputed: DataFrame, tolerance: float = 0.0, key: str = "account_id"
 ) -> DataFrame:
-    """Rows of closed months whose recomputed value differs from the published one; published rows stay as they are."""
+    """All rows of closed months whose recomputed value differs from the published one; published rows stay as they are.
+
+    ``needs_restatement`` marks the differences above ``tolerance``; the others need a note only.
+    """
     keys = ["month_end", key]
     old = frozen.select(*keys, F.col("carr").alias("old_value"))
     new = recomputed.select(*keys, F.col("carr").alias("new_value"))
@@ -185,6 +215,6 @@ def restatement_diff(
         old.join(new, keys, "full_outer")
         .where(~F.col("old_value").eqNullSafe(F.col("new_value")))
         .withColumn("delta", delta)
-        .where(F.abs("delta") > tolerance)
+        .withColumn("needs_restatement", F.abs("delta") > tolerance)
         .withColumnRenamed("month_end", "as_of_month")
     )

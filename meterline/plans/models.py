@@ -12,7 +12,9 @@ from ..functions.edges import CARR_SUM, carr_sum
 from ..operators import usage as U
 from ..operators.skew import salted_join
 from ..params import Params
+from ..sources import schemas
 
+# The tables in the order in which they depend on each other.
 TABLES = [
     "stg_sales_reps",
     "stg_accounts",
@@ -30,15 +32,27 @@ TABLES = [
 ]
 # Roll-ups that several tables and reports read; written along with the tables.
 SHARED = ["usage_daily", "active_usage"]
+# A shared roll-up is written right after the table it belongs to.
+WRITE_ORDER = [t for name in TABLES for t in (name, *{"int_orphan_usage": SHARED[:1], "int_account_active_contracts": SHARED[1:]}.get(name, []))]
 
 
 # ---- staging ----
 
 
+def canonical(column: str, values: list[str]) -> Column:
+    """Trimmed, and in the known spelling if it differs from a known value in case only."""
+    text = F.trim(F.col(column).cast("string"))
+    known = F.create_map(*[F.lit(x) for v in values for x in (v.lower(), v)])
+    return F.coalesce(F.try_element_at(known, F.lower(text)), text)
+
+
 def stg_sales_reps(reps: DataFrame) -> DataFrame:
-    text = lambda c: F.col(c).cast("string")
-    return reps.select(text("rep_id").alias("rep_id"), text("name").alias("rep_name"), text("region").alias("region"),
-                       text("segment").alias("segment"))
+    return reps.select(
+        F.col("rep_id").cast("string").alias("rep_id"),
+        F.trim(F.col("name").cast("string")).alias("rep_name"),
+        canonical("region", schemas.REGIONS).alias("region"),
+        canonical("segment", schemas.SEGMENTS).alias("segment"),
+    )
 
 
 def stg_accounts(accounts: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
@@ -46,7 +60,14 @@ def stg_accounts(accounts: DataFrame, reps: DataFrame, p: Params) -> DataFrame:
     placed = salted_join(
         accounts, reps.select("rep_id", "region", "segment"), ["rep_id"], ["account_id"], p.skew_salts
     )
-    return placed.select("account_id", "company_name", "industry", "rep_id", "region", "segment")
+    return placed.select(
+        "account_id",
+        F.trim("company_name").alias("company_name"),
+        canonical("industry", schemas.INDUSTRIES).alias("industry"),
+        "rep_id",
+        "region",
+        "segment",
+    )
 
 
 def stg_contracts(contracts: DataFrame, p: Params) -> DataFrame:

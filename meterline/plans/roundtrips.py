@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,7 +63,7 @@ def src_incremental_merge(b) -> DataFrame:
 
 
 def export_csv(b) -> DataFrame:
-    """The largest accounts of the current mart as one CSV file, read back."""
+    """All accounts of the current mart as CSV, largest first, read back."""
     path = scratch_path(b.spark, "export")
     cols = ["account_id", "rep_id", "committed_arr", "healthscore", "carr", "band"]
     sinks.export_csv(b.mart_carr_current.select(*cols), path, [*desc("carr"), F.col("account_id")])
@@ -71,31 +71,24 @@ def export_csv(b) -> DataFrame:
     return b.spark.read.schema(schema).option("header", True).csv(path)
 
 
-def _publish_all(b, path: str) -> list[tuple[date, bool]]:
-    """Publish each month-end once and try a second time; True where the second write was refused."""
-    rows = history.carr_account_month_end(b)
-    stage = scratch_path(b.spark, "months")
-    sinks.write_table(rows, stage)
-    rows = b.spark.read.parquet(stage)
-    out = []
-    for m in b.p.month_ends:
-        sinks.publish_month(rows, path, m)
-        try:
-            sinks.publish_month(rows.withColumn("carr", F.lit(0.0)), path, m)
-            out.append((m, False))
-        except sinks.MonthClosed:
-            out.append((m, True))
-    return out
+def _published(b) -> tuple[str, DataFrame]:
+    """The folder of all month-ends, published once, and what was to be published."""
+    path, rows = scratch_path(b.spark, "frozen"), history.carr_account_month_end(b)
+    sinks.publish_months(rows, path)
+    return path, rows
 
 
 def freeze_write(b) -> DataFrame:
     """Published months with their totals after a second write was tried."""
-    path = scratch_path(b.spark, "frozen")
-    refused = b.spark.createDataFrame(_publish_all(b, path), "month_end date, second_write_refused boolean")
+    path, rows = _published(b)
+    again = sinks.publish_months(rows.withColumn("carr", F.lit(0.0)), path)
+    refused = b.spark.createDataFrame([(m,) for m in again], "month_end date").withColumn("refused", F.lit(True))
     kept = b.spark.read.parquet(path).groupBy("month_end").agg(
         F.count("*").alias("n_accounts"), F.sum(F.col("carr").cast("decimal(28,6)")).alias("carr")
     )
-    return kept.join(refused, "month_end")
+    return kept.join(refused, "month_end", "left").select(
+        "month_end", "n_accounts", "carr", F.coalesce("refused", F.lit(False)).alias("second_write_refused")
+    )
 
 
 def _backfilled(b):
@@ -108,20 +101,26 @@ def _backfilled(b):
 
 
 def restatement_diff(b) -> DataFrame:
-    """Accounts of published months that a backfill would move by more than 500 dollars."""
-    old, new = history.carr_account_month_end(b), history.carr_account_month_end(_backfilled(b))
-    return history.restatement_diff(old, new, tolerance=500.0).withColumn("rationale", F.lit("usage backfill"))
+    """Accounts of published months that a backfill would move, appended to the table of restatements and read back.
+
+    Differences above 500 dollars need a restatement, smaller ones a note.
+    """
+    path, _ = _published(b)
+    diff = history.restatement_diff(b.spark.read.parquet(path), history.carr_account_month_end(_backfilled(b)), 500.0)
+    table = scratch_path(b.spark, "restatements")
+    sinks.append_results(diff, table, schemas.RESTATEMENTS, {"rationale": F.lit("usage backfill")})
+    return b.spark.read.parquet(table).drop("approvers", "changelog_link")
 
 
 def restatement_by_rep(b) -> DataFrame:
-    """Reps of published months that the same backfill would move by more than 5,000 dollars."""
-    old, new = history.carr_account_month_end(b), history.carr_account_month_end(_backfilled(b))
+    """Reps of published months that the same backfill would move; above 5,000 dollars they need a restatement."""
+    path, _ = _published(b)
+    old, new = b.spark.read.parquet(path), history.carr_account_month_end(_backfilled(b))
     return history.restatement_diff(history.carr_per_rep(old), history.carr_per_rep(new), 5000.0, "rep_id")
 
 
 def stream_daily_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    """The event table as a stream, rolled up to closed days in a parquet table."""
+    """The event table as a stream, landed by day and reconciled to daily usage: open days and late events included."""
     base = scratch_path(spark, "stream")
-    rolled = R.daily_rollup(R.usage_events(R.read_events(spark, folder, "events.parquet")))
-    R.start(rolled, f"{base}/out", f"{base}/state").awaitTermination()
-    return spark.read.schema(rolled.schema).parquet(f"{base}/out")
+    R.land(R.usage_events(R.read_events(spark, folder, "events.parquet")), f"{base}/events", f"{base}/state").awaitTermination()
+    return R.reconciled(R.landed(spark, f"{base}/events"))

@@ -10,6 +10,8 @@ from ..functions import scoring as S
 from ..functions.edges import CARR_SUM
 from ..operators import ordered as O
 from ..operators.skew import salted_join
+from ..session import scratch_path
+from ..sources import sinks
 from . import history, trends
 from .evals import labelled
 from .marts import desc, money
@@ -292,24 +294,25 @@ def eval_determinism(b) -> DataFrame:
     from .book import Book
     from .catalog import checksum
 
-    again = Book({n: df.repartition(5, df.columns[-1]) for n, df in b.sources.items()}, b.p)
+    again = Book({n: df.repartition(F.xxhash64(*reversed(df.columns))) for n, df in b.sources.items()}, b.p)
     runs = checksum(b.metric_carr).unionByName(checksum(again.metric_carr))
     same = (F.min("n_rows") == F.max("n_rows")) & (F.min("sum_hash") == F.max("sum_hash"))
     return runs.agg(F.max("n_rows").alias("n_rows"), same.alias("identical"))
 
 
 def eval_freeze(b) -> DataFrame:
-    """Month-end rows published in an earlier run against the same months computed on a later as-of date."""
+    """Month-end rows that an earlier run published against the same months computed on a later as-of date."""
     from dataclasses import replace
 
     from .book import Book
 
     later = Book(b.sources, replace(b.p, as_of=b.p.month_ends[-1]))
     earlier = Book(b.sources, replace(b.p, as_of=b.p.month_ends[-2]))
-    closed = earlier.p.month_ends[1:]
-    pick = lambda k: history.carr_account_month_end(k).where(F.col("month_end").isin(closed))
-    old = pick(earlier).select("month_end", "account_id", F.col("carr").alias("old"))
-    new = pick(later).select("month_end", "account_id", F.col("carr").alias("new"))
+    path = scratch_path(b.spark, "published")
+    sinks.publish_months(history.carr_account_month_end(earlier), path)
+    old = b.spark.read.parquet(path).select("month_end", "account_id", F.col("carr").alias("old"))
+    closed = F.col("month_end") <= F.lit(earlier.p.as_of)
+    new = history.carr_account_month_end(later).where(closed).select("month_end", "account_id", F.col("carr").alias("new"))
     both = old.join(new, ["month_end", "account_id"], "full_outer")
     changed = F.count_if(~F.col("old").eqNullSafe(F.col("new")))
     row = both.agg(F.count("*").alias("n_rows"), changed.alias("n_changed"))

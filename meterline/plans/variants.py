@@ -72,21 +72,14 @@ def clean_daily(b) -> DataFrame:
 
 
 def join_semi_range_usage_contract(b) -> DataFrame:
-    """Logs of known accounts dated inside some contract."""
-    return salted_join(
-        b.stg_daily_usage_logs, b.covered_days, ["account_id", "usage_date"], ["log_id"], b.p.skew_salts, "left_semi"
-    )
+    """Logs of known accounts dated inside some contract. (account, day) is a fine key, so nothing is salted."""
+    return b.stg_daily_usage_logs.join(b.covered_days, ["account_id", "usage_date"], "left_semi")
 
 
 def split_clean_orphan(b) -> DataFrame:
     """Every log once, tagged clean or orphan; writers filter the tag into the two tables."""
-    tagged = salted_join(
-        b.stg_daily_usage_logs,
-        b.covered_days.withColumn("_covered", F.lit(True)),
-        ["account_id", "usage_date"],
-        ["log_id"],
-        b.p.skew_salts,
-    )
+    covered = b.covered_days.withColumn("_covered", F.lit(True))
+    tagged = b.stg_daily_usage_logs.join(covered, ["account_id", "usage_date"], "left")
     side = F.when(F.col("_covered"), "clean").otherwise("orphan")
     return tagged.withColumn("side", side).drop("_covered")
 
@@ -211,17 +204,17 @@ def score_modifier(b) -> DataFrame:
 
 
 def contract_day(b) -> DataFrame:
-    return I.contract_days(b.stg_contracts, b.p.window_start + timedelta(days=1), b.p.as_of)
+    """One row per contract and day it is active on within the observation window (first to last day of usage)."""
+    return I.contract_days(b.stg_contracts, *b.observed)
 
 
 def primary_contract_day(b) -> DataFrame:
-    return I.primary_contract_days(b.stg_contracts, b.p.window_start + timedelta(days=1), b.p.as_of)
+    return I.primary_contract_days(b.stg_contracts, *b.observed)
 
 
 def account_day(b) -> DataFrame:
-    """Contract sums per account and active day of the window, from running sums of daily changes."""
-    low = b.p.window_start + timedelta(days=1)
-    return daily_state(b, every_day(low, b.p.as_of)).select(
+    """Contract sums per account and active day of the observation window, from running sums of daily changes."""
+    return daily_state(b, every_day(*b.observed)).select(
         "account_id",
         "day",
         F.col("active_committed_arr").alias("committed_arr_on_day"),

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: Keeps streaming state off the executors' heap.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
@@ -22,6 +24,8 @@ def build_session(master: str | None = None, partitions: int | None = None, app:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         b = b.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")

@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
-from .schemas import ACCOUNT_ARCHETYPES, SOURCES
+from .schemas import ACCOUNT_ARCHETYPES, FREE_TEXT, SOURCES
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Header row skipped, quoted newlines kept, malformed rows rejected."""
+    """Header row skipped, malformed rows rejected.
+
+    Quoted newlines are kept in tables with names typed by people; such a file can't be split. The others, the
+    usage logs among them, are read in pieces.
+    """
+    free_text = any(f.name in FREE_TEXT for f in schema.fields)
     return (
         spark.read.schema(schema)
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", free_text)
         .option("escape", '"')
         .option("mode", "FAILFAST")
         .csv(path)

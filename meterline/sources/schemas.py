@@ -76,6 +76,7 @@ RESTATEMENTS = _schema(
     ("old_value", T.DoubleType(), True),
     ("new_value", T.DoubleType(), True),
     ("delta", T.DoubleType(), False),
+    ("needs_restatement", T.BooleanType(), True),
     ("rationale", T.StringType(), True),
     ("approvers", T.StringType(), True),
     ("changelog_link", T.StringType(), True),
@@ -86,6 +87,9 @@ ROW_COUNTS = _schema(
     ("n_rows", T.LongType(), False),
 )
 
+# Columns that people type.
+FREE_TEXT = ("name", "company_name")
+
 # Enumerations of the mapped fixture. Open strings in the data, checked by the quality plans.
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 SEGMENTS = ["Enterprise", "Mid-Market"]

@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,23 +21,21 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A written table with the columns it was written from."""
-    return spark.read.parquet(path).drop("usage_month")
+    """A written table. Month-partitioned ones keep their month column, so that a filter on it prunes folders."""
+    return spark.read.parquet(path)
 
 
-def write_usage(df: DataFrame, path: str, files_per_month: int = 1, day: str = "usage_date") -> None:
-    """Month partitions, sorted by account inside each file so row-group statistics can skip accounts.
+def by_month(df: DataFrame, day: str, month: str = "usage_month") -> DataFrame:
+    """Rows brought together by month. Adaptive execution cuts large months into pieces of its advisory size and joins small
+    ones, so neither a large month nor a large account ends up in a single task."""
+    return df.withColumn(month, F.trunc(day, "month")).hint("rebalance", F.col(month))
 
-    A month is spread over ``files_per_month`` tasks by a hash of the log id, so neither a
-    large month nor a large account ends up in a single task.
-    """
-    piece = F.pmod(F.xxhash64("log_id"), F.lit(files_per_month))
+
+def write_usage(df: DataFrame, path: str, day: str = "usage_date") -> None:
+    """Month partitions, sorted by account inside each file so row-group statistics can skip accounts."""
     (
-        df.withColumn("usage_month", F.trunc(day, "month"))
-        .withColumn("_piece", piece)
-        .repartition("usage_month", "_piece")
+        by_month(df, day)
         .sortWithinPartitions("usage_month", "account_id")
-        .drop("_piece")
         .write.mode("overwrite")
         .partitionBy("usage_month")
         .parquet(path)
@@ -51,42 +50,70 @@ def write_clustered(df: DataFrame, table: str, path: str, buckets: int) -> None:
 
 
 def merge_usage(spark: SparkSession, path: str, incoming: DataFrame, day: str = "usage_date") -> None:
-    """Replace only the month partitions that the incoming logs touch; an incoming log wins over a stored one.
+    """Replace only the months that hold an incoming log or will hold one; an incoming log wins over a stored one.
 
-    The touched months are few and bounded by the calendar, so they are the one thing read to the driver,
-    which lets the stored side prune partitions.
+    A log whose day moved to another month leaves its old month. Of several incoming versions of a log the one with the latest day,
+    then the most credits, is kept. The touched months are few and bounded by the calendar, so they are the one
+    thing read to the driver, which lets the stored side prune partitions.
     """
-    fresh = incoming.withColumn("usage_month", F.trunc(day, "month"))
-    months = [r[0] for r in fresh.select("usage_month").distinct().collect()]
-    stored = spark.read.parquet(path).where(F.col("usage_month").isin(months))
-    kept = stored.join(fresh.select("log_id", "usage_month"), ["log_id", "usage_month"], "left_anti")
-    merged = kept.unionByName(fresh)
+    versions = W.partitionBy("log_id").orderBy(F.desc(day), F.desc("credits_consumed"), F.desc("account_id"))
+    fresh = incoming.withColumn("_v", F.row_number().over(versions)).where("_v = 1").drop("_v")
+    fresh = fresh.withColumn("usage_month", F.trunc(day, "month")).checkpoint()
+    stored = spark.read.parquet(path)
+    ids = fresh.select("log_id")
+    touched = fresh.select("usage_month").unionByName(stored.join(ids, "log_id", "left_semi").select("usage_month"))
+    months = [r[0] for r in touched.distinct().collect()]
+    kept = stored.where(F.col("usage_month").isin(months)).join(ids, "log_id", "left_anti")
     # The read partitions are the ones replaced, so the merged rows are cut from the old files first.
-    merged = merged.checkpoint()
+    merged = kept.unionByName(fresh).checkpoint()
+    # A month that keeps no log has nothing to be written over it; its folder is replaced by an empty file set.
+    left = {r[0] for r in merged.select("usage_month").distinct().collect()}
     (
-        merged.repartition("usage_month", F.pmod(F.xxhash64("log_id"), F.lit(4)))
+        by_month(merged, day)
+        .sortWithinPartitions("usage_month", "account_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("usage_month")
         .parquet(path)
     )
+    for month in sorted(set(months) - left):
+        empty = merged.where("false").drop("usage_month")
+        empty.write.mode("overwrite").parquet(f"{path}/usage_month={month.isoformat()}")
 
 
 class MonthClosed(Exception):
     """Raised when a published month would be written again."""
 
 
-def publish_month(df: DataFrame, path: str, month: date) -> None:
-    """Write one month-end snapshot once. A second write for the same month fails and changes nothing."""
-    rows = df.where(F.col("month_end") == F.lit(month)).drop("month_end")
+def published_months(spark: SparkSession, path: str, month: str = "month_end") -> list[date]:
+    """Months that hold published rows, from the folder names alone."""
     try:
-        rows.write.mode("errorifexists").parquet(f"{path}/month_end={month.isoformat()}")
+        return sorted(r[0] for r in spark.read.parquet(path).select(month).distinct().collect())
     except AnalysisException as e:
-        if e.getCondition() == "PATH_ALREADY_EXISTS":
-            raise MonthClosed(f"{month} is already published at {path}") from e
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return []
         raise
 
 
+def publish_months(df: DataFrame, path: str) -> list[date]:
+    """Write the month-ends of ``df`` that aren't published yet, in one job. Returns those that are: they stay as they are.
+
+    A write that fails halfway leaves nothing behind, as files are moved into place when the job commits.
+    """
+    closed = published_months(df.sparkSession, path)
+    fresh = df.where(~F.col("month_end").isin(closed)) if closed else df
+    fresh.hint("rebalance", F.col("month_end")).write.mode("append").partitionBy("month_end").parquet(path)
+    if not closed:
+        return []
+    return [r[0] for r in df.where(F.col("month_end").isin(closed)).select("month_end").distinct().orderBy("month_end").collect()]
+
+
+def publish_month(df: DataFrame, path: str, month: date) -> None:
+    """Write one month-end snapshot once. A second write for the same month fails and changes nothing."""
+    if publish_months(df.where(F.col("month_end") == F.lit(month)), path):
+        raise MonthClosed(f"{month} is already published at {path}")
+
+
 def append_results(df: DataFrame, path: str, schema: T.StructType, run: dict[str, Column]) -> None:
     """Append one run's rows to a result table; ``run`` gives the run columns, never a clock."""
     for name, value in run.items():
@@ -97,6 +124,8 @@ def append_results(df: DataFrame, path: str, schema: T.StructType, run: dict[str
     df.select(*cols).write.mode("append").parquet(path)
 
 
-def export_csv(df: DataFrame, path: str, order: list[Column], limit: int = 5000) -> None:
-    """A table view as one CSV file of at most ``limit`` rows."""
-    df.orderBy(*order).limit(limit).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def export_csv(df: DataFrame, path: str, order: list[Column], limit: int | None = None) -> None:
+    """A table view as CSV files that follow each other in the given order: all rows, or the first ``limit`` if one is given."""
+    rows = df.orderBy(*order)
+    rows = rows if limit is None else rows.limit(limit)
+    rows.write.mode("overwrite").option("header", True).csv(path)

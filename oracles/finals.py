@@ -52,12 +52,10 @@ BY = lambda keys: (
 BIN = lambda x, k: (
     f"CAST(LEAST(FLOOR(({x} - 0.40::DOUBLE) / (1.30::DOUBLE - 0.40::DOUBLE) * {k}), {k - 1}) AS BIGINT) AS bin"
 )
-HALF_UP = lambda x: f"CAST(FLOOR(CAST({x} AS DOUBLE) + 0.5) AS BIGINT)"
-PCT = lambda x: f"CAST({HALF_UP(f'{x} * 100')} AS VARCHAR) || '%'"
-DOLLARS = lambda x: f"format('${{:,}}', {HALF_UP(x)})"
-TWO = lambda x: (
-    f"CAST({HALF_UP(f'{x} * 100')} // 100 AS VARCHAR) || '.' || lpad(CAST({HALF_UP(f'{x} * 100')} % 100 AS VARCHAR), 2, '0')"
-)
+# The engine's own formatting rounds the exact binary value, ties to even.
+PCT = lambda x: f"format('{{:.0f}}', CAST({x} AS DOUBLE) * 100) || '%'"
+DOLLARS = lambda x: f"format('${{:,}}', CAST(format('{{:.0f}}', CAST({x} AS DOUBLE)) AS BIGINT))"
+TWO = lambda x: f"format('{{:.2f}}', CAST({x} AS DOUBLE))"
 
 DAILY_DETAIL = "DATE '1997-05-31'"
 
@@ -510,10 +508,13 @@ MONTH_AUDIT = f"""SELECT account_id, {COUNT} AS n_months, {r('MIN(q)', 'min_rati
 RETAIN = f"""SELECT account_id, CASE WHEN usage_date >= {DAILY_DETAIL} THEN 'day' ELSE 'month' END AS grain,
     CAST(CASE WHEN usage_date >= {DAILY_DETAIL} THEN usage_date ELSE date_trunc('month', usage_date) END AS DATE) AS period_start,
     {COUNT} AS n_logs, {m('SUM(credits_consumed)', 'credits')}
-    FROM stg_daily_usage_logs WHERE account_id IS NOT NULL GROUP BY 1, 2, 3"""
-CLOSURE = """SELECT v.rep_id AS viewer, s.rep_id AS rep, CASE WHEN v.rep_id = s.rep_id THEN 0 ELSE 1 END AS depth
-    FROM sales_reps v JOIN sales_reps s ON v.rep_id = s.rep_id
-      OR v.rep_id = 'R' || lpad(CAST(CAST(substr(s.rep_id, 2) AS BIGINT) // 10 * 10 AS VARCHAR), 6, '0')"""
+    FROM stg_daily_usage_logs GROUP BY 1, 2, 3"""
+CLOSURE = """WITH RECURSIVE boss AS (
+      SELECT rep_id, 'R' || regexp_replace(substr(rep_id, 2), '[1-9](0*)$', '0\\1') AS manager_id FROM sales_reps
+    ), seen AS (
+      SELECT rep_id AS viewer, rep_id AS rep, 0 AS depth FROM sales_reps
+      UNION ALL SELECT manager_id, rep, depth + 1 FROM seen JOIN boss ON boss.rep_id = seen.viewer WHERE manager_id <> boss.rep_id
+    ) SELECT * FROM seen"""
 OBS = f"""SELECT 'stg_daily_usage_logs' AS table_name, COUNT(*) AS a, COUNT(CASE WHEN usage_date <= {T} - 1 THEN 1 END) AS b
       FROM int_orphan_usage WHERE usage_date <= {T}
     UNION ALL SELECT 'orphan_usage', COUNT(*), COUNT(CASE WHEN usage_date <= {T} - 1 THEN 1 END)
@@ -691,12 +692,12 @@ FINALS: dict[str, str] = {
     "score_modifier": f"""SELECT account_id, COALESCE(m1_share >= 0.70::DOUBLE AND contract_age_days >= 90, FALSE) AS spike,
         COALESCE(n_active_contracts >= 2 AND utilization_u > 1.0::DOUBLE, FALSE) AS expanding, {r('modifier')} FROM scores""",
     "contract_day": f"""SELECT contract_id, account_id, day, {m('annual_commit_dollars')}, {n('included_monthly_credits')}
-        FROM contract_days""",
-    "primary_contract_day": f"""SELECT account_id, day, contract_id, {n('included_monthly_credits')} FROM contract_days
+        FROM contract_observed_days""",
+    "primary_contract_day": f"""SELECT account_id, day, contract_id, {n('included_monthly_credits')} FROM contract_observed_days
         QUALIFY ROW_NUMBER() OVER (PARTITION BY account_id, day ORDER BY included_monthly_credits DESC, contract_id) = 1""",
     "account_day": f"""SELECT account_id, day, {m('SUM(annual_commit_dollars)', 'committed_arr_on_day')},
         {m('CAST(SUM(included_monthly_credits) AS DOUBLE) / 30.0::DOUBLE', 'daily_included_credits')},
-        {COUNT} AS active_contract_count, COUNT(*) > 1 AS has_overlap_on_day FROM contract_days GROUP BY account_id, day""",
+        {COUNT} AS active_contract_count, COUNT(*) > 1 AS has_overlap_on_day FROM contract_observed_days GROUP BY account_id, day""",
     "overlap_pairs": f"""SELECT account_id, {COUNT} AS n_overlapping_pairs FROM pairs WHERE prev_end > start_date GROUP BY account_id""",
     "overlap_non_expansion": f"""SELECT account_id, contract_id, prev_id AS prev_contract_id,
         {n("date_diff('day', GREATEST(start_date, prev_start), LEAST(end_date, prev_end)) + 1", 'overlap_days')},
@@ -812,13 +813,11 @@ FINALS: dict[str, str] = {
     "src_labels": "SELECT account_id, archetype FROM rule_labels",
     "src_incremental_merge": f"""SELECT CAST(date_trunc('month', usage_date) AS DATE) AS usage_month, {COUNT} AS n_logs,
         {m('SUM(credits_consumed)', 'credits')} FROM stg_daily_usage_logs GROUP BY 1""",
-    "export_csv": top(
-        f"account_id, rep_id, {m('committed_arr')}, {r('healthscore')}, {m('carr')}, band", "cur", "carr DESC, account_id", 5000
-    ),
+    "export_csv": f"SELECT account_id, rep_id, {m('committed_arr')}, {r('healthscore')}, {m('carr')}, band FROM cur",
     "freeze_write": f"SELECT t AS month_end, {COUNT} AS n_accounts, {m(CARR, 'carr')}, TRUE AS second_write_refused FROM months GROUP BY t",
     "stream_daily_rollup": f"""SELECT CAST(ts AS DATE) AS usage_date, 'ACC' || lpad(CAST(user_id AS VARCHAR), 8, '0') AS account_id,
-        {COUNT} AS n_logs, {m('SUM(CAST(value AS DECIMAL(18,2)))', 'credits_consumed')} FROM events
-        WHERE CAST(ts AS DATE) + 1 <= (SELECT MAX(ts) FROM events) - INTERVAL 2 DAY GROUP BY 1, 2""",
+        {COUNT} AS n_logs, {m('SUM(CAST(value AS DECIMAL(18,2)))', 'credits_consumed')} FROM
+        (SELECT * FROM events QUALIFY ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY ts, user_id, value) = 1) GROUP BY 1, 2""",
 }
 
 # The month-end metric once more, over every log of a known account.
@@ -830,14 +829,15 @@ BACKFILL = {
     "metric_backfill": CTES["metric_on"].replace("scores_on", "scores_backfill"),
 }
 RESTATED = f"""SELECT t AS as_of_month, account_id, {m('o', 'old_value')}, {m('w', 'new_value')}, {m('w - o', 'delta')},
-    'usage backfill' AS rationale
+    ABS(w - o) > 500 AS needs_restatement, 'usage backfill' AS rationale
     FROM (SELECT f.t, f.account_id, f.carr AS o, b.carr AS w FROM months f JOIN metric_backfill b
-          ON f.t = b.t AND f.account_id = b.account_id) WHERE ABS(w - o) > 500"""
+          ON f.t = b.t AND f.account_id = b.account_id) WHERE w <> o"""
 
-RESTATED_REP = f"""SELECT t AS as_of_month, rep_id, {m('o', 'old_value')}, {m('w', 'new_value')}, {m('w - o', 'delta')}
+RESTATED_REP = f"""SELECT t AS as_of_month, rep_id, {m('o', 'old_value')}, {m('w', 'new_value')}, {m('w - o', 'delta')},
+    ABS(w - o) > 5000 AS needs_restatement
     FROM (SELECT f.t, f.rep_id, CAST(SUM({EXACT('f.carr')}) AS DOUBLE) AS o, CAST(SUM({EXACT('b.carr')}) AS DOUBLE) AS w
           FROM months f JOIN metric_backfill b ON f.t = b.t AND f.account_id = b.account_id GROUP BY f.t, f.rep_id)
-    WHERE ABS(w - o) > 5000"""
+    WHERE w <> o"""
 
 EVALS_NOW = build(EVALS)
 EVALS_BEFORE = EVALS_NOW.replace(T, "DATE '1999-05-31'")
@@ -848,6 +848,14 @@ REPORT_DELTA = f"""SELECT COALESCE(a.check_id, b.check_id) AS check_id, a.passed
 
 ORACLES: dict[str, str] = {k: build(v) for k, v in FINALS.items()}
 ORACLES["carr_account_day"] = build(f"SELECT t AS as_of_date, {DAY_METRIC} FROM metric_on", days_t=HOT_DAYS)
-ORACLES["restatement_diff"] = build(RESTATED, **BACKFILL)
-ORACLES["restatement_by_rep"] = build(RESTATED_REP, **BACKFILL)
+# Every month-end since the first contract; the calendar comes from the data.
+EVERY_MONTH = {
+    "days_t": f"""SELECT CAST(last_day(g) AS DATE) AS t FROM (SELECT unnest(generate_series(
+        (SELECT date_trunc('month', MIN(start_date)) FROM stg_contracts), {T}, INTERVAL 1 MONTH)) AS g) WHERE last_day(g) <= {T}""",
+    "months": "SELECT * FROM metric_on",
+}
+for key in ("carr_account_month_end", "carr_rep_month_end", "freeze_write", "eval_freeze"):
+    ORACLES[key] = build(FINALS[key], **EVERY_MONTH)
+ORACLES["restatement_diff"] = build(RESTATED, **EVERY_MONTH, **BACKFILL)
+ORACLES["restatement_by_rep"] = build(RESTATED_REP, **EVERY_MONTH, **BACKFILL)
 ORACLES["eval_report_delta"] = REPORT_DELTA

@@ -3,6 +3,7 @@
 from datetime import date, timedelta
 from decimal import Decimal
 
+from meterline.operators import intervals
 from meterline.plans import history, marts, quality, variants
 from pyspark.sql import functions as F
 
@@ -163,3 +164,32 @@ def test_spec_variant_trusts_young_account(make_book):
 def test_stg_contract_age_is_signed(make_book):
     b = make_book([contract("C1", start=T + D(3))])
     assert b.stg_contracts.select(F.col("contract_age_days")).first()[0] == -3
+
+
+def test_staging_trims_and_spells_known_values(make_book):
+    b = make_book(
+        accounts=[("A1", " Acme  Co ", "building ", "R1"), ("A2", "B", "Space Travel", "R1")],
+        reps=[("R1", " Rep One", " asia ", "ENTERPRISE")],
+    )
+    rep = b.stg_sales_reps.first()
+    assert (rep.rep_name, rep.region, rep.segment) == ("Rep One", "ASIA", "Enterprise")
+    got = {r.account_id: (r.company_name, r.industry, r.region) for r in b.stg_accounts.collect()}
+    assert got == {"A1": ("Acme  Co", "BUILDING", "ASIA"), "A2": ("B", "Space Travel", "ASIA")}
+
+
+def test_primary_contract_of_every_day(make_book):
+    rng = __import__("random").Random(1)
+    rows = []
+    for i in range(60):
+        start = T - D(rng.randint(0, 80))
+        rows.append(contract(f"C{i:02}", f"A{rng.randint(1, 3)}", start, start + D(rng.randint(-1, 40)), included=rng.randint(1, 4)))
+    low, high = T - D(60), T
+    got = {(r.account_id, r.day): (r.contract_id, r.included_monthly_credits) for r in intervals.primary_contract_days(
+        make_book(rows).stg_contracts, low, high).collect()}
+    want = {}
+    for n in range(61):
+        day = low + D(n)
+        for i, a, s, e, _, k in sorted(rows, key=lambda r: (r[5], [-ord(c) for c in r[0]])):
+            if s <= day <= e:
+                want[a, day] = (i, k)
+    assert got == want

@@ -77,3 +77,17 @@ def test_histogram_edges(spark):
     df = spark.createDataFrame([(0.40,), (1.30,), (0.85,)], "x double")
     bins = df.select(S.histogram_bin(F.col("x"), F.lit(0.40), F.lit(1.30), 20)).collect()
     assert [b[0] for b in bins][:2] == [0, 19]
+
+
+def test_texts_round_the_exact_value(spark):
+    values = [0.625, 0.295, 0.125, 0.135, 0.5, 1.005, 1.3, 0.4, 0.8750000000000001, 0.875, 2.675, 7.995]
+    shares = [0.125, 0.135, 0.375, 0.005, 0.015, 2.5, 0.145]
+    money = [0.5, 1.5, 2.5, 1234567.5, 1234568.5, 999.49999999, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", S.two_decimals(F.col("v")).alias("t"))
+    assert {r.v: r.t for r in df.collect()} == {v: f"{v:.2f}" for v in values}
+    df = spark.createDataFrame([(v,) for v in shares], "v double").select("v", S.percent_text(F.col("v")).alias("t"))
+    assert {r.v: r.t for r in df.collect()} == {v: f"{v:.0%}" for v in shares}
+    df = spark.createDataFrame([(v,) for v in money], "v double").select("v", S.dollars_text(F.col("v")).alias("t"))
+    assert {r.v: r.t for r in df.collect()} == {v: f"${v:,.0f}" for v in money}
+    literal = {0.625: "0.62", 0.295: "0.29"}
+    assert {v: f"{v:.2f}" for v in literal} == literal and f"{0.125:.0%}" == "12%"

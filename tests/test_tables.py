@@ -1,12 +1,12 @@
 """Sources, sinks, the stream and access rules through real files."""
 
 import datetime as dt
-from dataclasses import replace
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from meterline.operators.intervals import in_months
 from meterline.plans import catalog, evals, governance, models, quality
 from meterline.plans.build import write_all
 from meterline.plans.book import Book
@@ -58,6 +58,61 @@ def test_merge_replaces_only_touched_months(spark, tmp_path):
     assert got == {"a": 1, "b": 9, "c": 1, "d": 4}
 
 
+def usage_table(spark, tmp_path, rows):
+    ready_for_checkpoint(spark)
+    schema = "log_id string, account_id string, usage_date date, credits_consumed int"
+    path = str(tmp_path / "usage")
+    sinks.write_usage(spark.createDataFrame(rows, schema), path)
+
+    def merge(new):
+        sinks.merge_usage(spark, path, spark.createDataFrame(new, schema))
+        return sorted((r.log_id, r.usage_date, r.credits_consumed, r.usage_month) for r in spark.read.parquet(path).collect())
+
+    return merge
+
+
+def test_merge_moves_a_log_to_another_month(spark, tmp_path):
+    feb, mar = date(2026, 2, 5), date(2026, 3, 5)
+    merge = usage_table(spark, tmp_path, [("a", "A", feb, 1), ("z", "A", date(2026, 1, 1), 7)])
+    assert merge([("a", "A", mar, 2)]) == [("a", mar, 2, date(2026, 3, 1)), ("z", date(2026, 1, 1), 7, date(2026, 1, 1))]
+    assert merge([("a", "A", feb, 3)])[0] == ("a", feb, 3, date(2026, 2, 1))
+
+
+def test_merge_keeps_one_version_of_an_incoming_log(spark, tmp_path):
+    d = date(2026, 2, 5)
+    merge = usage_table(spark, tmp_path, [("a", "A", d, 1)])
+    got = merge([("b", "A", d, 4), ("b", "A", date(2026, 2, 6), 3), ("b", "A", d, 9), ("a", "A", d, 5), ("a", "A", d, 5)])
+    assert [r[:3] for r in got] == [("a", d, 5), ("b", date(2026, 2, 6), 3)]
+
+
+def test_published_months_stay(spark, tmp_path):
+    schema = "month_end date, account_id string, carr double"
+    jan, feb = date(2026, 1, 31), date(2026, 2, 28)
+    path = str(tmp_path / "months")
+    assert sinks.publish_months(spark.createDataFrame([(jan, "A", 1.0)], schema), path) == []
+    files = {f.name: f.read_bytes() for f in (tmp_path / "months" / "month_end=2026-01-31").iterdir()}
+    assert sinks.publish_months(spark.createDataFrame([(jan, "A", 9.0), (feb, "A", 2.0)], schema), path) == [jan]
+    assert {f.name: f.read_bytes() for f in (tmp_path / "months" / "month_end=2026-01-31").iterdir()} == files
+    assert sinks.published_months(spark, path) == [jan, feb]
+    assert sorted(r.carr for r in spark.read.parquet(path).collect()) == [1.0, 2.0]
+
+
+def test_month_filter_prunes_folders(spark, tmp_path):
+    rows = [(f"l{i}", "A", date(2025, 1 + i, 3), 1) for i in range(12)]
+    usage_table(spark, tmp_path, rows)
+    df = sinks.read_table(spark, str(tmp_path / "usage"))
+    cut = in_months(df, date(2025, 4, 2), date(2025, 6, 30)).where("usage_date > DATE'2025-04-02'")
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(usage_month" in plan and cut.count() == 3
+
+
+def test_export_has_every_account(spark):
+    from meterline import registry
+
+    folder = "/root/testdata/sf0.1"
+    assert registry.run("export_csv", spark, folder).count() == registry.run("mart_carr_current", spark, folder).count() > 5000
+
+
 def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
     df = spark.range(100).select(F.col("id").cast("string").alias("account_id"), "id")
     for name in ("left_side", "right_side"):
@@ -112,9 +167,10 @@ def test_manager_sees_everyone_below(make_book, spark):
     reps = [(f"R{i}", f"Rep {i}", "ASIA", "Enterprise") for i in range(1, 6)]
     b = make_book(reps=reps, rep_manager=lines)
     got = {(r.viewer_id, r.rep_id): r.depth for r in governance.manager_closure(b).collect()}
-    assert got["R4", "R1"] == 3 and ("R5", "R1") not in got and got["R5", "R2"] == 3 and got["R1", "R1"] == 0
-    deeper = Book(b.sources, replace(b.p, manager_depth=4))
-    assert ("R5", "R1") in {(r.viewer_id, r.rep_id) for r in governance.manager_closure(deeper).collect()}
+    assert got == {(f"R{j}", f"R{i}"): j - i for i in range(1, 6) for j in range(i, 6)}
+    circle = make_book(reps=reps, rep_manager=lines.union(spark.createDataFrame([("R5", "R1")], lines.schema)))
+    with pytest.raises(ValueError):
+        governance.manager_closure(circle)
 
 
 def events(spark, rows):
@@ -133,3 +189,19 @@ def test_stream_drops_late_and_repeated_events(spark, tmp_path):
     R.start(rolled(), out, state).awaitTermination()
     got = {r.usage_date: (r.n_logs, float(r.credits_consumed)) for r in spark.read.parquet(out).collect()}
     assert got == {date(2026, 1, 1): (2, 3.0), date(2026, 1, 6): (1, 4.0)}
+
+
+def test_landed_stream_loses_nothing(spark, tmp_path):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    src, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    ts = lambda d, h=1: datetime(2026, 1, d, h)
+    for mode, rows in (
+        ("error", [(1, ts(1), 1.0), (1, ts(1), 1.0), (2, ts(1, 5), 2.0), (3, ts(6), 4.0)]),
+        ("append", [(4, ts(1), 100.0), (3, ts(6), 4.0), (5, ts(12), 8.0)]),
+    ):
+        events(spark, rows).write.mode(mode).parquet(src)
+        R.land(R.usage_events(R.read_events(spark, src)), out, state).awaitTermination()
+    landed = R.landed(spark, out)
+    assert landed.count() == 7
+    got = {r.usage_date: (r.n_logs, float(r.credits_consumed)) for r in R.reconciled(landed).collect()}
+    assert got == {date(2026, 1, 1): (3, 103.0), date(2026, 1, 6): (1, 4.0), date(2026, 1, 12): (1, 8.0)}
