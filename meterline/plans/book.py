@@ -93,8 +93,9 @@ class Book:
     # history
     @cached_property
     def observed(self) -> tuple[Column, Column]:
-        """First and last day of the usage logs, as scalar subqueries that are read when a plan runs."""
-        days = self.stg_daily_usage_logs.agg(F.min("usage_date").alias("low"), F.max("usage_date").alias("high"))
+        """First and last day of usage known on the as-of date, as scalar subqueries that are read when a plan runs."""
+        known = self.stg_daily_usage_logs.where(F.col("usage_date") <= F.lit(self.p.as_of))
+        days = known.agg(F.min("usage_date").alias("low"), F.max("usage_date").alias("high"))
         return days.select("low").scalar(), days.select("high").scalar()
 
     @cached_property

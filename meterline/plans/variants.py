@@ -204,7 +204,7 @@ def score_modifier(b) -> DataFrame:
 
 
 def contract_day(b) -> DataFrame:
-    """One row per contract and day it is active on within the observation window (first to last day of usage)."""
+    """One row per contract and day it is active on within the observation window (first to last day of usage known on the as-of date)."""
     return I.contract_days(b.stg_contracts, *b.observed)
 
 

@@ -178,7 +178,7 @@ CTES: dict[str, str] = {
     "contract_days": """
       SELECT contract_id, account_id, day, annual_commit_dollars, included_monthly_credits
       FROM stg_contracts JOIN window_days ON day BETWEEN start_date AND end_date""",
-    "observed": "SELECT MIN(usage_date) AS lo, MAX(usage_date) AS hi FROM stg_daily_usage_logs",
+    "observed": f"SELECT MIN(usage_date) AS lo, MAX(usage_date) AS hi FROM stg_daily_usage_logs WHERE usage_date <= {T}",
     "observed_days": "SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM observed",
     "contract_observed_days": """
       SELECT contract_id, account_id, day, annual_commit_dollars, included_monthly_credits
