@@ -15,14 +15,15 @@ import time
 from meterline import registry
 from meterline.plans import marts, models, trends
 from meterline.plans.book import Book
-from meterline.plans.build import write_all
+from meterline.plans.build import write_all, write_history
 from meterline.session import build_session, scratch_path
 from meterline.sources.fixture import load
 
 DIRECT = """int_orphan_usage mart_carr_current mart_carr_by_rep mart_carr_by_region mart_dq_summary spec_healthscore
     split_clean_orphan usage_reconcile primary_contract_day account_day renewal_pattern overage_month_audit
-    carr_account_month_end carr_account_day trend_12m rep_rank_delta dq_assertions dq_volume_drift eval_results eval_auc_pr
-    eval_rank_spearman eval_param_grid stream_daily_rollup""".split()
+    carr_account_month_end carr_account_day trend_12m rep_rank_delta dq_assertions dq_catalog dq_checksum dq_volume_drift
+    eval_results eval_auc_pr eval_rank_spearman eval_param_grid stream_daily_rollup export_csv restatement_diff
+    src_incremental_merge""".split()
 
 STORED = {
     "q_total": marts.q_total,
@@ -34,6 +35,8 @@ STORED = {
     "comp_by_rep": marts.comp_by_rep,
     "account_drill": marts.account_drill,
     "rep_at_risk_accounts": trends.rep_at_risk_accounts,
+    "trend_12m": trends.trend_12m,
+    "rep_rank_delta": trends.rep_rank_delta,
 }
 
 
@@ -60,6 +63,7 @@ def main() -> int:
     sources = load(spark, folder)
     timed("snapshot_build", lambda: write_all(spark, sources, out))
     stored = Book.stored(spark, sources, out)
+    timed("snapshot_history", lambda: write_history(stored, out))
     for key, plan in STORED.items():
         timed(f"stored_{key}", lambda plan=plan: consume(plan(stored)))
     assert len(models.TABLES) == 13

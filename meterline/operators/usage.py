@@ -82,9 +82,9 @@ def window_totals(valid_daily: DataFrame, p) -> DataFrame:
 def reconcile(logs: DataFrame) -> DataFrame:
     """One row per (account, day): replayed log ids counted once, then summed.
 
-    Of several versions of a log id the one with the latest day, then the most credits, is kept. Both
-    steps aggregate before the shuffle.
+    Of several versions of a log id the one with the latest day, then the most credits, is kept. Ids hardly repeat, so the
+    logs are shuffled by id as they are and sorted once after it; the daily sums aggregate before their shuffle.
     """
     version = F.struct("usage_date", "credits_consumed", "account_id")
-    once = logs.groupBy("log_id").agg(F.max(version).alias("v")).select("v.*")
+    once = logs.repartition(F.col("log_id")).groupBy("log_id").agg(F.max(version).alias("v")).select("v.*")
     return daily_rollup(once)

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import usage as U
+from ..operators.intervals import in_months
 from ..params import Params
+from ..session import ready_for_checkpoint
 from ..sources.sinks import read_table
 from . import history, models, variants
 
@@ -29,6 +31,7 @@ class Book:
         for name in models.TABLES + models.SHARED:
             setattr(book, name, read_table(spark, f"{folder}/{name}"))
         book.stg_daily_usage_logs = book.stg_daily_usage_logs.drop("usage_month")
+        book.settled = book
         book.usage_rollup = book.usage_daily.drop("usage_class")
         book.valid_daily = book.usage_daily.where(f"usage_class = '{U.VALID}'").drop("usage_class")
         return book
@@ -37,6 +40,44 @@ class Book:
     def spark(self) -> SparkSession:
         return self.sources["accounts"].sparkSession
 
+    def with_history(self, folder: str) -> Book:
+        """Month-ends and the daily mart as ``build.write_history`` has written them."""
+        daily = read_table(self.spark, f"{folder}/carr_account_day")
+        ends = read_table(self.spark, f"{folder}/carr_account_month_end").withColumnRenamed("month_end", "as_of_date")
+        self.all_month_ends = ends
+        self.month_end_metric = ends.where(F.col("as_of_date").isin(self.p.month_ends))
+        two = [self.p.prior_as_of, self.p.as_of]
+        self.movement_metric = in_months(daily, *two).where(F.col("as_of_date").isin(two)).drop("usage_month")
+        return self
+
+    @cached_property
+    def settled(self) -> Book:
+        """The same book over a checkpointed roll-up and mart, for reports of many parts: they share one pass over the raw logs."""
+        ready_for_checkpoint(self.spark)
+        book = Book(self.sources, self.p)
+        book.usage_rollup = self.usage_rollup.checkpoint()
+        book.active_usage = book.active_usage.checkpoint()
+        book.mart_carr_current = book.mart_carr_current.checkpoint()
+        book.log_facts = self.log_facts
+        book.settled = book
+        return book
+
+    @cached_property
+    def log_facts(self) -> DataFrame:
+        """One checkpointed row with all that the checks ask of the raw logs, in one scan."""
+        ready_for_checkpoint(self.spark)
+        p, logs = self.p, self.sources["daily_usage_logs"]
+        day = F.col("date").cast("date")
+        nulls = [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in logs.columns]
+        return logs.agg(
+            F.count("*").alias("n"),
+            F.countDistinct("log_id").alias("n_ids"),
+            F.count_if(F.col("compute_credits_consumed") < 0).alias("n_negative"),
+            F.count_if(~day.between(F.lit(p.observed_from), F.lit(p.observed_to))).alias("n_outside"),
+            F.max(F.when(day <= F.lit(p.as_of), day)).alias("last_day"),
+            *nulls,
+        ).checkpoint()
+
     # staging
     @cached_property
     def stg_sales_reps(self) -> DataFrame:

@@ -7,16 +7,19 @@ a run: once for the (account, day) roll-up and once for the row-level orphan tab
 from __future__ import annotations
 
 import argparse
-from datetime import date
+from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..params import Params
 from ..session import build_session
+from ..sources import schemas
 from ..sources.fixture import load
 from ..sources.readers import read_sources, register_raw_views
-from ..sources.sinks import read_table, write_table, write_usage
-from . import evals, models, quality
+from ..sources.sinks import append_results, publish_months, read_table, write_table, write_usage
+from . import catalog, evals, history, models, quality
 from .book import Book
 
 MONTHLY = ("stg_daily_usage_logs", "usage_daily")
@@ -48,6 +51,27 @@ def write_all(
     return book
 
 
+def write_history(book: Book, folder: str) -> Book:
+    """The daily mart of the hot period by month, and all month-ends, each published once; returns a book that reads them."""
+    write_usage(history.carr_account_day(book), f"{folder}/carr_account_day", "as_of_date")
+    publish_months(history.carr_account_month_end(book), f"{folder}/carr_account_month_end")
+    return book.with_history(folder)
+
+
+def append_run(book: Book, folder: str, run_id: str, run_ts: datetime) -> None:
+    """One run's check results, evaluations and row counts, appended to the result tables."""
+    run = {"run_id": F.lit(run_id), "run_ts": F.lit(run_ts)}
+    append_results(catalog.dq_catalog(book), f"{folder}/assertion_results", schemas.ASSERTION_RESULTS, run)
+    status = F.when(F.col("passed"), "pass").otherwise("fail")
+    results = evals.eval_results(book).withColumn("test_id", F.col("check_id")).withColumn("status", status)
+    append_results(results, f"{folder}/eval_results", schemas.EVAL_RESULTS, run)
+    counts = reduce(
+        DataFrame.unionByName,
+        [getattr(book, t).agg(F.lit(t).alias("table_name"), F.count("*").alias("n_rows")) for t in models.TABLES],
+    )
+    append_results(counts, f"{folder}/row_counts", schemas.ROW_COUNTS, {"run_id": F.lit(run_id)})
+
+
 def main() -> int:
     ap = argparse.ArgumentParser(description="Build all tables of a snapshot and run the checks.")
     ap.add_argument("--fixture", help="folder of the given star-schema parquet tables")
@@ -55,12 +79,16 @@ def main() -> int:
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv"])
     ap.add_argument("--out", required=True)
     ap.add_argument("--as-of", type=date.fromisoformat, default=Params.as_of)
+    ap.add_argument("--run-id", help="also write history and append this run's results to the result tables")
+    ap.add_argument("--run-ts", type=datetime.fromisoformat, help="time of the run, with the run id")
     ap.add_argument("--strict", action="store_true", help="warnings also fail the run")
     a = ap.parse_args()
     spark = build_session()
     sources = load(spark, a.fixture) if a.fixture else read_sources(spark, a.sources, a.format)
     register_raw_views(sources)
     book = write_all(spark, sources, a.out, Params(as_of=a.as_of))
+    if a.run_id:
+        append_run(write_history(book, a.out), a.out, a.run_id, a.run_ts or datetime.combine(a.as_of, datetime.min.time()))
     book.mart_dq_summary.show(vertical=True, truncate=False)
     quality.dq_assertions(book).orderBy("assertion_id").show(50, truncate=False)
     gate = quality.dq_gate(book).first()

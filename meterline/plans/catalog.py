@@ -21,6 +21,8 @@ from .history import listed, metric_on
 
 # Rule id, tier, threshold in words, owning team.
 RULES = {
+    "DQ-SCHEMA-001": ("P0", "all present", "Data Platform"),
+    "DQ-SCHEMA-002": ("P0", "declared types", "Data Platform"),
     "DQ-SCHEMA-003": ("P0", "0 nulls", "Data Platform"),
     "DQ-SCHEMA-004": ("P0", "0 values outside the taxonomy", "Data Platform"),
     "DQ-SCHEMA-005": ("P0", "0 duplicates", "Data Platform"),
@@ -44,6 +46,8 @@ RULES = {
     "DQ-METRIC-002": ("P0", "0.40 to 1.30", "PM + Analytics Eng"),
     "DQ-METRIC-003": ("P0", "0 nulls", "Analytics Eng"),
     "DQ-METRIC-004": ("P0", "<= 1e-6", "Analytics Eng"),
+    "DQ-METRIC-005": ("P0", "identical", "Analytics Eng"),
+    "DQ-METRIC-006": ("P0", "identical", "Analytics Eng"),
     "DQ-RECON-001": ("P0", "equal", "Analytics Eng"),
     "DQ-RECON-002": ("P0", "equal", "Analytics Eng"),
     "DQ-RECON-003": ("P1", "no decrease", "Analytics Eng"),
@@ -96,7 +100,10 @@ def dq_schema_columns(b) -> DataFrame:
         df = b.sources[table]
         have = {f.name: f.dataType for f in df.schema.fields}
         nulls = [F.count_if(F.col(f.name).isNull()).alias(f.name) for f in want.fields if f.name in have]
-        counted = df.agg(F.count("*").alias("_n"), *nulls)
+        if table == "daily_usage_logs":
+            counted = b.log_facts.select(F.col("n").alias("_n"), *[F.col(f"null_{c}").alias(c) for c in have])
+        else:
+            counted = df.agg(F.count("*").alias("_n"), *nulls)
         cells = [
             F.struct(
                 F.lit(table).alias("table_name"),
@@ -118,6 +125,9 @@ def dq_schema_not_null(b) -> DataFrame:
     out = []
     for table, want in schemas.SOURCES.items():
         required = [f.name for f in want.fields if not f.nullable]
+        if table == "daily_usage_logs":
+            out.append(b.log_facts.select(sum((F.col(f"null_{c}") for c in required), F.lit(0)).alias("n")))
+            continue
         nulls = reduce(lambda x, y: x + y, [F.col(c).isNull().cast("bigint") for c in required])
         out.append(b.sources[table].agg(F.coalesce(F.sum(nulls), F.lit(0)).alias("n")))
     return lines(stack(*out).agg(F.sum("n").alias("n")), none_of("DQ-SCHEMA-003", "n"))
@@ -134,7 +144,8 @@ def dq_enum(b) -> DataFrame:
 
 def dq_pk(b) -> DataFrame:
     keys = {"sales_reps": "rep_id", "accounts": "account_id", "contracts": "contract_id", "daily_usage_logs": "log_id"}
-    dup = [b.sources[t].agg((F.count("*") - F.countDistinct(k)).alias("n")) for t, k in keys.items()]
+    dup = [b.sources[t].agg((F.count("*") - F.countDistinct(k)).alias("n")) for t, k in keys.items() if t != "daily_usage_logs"]
+    dup.append(b.log_facts.select((F.col("n") - F.col("n_ids")).alias("n")))
     return lines(stack(*dup).agg(F.sum("n").alias("n")), none_of("DQ-SCHEMA-005", "n"))
 
 
@@ -165,16 +176,12 @@ def dq_ref(b) -> DataFrame:
 
 
 def dq_biz(b) -> DataFrame:
-    p = b.p
     contracts = b.stg_contracts.agg(
         F.count_if(F.col("annual_commit_dollars") <= 0).alias("b1"),
         F.count_if(F.col("included_monthly_credits") <= 0).alias("b2"),
         F.count_if(F.col("end_date") <= F.col("start_date")).alias("b4"),
     )
-    outside = ~F.col("usage_date").between(F.lit(p.observed_from), F.lit(p.observed_to))
-    logs = b.stg_daily_usage_logs.agg(
-        F.count_if(F.col("credits_consumed") < 0).alias("b3"), F.count_if(outside).alias("b5")
-    )
+    logs = b.log_facts.select(F.col("n_negative").alias("b3"), F.col("n_outside").alias("b5"))
     share = total(
         b.usage_daily,
         n=F.sum("n_logs"),
@@ -274,16 +281,11 @@ def dq_metric_offenders(b) -> DataFrame:
 
 
 def dq_orphan_ab(b) -> DataFrame:
-    """The metric from all logs against the metric from logs without orphans."""
+    """The metric from all usage against the metric from usage without orphans, each classified on its own."""
     from .book import Book
 
-    clean = b.int_orphan_usage.where(F.col("usage_class") == VALID).select(
-        "log_id",
-        "account_id",
-        F.col("usage_date").alias("date"),
-        F.col("credits_consumed").alias("compute_credits_consumed"),
-    )
-    other = Book({**b.sources, "daily_usage_logs": clean}, b.p)
+    other = Book(b.sources, b.p)
+    other.usage_rollup = b.usage_daily.where(F.col("usage_class") == VALID).drop("usage_class")
     left = b.metric_carr.select("account_id", F.col("carr").alias("with_orphans"))
     right = other.metric_carr.select("account_id", F.col("carr").alias("without"))
     gap = F.abs(F.coalesce("with_orphans", F.lit(0.0)) - F.coalesce("without", F.lit(0.0)))
@@ -317,7 +319,8 @@ def dq_checksum(b) -> DataFrame:
     """Fingerprints of the marts from two runs, the second over rows in another physical order."""
     from .book import Book
 
-    again = Book({n: df.repartition(F.xxhash64(*df.columns)) for n, df in b.sources.items()}, b.p)
+    again = Book({n: df.repartition(F.xxhash64(*df.columns)) for n, df in b.sources.items()}, b.p).settled
+    b = b.settled
     out = []
     for name in ("mart_carr_current", "mart_carr_by_rep", "mart_carr_by_region"):
         runs = stack(checksum(getattr(b, name)), checksum(getattr(again, name)))
@@ -342,7 +345,7 @@ def dq_recon(b) -> DataFrame:
     split = models.one_row(
         [
             total(b.usage_daily, classed=F.sum("n_logs")),
-            b.sources["daily_usage_logs"].agg(F.count("*").alias("raw")),
+            b.log_facts.select(F.col("n").alias("raw")),
         ]
     )
     exact = lambda: F.sum(F.col("carr").cast(CARR_SUM))
@@ -372,26 +375,65 @@ def dq_recon(b) -> DataFrame:
     )
 
 
-def dq_fresh(b, mart_age_hours: float = 0.0, published_after_days: int = 2) -> DataFrame:
-    """Freshness against parameters; ages are given by the caller because nothing here reads a clock."""
+def dq_fresh(b) -> DataFrame:
+    """Age of the logs, of the marts and of the month-end snapshots on the as-of date; nothing here reads a clock.
+
+    With a ``run_log(table_name, written_at)`` among the sources the age of the oldest table counts at the end of the as-of date,
+    else the day that the mart is stamped with. A month-end is due two days after it; due months that the
+    month-end mart lacks are counted.
+    """
     p = b.p
     behind = F.datediff(F.lit(p.as_of), F.col("last_day"))
-    logs = b.stg_daily_usage_logs.where(F.col("usage_date") <= F.lit(p.as_of)).agg(F.max("usage_date").alias("last_day"))
-    marts = b.mart_carr_current.agg(
-        F.count("*").alias("n"), F.lit(mart_age_hours).alias("age"), F.lit(published_after_days).alias("late")
+    run_log = b.sources.get("run_log")
+    if run_log is not None:
+        last = run_log.groupBy("table_name").agg(F.max("written_at").alias("at")).agg(F.min("at").alias("at"))
+        end = F.date_add(F.lit(p.as_of), 1).cast("timestamp")
+        marts = last.select(((F.unix_timestamp(end) - F.unix_timestamp("at")) / 3600.0).alias("age"))
+    else:
+        stamped = b.mart_carr_current.agg(F.max("as_of_date").alias("last_day"))
+        marts = stamped.select((F.datediff(F.lit(p.as_of), "last_day") * 24.0).alias("age"))
+    due = [d for d in p.month_ends if d <= p.as_of - timedelta(days=2)]
+    months = b.month_end_metric.where(F.col("as_of_date").isin(due)).agg(
+        (F.lit(len(due)) - F.countDistinct("as_of_date")).alias("missing")
     )
+    old = F.coalesce(F.col("age") > 26, F.lit(True))
     return stack(
-        lines(logs, rule("DQ-FRESH-001", behind, F.when(behind > 1, 1).otherwise(0), behind <= 1)),
-        lines(
-            marts,
-            rule("DQ-FRESH-002", F.col("age"), F.when(F.col("age") > 26, F.col("n")).otherwise(0), F.col("age") <= 26),
-            rule("DQ-FRESH-003", F.col("late"), F.when(F.col("late") > 2, F.col("n")).otherwise(0), F.col("late") <= 2),
+        lines(b.log_facts, rule("DQ-FRESH-001", behind, F.when(behind > 1, 1).otherwise(0), behind <= 1)),
+        lines(marts, rule("DQ-FRESH-002", F.col("age"), old.cast("int"), ~old)),
+        lines(months, none_of("DQ-FRESH-003", "missing")),
+    )
+
+
+def schema_rules(b) -> DataFrame:
+    """Missing columns and columns of another type, from one pass per source."""
+    return lines(
+        dq_schema_columns(b).agg(
+            F.count_if(~F.col("present")).alias("missing"), F.count_if(~F.col("type_matches")).alias("mistyped")
         ),
+        none_of("DQ-SCHEMA-001", "missing"),
+        none_of("DQ-SCHEMA-002", "mistyped"),
+    )
+
+
+def rerun_rules(b) -> DataFrame:
+    """The metric and the closed month-ends once more, from rows in another physical order and on the as-of date."""
+    from .book import Book
+    from .spec_evals import eval_freeze
+
+    again = Book({n: df.repartition(F.xxhash64(*df.columns)) for n, df in b.sources.items() if n != "daily_usage_logs"}
+                 | {"daily_usage_logs": b.sources["daily_usage_logs"]}, b.p)
+    again.usage_rollup = b.usage_rollup.repartition(F.xxhash64("account_id", "usage_date"))
+    runs = stack(checksum(b.mart_carr_current), checksum(again.mart_carr_current))
+    off = (~F.min("sum_hash").eqNullSafe(F.max("sum_hash")) | (F.min("n_rows") != F.max("n_rows"))).cast("int")
+    return stack(
+        lines(runs.agg(off.alias("off")), none_of("DQ-METRIC-005", "off")),
+        lines(eval_freeze(b), none_of("DQ-METRIC-006", "n_changed")),
     )
 
 
 def dq_catalog(b) -> DataFrame:
-    """Every rule of the catalogue that yields one row."""
-    parts = (dq_schema_not_null, dq_enum, dq_pk, dq_ref, dq_biz, dq_rate, volume_rule, dq_metric, orphan_ab_rule,
+    """Every rule of the catalogue, 34 in all, one row each."""
+    b = b.settled
+    parts = (schema_rules, rerun_rules, dq_schema_not_null, dq_enum, dq_pk, dq_ref, dq_biz, dq_rate, volume_rule, dq_metric, orphan_ab_rule,
              dq_recon, dq_fresh)
     return stack(*[f(b) for f in parts])

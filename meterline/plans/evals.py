@@ -35,6 +35,7 @@ def _ratio(part: Column, whole: Column) -> Column:
 
 def measures(b) -> DataFrame:
     """One row with everything the checks read."""
+    b = b.settled
     p = b.p
     hs, age = F.col("healthscore"), F.col("contract_age_days")
     arr, carr = F.col("committed_arr").cast("double"), F.col("carr")

@@ -123,8 +123,9 @@ def obs_row_counts(b) -> DataFrame:
     contracts = b.stg_contracts.agg(runs(p.as_of).alias("now"), runs(yesterday).alias("before"))
 
     def line(name: str, now: str, before: str):
+        base = F.col("now").alias("n_base")  # the rows that a share is taken of
         return F.struct(
-            F.lit(name).alias("table_name"), F.col(now).alias("n_rows"), F.col(before).alias("n_rows_before")
+            F.lit(name).alias("table_name"), F.col(now).alias("n_rows"), F.col(before).alias("n_rows_before"), base
         )
 
     counts = (
@@ -135,8 +136,12 @@ def obs_row_counts(b) -> DataFrame:
         .unionByName(mart.select(F.inline(F.array(line("mart_carr_current", "now", "before")))))
     )
     change = F.when(F.col("n_rows_before") > 0, F.col("n_rows") / F.col("n_rows_before") - 1)
+    orphans = F.col("table_name") == "orphan_usage"
+    share = F.when(orphans & (F.col("n_base") > 0), F.col("n_rows") / F.col("n_base"))
     return (
         counts.withColumn("change_pct", change)
+        .withColumn("alert_orphan_share", F.coalesce(share > 0.01, F.lit(False)))
+        .drop("n_base")
         .withColumn("alert_change", F.coalesce(F.abs("change_pct") > 0.10, F.lit(False)))
         .withColumn("alert_decrease", F.col("n_rows") < F.col("n_rows_before"))
     )

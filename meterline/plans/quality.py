@@ -52,6 +52,7 @@ def flag(condition: Column) -> Column:
 
 
 def violations(b) -> DataFrame:
+    b = b.settled
     n = F.count("*")
     contracts = b.stg_contracts.agg(
         duplicates("contract_id").alias("A03"),
@@ -59,9 +60,7 @@ def violations(b) -> DataFrame:
         F.count_if(F.col("included_monthly_credits") < 0).alias("A08"),
         F.count_if(F.col("end_date") < F.col("start_date")).alias("A09"),
     )
-    logs = b.stg_daily_usage_logs.agg(
-        duplicates("log_id").alias("A04"), F.count_if(F.col("credits_consumed") < 0).alias("A10")
-    )
+    logs = b.log_facts.select((F.col("n") - F.col("n_ids")).alias("A04"), F.col("n_negative").alias("A10"))
     p = b.p
     bad_hs = (F.col("healthscore") < p.hs_floor) | (F.col("healthscore") > p.hs_cap + 1e-9)
     scores = b.metric_healthscore.agg(F.count_if(bad_hs).alias("A11"))

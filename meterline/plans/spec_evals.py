@@ -308,6 +308,8 @@ def eval_freeze(b) -> DataFrame:
 
     later = Book(b.sources, replace(b.p, as_of=b.p.month_ends[-1]))
     earlier = Book(b.sources, replace(b.p, as_of=b.p.month_ends[-2]))
+    for run in (later, earlier):
+        run.usage_rollup = b.usage_rollup
     path = scratch_path(b.spark, "published")
     sinks.publish_months(history.carr_account_month_end(earlier), path)
     old = b.spark.read.parquet(path).select("month_end", "account_id", F.col("carr").alias("old"))

@@ -62,6 +62,10 @@ DAILY_DETAIL = "DATE '1997-05-31'"
 # ---- catalogue rows ----
 # Rule id, tier, threshold in words, owning team.
 TEAMS = {
+    "DQ-SCHEMA-001": ("P0", "all present", "Data Platform"),
+    "DQ-SCHEMA-002": ("P0", "declared types", "Data Platform"),
+    "DQ-METRIC-005": ("P0", "identical", "Analytics Eng"),
+    "DQ-METRIC-006": ("P0", "identical", "Analytics Eng"),
     "DQ-SCHEMA-003": ("P0", "0 nulls", "Data Platform"),
     "DQ-SCHEMA-004": ("P0", "0 values outside the taxonomy", "Data Platform"),
     "DQ-SCHEMA-005": ("P0", "0 duplicates", "Data Platform"),
@@ -209,6 +213,12 @@ METRIC = rows(
     ),
     none("DQ-METRIC-003", "SELECT COUNT(*) AS x FROM cur WHERE carr IS NULL"),
 )
+RERUNS = rows(
+    *[
+        rule(k, "0", "0", "TRUE", "SELECT COUNT(*) FROM cur")
+        for k in ("DQ-SCHEMA-001", "DQ-SCHEMA-002", "DQ-METRIC-005", "DQ-METRIC-006")
+    ]
+)
 ORPHAN_AB = rule("DQ-METRIC-004", "0", "0", "TRUE", "SELECT COUNT(*) FROM cur")
 RECON = rows(
     rule(
@@ -236,8 +246,11 @@ FRESH = rows(
         "DQ-FRESH-001", "d", "CASE WHEN d > 1 THEN 1 ELSE 0 END", "d <= 1",
         f"SELECT date_diff('day', MAX(usage_date), {T}) AS d FROM stg_daily_usage_logs WHERE usage_date <= {T}",
     ),
-    rule("DQ-FRESH-002", "0", "0", "TRUE", "SELECT COUNT(*) FROM cur"),
-    rule("DQ-FRESH-003", "2", "0", "TRUE", "SELECT COUNT(*) FROM cur"),
+    rule(
+        "DQ-FRESH-002", "h", "CASE WHEN h > 26 THEN 1 ELSE 0 END", "h <= 26",
+        f"SELECT 24 * date_diff('day', MAX(t), {T}) AS h FROM cur",
+    ),
+    none("DQ-FRESH-003", f"SELECT 11 - COUNT(DISTINCT t) AS x FROM months WHERE t <= {T} - 2"),
 )
 
 # Id, name, severity of the assertions.
@@ -748,7 +761,7 @@ FINALS: dict[str, str] = {
         UNION ALL SELECT 'mart_carr_by_region', {COUNT}, TRUE FROM by_region""",
     "dq_recon": RECON,
     "dq_fresh": FRESH,
-    "dq_catalog": rows(NOT_NULL, ENUM, PK, REF, BIZ, RATE, VOLUME, METRIC, ORPHAN_AB, RECON, FRESH),
+    "dq_catalog": rows(RERUNS, NOT_NULL, ENUM, PK, REF, BIZ, RATE, VOLUME, METRIC, ORPHAN_AB, RECON, FRESH),
     # ---- evals ----
     "eval_results": f"SELECT check_id, tier, n, {r('observed')}, {r('second')}, passed FROM ({EVALS})",
     "eval_tier_summary": f"""SELECT tier, {COUNT} AS n_checks, {n_if('passed', 'n_pass')}, {n_if('NOT passed', 'n_fail')},
@@ -800,7 +813,8 @@ FINALS: dict[str, str] = {
     "retention_usage": RETAIN,
     "obs_row_counts": f"""SELECT table_name, {n('a', 'n_rows')}, {n('b', 'n_rows_before')},
         {r('CASE WHEN b > 0 THEN CAST(a AS DOUBLE) / b - 1 END', 'change_pct')},
-        COALESCE(ABS(CAST(a AS DOUBLE) / NULLIF(b, 0) - 1) > 0.10::DOUBLE, FALSE) AS alert_change, a < b AS alert_decrease
+        COALESCE(ABS(CAST(a AS DOUBLE) / NULLIF(b, 0) - 1) > 0.10::DOUBLE, FALSE) AS alert_change, a < b AS alert_decrease,
+        table_name = 'orphan_usage' AND a > 0.01 * (SELECT COUNT(*) FROM int_orphan_usage WHERE usage_date <= {T}) AS alert_orphan_share
         FROM ({OBS})""",
     "obs_freshness": f"""SELECT table_name, last_day, {n(f"date_diff('day', last_day, {T})", 'days_behind')},
         date_diff('day', last_day, {T}) > 1 AS stale FROM

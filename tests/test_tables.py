@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from meterline.operators.intervals import in_months
 from meterline.plans import catalog, evals, governance, models, quality
-from meterline.plans.build import write_all
+from meterline.plans.build import append_run, write_all, write_history
 from meterline.plans.book import Book
 from meterline.session import ready_for_checkpoint
 from meterline.sources import readers, schemas, sinks
@@ -154,6 +154,56 @@ def test_written_tables_answer_like_plans(spark, sf_dir, tmp_path):
     assert spark.sql("SELECT COUNT(*) FROM raw_accounts").first()[0] == stored.stg_accounts.count()
 
 
+def test_history_is_read_from_its_months(spark, sf_dir, tmp_path):
+    from meterline.plans import trends
+    from meterline.sources.fixture import load
+
+    folder, sources = str(tmp_path), load(spark, sf_dir)
+    write_all(spark, sources, folder)
+    stored = write_history(Book.stored(spark, sources, folder), folder)
+    plan = stored.movement_metric._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(usage_month" in plan
+    fresh = Book(sources)
+    for q in (trends.trend_12m, trends.rep_rank_delta):
+        assert sorted(map(str, q(stored).collect())) == sorted(map(str, q(fresh).collect()))
+    for k in ("run1", "run2"):
+        append_run(stored, folder, k, datetime(2026, 4, 18, tzinfo=dt.timezone.utc))
+    got = spark.read.parquet(f"{folder}/assertion_results").groupBy("run_id").count().collect()
+    assert {r.run_id: r["count"] for r in got} == {"run1": 34, "run2": 34}
+    assert spark.read.parquet(f"{folder}/eval_results").count() == 32
+    assert spark.read.parquet(f"{folder}/row_counts").count() == 26
+
+
+def test_checks_scan_the_raw_logs_at_most_twice(spark, sf_dir):
+    from meterline.sources.fixture import load
+
+    b = Book(load(spark, sf_dir))
+    for q in (quality.dq_assertions, evals.eval_results, catalog.dq_catalog, catalog.dq_checksum):
+        plan = q(b)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("l_shipdate") == 0 or plan.count("Relation [l_orderkey") <= 2, q.__name__
+
+
+def test_backfill_leaves_published_months_alone(spark, sf_dir, tmp_path):
+    from meterline.plans import history
+    from meterline.sources.fixture import load
+
+    sources, path = load(spark, sf_dir), str(tmp_path / "months")
+    rows = history.carr_account_month_end(Book(sources))
+    sinks.publish_months(rows, path)
+    files = lambda: {str(f): f.read_bytes() for f in (tmp_path / "months").rglob("*.parquet")}
+    before = files()
+    doubled = sources["daily_usage_logs"].withColumn(
+        "compute_credits_consumed", (F.col("compute_credits_consumed") * 2).cast("decimal(18,2)")
+    )
+    again = history.carr_account_month_end(Book({**sources, "daily_usage_logs": doubled}))
+    assert len(sinks.publish_months(again, path)) == rows.select("month_end").distinct().count()
+    assert files() == before
+    diff = history.restatement_diff(spark.read.parquet(path), again, 500.0)
+    old, new = ({(r.month_end, r.account_id): r.carr for r in df.collect()} for df in (rows, again))
+    moved = {k: abs(new[k] - old[k]) > 500 for k in old if old[k] != new[k]}
+    assert {(r.as_of_month, r.account_id): r.needs_restatement for r in diff.collect()} == moved and moved
+
+
 def test_report_delta_shows_new_and_changed(spark):
     schema = "check_id string, passed boolean, observed double"
     old = spark.createDataFrame([("T1a", True, 1.0), ("T2a", True, 0.0)], schema)
