@@ -32,7 +32,7 @@ def size_of(text: Column) -> Column:
 
 def quality_weight(text: Column) -> Column:
     """Between 0.05 and 1: the share of letters, digits and spaces among the characters, to the fourth power."""
-    plain = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}\s]+", ""))
+    plain = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}\x20\x09-\x0D]+", ""))
     share = plain.cast("double") / F.greatest(F.length(text), F.lit(1))
     squared = share * share
     return F.coalesce(F.greatest(F.lit(0.05), squared * squared), F.lit(0.05))
@@ -98,6 +98,7 @@ def plan_mix(
         targets(sizes, shares, volume, most)
         .withColumn("_epochs", epochs.cast("long"))
         .withColumn("_budget", F.col("target") - F.col("_epochs") * F.col("source_size"))
+        .checkpoint()
     )
 
     def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
@@ -120,6 +121,7 @@ def plan_mix(
     budgets = goal.select(F.col("source").alias("_source"), "_budget", F.lit(0).cast("long").alias("_base"))
     first = ending(per_range, "_a", budgets)
     first = first.join(goal.select(F.col("source").alias("_s"), "_budget"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
+    first = first.checkpoint()  # a row per source; the rows below then meet a table of known size
     inner = rows.join(first, same(rows, first, "_a")).drop("_source", "_base", "_budget", "__a_at")
     per_inner = inner.groupBy("source", "_a", "_b").agg(F.sum("size").alias("_sum"))
     second = ending(per_inner, "_b", first, "_a")
@@ -131,6 +133,7 @@ def plan_mix(
             "left",
         )
         .select(F.col("source").alias("_source"), "source_size", "target", "_epochs", "_budget", "_a_end", "_b_end", "_before")
+        .checkpoint()
     )
     joined = rows.join(marks, rows["source"].eqNullSafe(marks["_source"]))
     at_end = (F.col("_a") == F.col("_a_end")) & (F.col("_b") == F.col("_b_end"))
@@ -171,7 +174,7 @@ ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u,
-         length(regexp_replace(text, '[^\p{L}\p{N}\s]+', '', 'g'))::DOUBLE / greatest(length(text), 1) AS share
+         length(regexp_replace(text, '[^\p{L}\p{N}\x20\x09-\x0D]+', '', 'g'))::DOUBLE / greatest(length(text), 1) AS share
   FROM documents
 ), k AS (
   SELECT doc_id, source, size, -ln(u) / coalesce(greatest(0.05, (share * share) * (share * share)), 0.05) AS key FROM d

@@ -42,6 +42,7 @@ CHUNK_SHINGLES = 300_000
 ROWS_AT_ONCE = 4000
 MATCHES_AT_ONCE = 2_000_000
 SENT_IDS = 1_000_000
+EDGES_IN_TASK = 200_000
 SKETCH = "struct<n:long,a:long,b:long,sketch:array<long>>"
 
 
@@ -162,8 +163,13 @@ def _set(value: pa.ListScalar) -> np.ndarray:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, component`` (smallest node that can be reached) of all nodes of ``edges(a, b)``."""
-    stars = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct().checkpoint()
+    """``node, component`` (smallest node that can be reached) of all nodes of ``edges(a, b)``, which are read twice.
+
+    Edges are few beside documents, so they are kept in as many partitions as their number asks for.
+    """
+    few = -(-edges.count() // EDGES_IN_TASK) or 1
+    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v")
+    stars = pairs.distinct().coalesce(few).checkpoint()
     before = None
     while True:
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -177,7 +183,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
-        stars = small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        stars = small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct().coalesce(few).checkpoint()
 
 
 def dealt(members: DataFrame, weight: Column, most: int) -> DataFrame:
@@ -189,7 +195,7 @@ def dealt(members: DataFrame, weight: Column, most: int) -> DataFrame:
     per_block = members.groupBy("block").agg(
         F.greatest(F.ceil(F.sum(weight) / F.lit(most)), F.lit(1)).cast("int").alias("chunks"),
         F.greatest(F.ceil(F.sum(F.when(F.col("minor"), weight)) / F.lit(most)), F.lit(1)).cast("int").alias("minor_chunks"),
-    )
+    ).checkpoint()  # cut off, so that a large block can be split when its members meet it
     rows = members.join(per_block, "block")
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -359,7 +365,7 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     )
     left = hopeful(open_, percent).checkpoint()
     more = rest_links(left, texts_of(docs, left.select(F.col("rep").alias("id"))), words, percent)
-    final = components(links.unionByName(more))
+    final = components(links.unionByName(more.checkpoint()))
     of_class = in_components(classes.select("n", "a", "b", "rep"), final, "rep", "comp")
     of_class = of_class.select(*[F.col(c).alias(f"_{c}") for c in ("n", "a", "b")], "comp")
     same = (F.col("n") == F.col("_n")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))
