@@ -17,6 +17,7 @@ from meterline.session import scratch_path
 
 BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 1000
+TEACH_CHARS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,17 +73,20 @@ def drawn(rows: DataFrame, group: str, per_group: int, key: str = "doc_id") -> D
 
 
 def texts_of(docs: DataFrame, ids: list[int]) -> dict[int, str]:
-    """Non-null texts of a bounded list of ids, fetched by a filter that reaches the scan."""
+    """Non-null texts of a bounded list of ids, fetched by a filter that reaches the scan.
+
+    They are for teaching a model on the driver, so of a longer text the first ``TEACH_CHARS`` characters are taken.
+    """
     if not ids:
         return {}
-    rows = docs.select("doc_id", "text").filter(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).collect()
-    return {r[0]: r[1] for r in rows}
+    rows = docs.filter(F.col("doc_id").isin(ids) & F.col("text").isNotNull())
+    return {r[0]: r[1] for r in rows.select("doc_id", F.substring("text", 1, TEACH_CHARS)).collect()}
 
 
 def sample(rows: DataFrame, n: int, key: str = "doc_id") -> list[int]:
-    """At most ``n`` distinct keys in a fixed pseudo-random order."""
-    keys = rows.select(key).filter(F.col(key).isNotNull()).distinct()
-    return [r[0] for r in keys.orderBy(F.md5(F.col(key).cast("string")), key).limit(n).collect()]
+    """The keys of the first ``n`` rows in a fixed pseudo-random order, each once; every task keeps its first ``n`` only."""
+    keys = rows.select(key).filter(F.col(key).isNotNull())
+    return list(dict.fromkeys(r[0] for r in keys.orderBy(F.md5(F.col(key).cast("string")), key).limit(n).collect()))
 
 
 def sigmoid(x):

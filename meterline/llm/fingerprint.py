@@ -25,6 +25,7 @@ SHINGLE = 5
 PROBES = 12
 SEED = 20240
 BUCKET_ROWS = 500
+BOUND_ROWS = 2_000_000
 BUCKET_BITS = (4, 16)
 
 
@@ -160,8 +161,11 @@ def with_next(docs: DataFrame, derived: dict[str, Column]) -> DataFrame:
     are ordered by their text.
     """
     low, high = BUCKET_BITS
-    wide = 1 << min(max((docs.count() // BUCKET_ROWS).bit_length(), low), high)
-    bounds = docs.approxQuantile("doc_id", [i / wide for i in range(1, wide)], 0.25 / wide)
+    count = docs.count()
+    wide = 1 << min(max((count // BUCKET_ROWS).bit_length(), low), high)
+    # the bounds only make the ranges even, so of a large table some ids are enough to place them
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, count // BOUND_ROWS))) == 0)
+    bounds = some.approxQuantile("doc_id", [i / wide for i in range(1, wide)], 0.25 / wide)
     bucket = bucket_of("doc_id", [int(b) for b in bounds]) if bounds else F.lit(0)
     dealt = docs.withColumn("_bucket", F.coalesce(bucket, F.lit(-1)))
     columns = ["text", *derived]
