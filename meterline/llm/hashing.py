@@ -17,6 +17,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[0x41:0x5B] += np.uint64(32)
 _LOWER += np.uint64(1)
+_SIGN = np.zeros(256, bool)
+_SIGN[0x21:0x7F] = [not chr(c).isalnum() for c in range(0x21, 0x7F)]
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -58,10 +60,14 @@ def bytes_of(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
 
 
 def word_hashes(
-    texts: pa.Array | pa.ChunkedArray, heads: tuple[int, ...] = (), found_heads: list[np.ndarray] | None = None
+    texts: pa.Array | pa.ChunkedArray,
+    heads: tuple[int, ...] = (),
+    found_heads: list[np.ndarray] | None = None,
+    trim: int = 0,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and n + 1 offsets of each text's words.
 
+    Up to ``trim`` ASCII signs that are neither letters nor digits are left out at either end of a word that has more.
     For each length in ``heads``, ``found_heads`` gets an array of hashes of the words' first so many bytes (0 for shorter words).
     """
     raw, at = bytes_of(texts)
@@ -85,6 +91,10 @@ def word_hashes(
         after = np.concatenate((inside, [False]))
         starts = np.flatnonzero(after & (~before | edge))
         ends = np.flatnonzero(before & (~after | edge))
+        starts_at.append(starts + begin)
+        for _ in range(trim):
+            starts = starts + (_SIGN[part[starts]] & (ends - starts > 1))
+            ends = ends - (_SIGN[part[ends - 1]] & (ends - starts > 1))
         up, down = _power_tables(len(part) + 1)
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_LOWER[part] * up[: len(part)], out=sums[1:])
@@ -95,7 +105,6 @@ def word_hashes(
             head = mixed((sums[stop] - sums[starts]) * down[starts] + np.uint64(n << 32))
             head[ends - starts < n] = 0
             own.append(head)
-        starts_at.append(starts + begin)
         begin = end
     words = np.concatenate(found) if found else np.zeros(0, np.uint64)
     if found_heads is not None:

@@ -27,7 +27,8 @@ from .hashing import word_hashes
 POSITIVES = 2000
 UNLABELLED = 4000
 FEATURES = 1024
-HEADS = (4, 6, 8, 10)
+HEADS = (4, 5, 6, 8, 10)
+TRIM = 3
 STEPS = 400
 RATE = 0.05
 RIDGE = 2e-4
@@ -35,9 +36,10 @@ FILTER_BITS = 20
 
 
 def hashed_features(texts: pa.Array) -> Iterator[np.ndarray]:
-    """Feature hashes of all words, then of the beginnings of each length; each array is aligned with the words."""
+    """Feature hashes of all words without signs at their ends, then of the beginnings of each length; each array is aligned with
+    the words."""
     heads: list[np.ndarray] = []
-    words, at = word_hashes(texts, HEADS, heads)
+    words, at = word_hashes(texts, HEADS, heads, TRIM)
     yield at
     yield words
     yield from heads

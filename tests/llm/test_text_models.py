@@ -39,6 +39,12 @@ def test_word_hashes_find_the_same_words(monkeypatch):
         assert (h == 0) == (len(raw) < 2) and first.setdefault(raw[:2], h) == h
 
 
+def test_signs_at_the_ends_of_words_can_be_left_out():
+    plain, _ = hashing.word_hashes(pa.array(["scum scum scum ! !!!! é."]))
+    trimmed, at = hashing.word_hashes(pa.array(["scum SCUM!! (scum), ! !!!! é."]), trim=3)
+    assert (trimmed[:3] == plain[0]).all() and at.tolist() == [0, 6] and len(set(trimmed[3:])) == 2
+
+
 def test_shingles():
     sets = list(hashing.shingle_sets(pa.array(["a b c a b c", "A  b\nc a B c", "a b", "b a", "a", None, " "]), 3))
     assert [len(s) for s in sets] == [3, 3, 1, 1, 1, 0, 0]
