@@ -144,6 +144,37 @@ def test_language_rows(spark):
     assert {r.lang_pred for r in untaught.collect()} == {"und"}
 
 
+def test_tables_have_the_moves_of_the_automaton():
+    rnd = random.Random(6)
+    for text in ["", "a", "abracadabra", "".join(chr(0x4E00 + rnd.randrange(900)) for _ in range(3000)), "".join(rnd.choice("abc é😀") for _ in range(2000))]:
+        moves, t = language.SuffixAutomaton(text).next, language.Table.of(text)
+        codes = t.symbols.tolist()
+        state, symbol = (x.ravel() for x in np.meshgrid(np.arange(len(moves)), np.arange(len(codes) + 1), indexing="ij"))
+        chars = [chr(c) for c in codes] + [None]
+        assert t.move(state, symbol).tolist() == [moves[s].get(chars[c], -1) for s, c in zip(state, symbol)]
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "SHARD", 16)
+    rnd = random.Random(7)
+    rows, names = [], [f"l{i:02}" for i in range(70)]
+    for i, name in enumerate(names):
+        words = ["".join(chr(0x4E00 + 37 * i + rnd.randrange(30)) for _ in range(5)) for _ in range(30)]
+        for _ in range(6 if i < 66 else 5):  # the last four have the fewest documents
+            rows.append((1000 + len(rows), " ".join(rnd.choice(words) for _ in range(60)), name))
+    rows += [(None, rows[-1][1], names[-1]), (None, rows[0][1], names[0]), rows[-1], rows[-1]]
+    rows.append((TAUGHT, "x", "stray"))  # a language with one character of text takes no document
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    teaching = {r.lang for r in language.taught(docs).collect()}
+    assert set(names) <= teaching
+    got = sorted((r.doc_id or 0, r.lang_pred) for r in language.identified(docs.filter("lang <> 'stray'")).collect())
+    assert got == sorted((i or 0, name) for i, _, name in rows[:-1])
+    found = {(r.doc_id, r.lang_pred) for r in language.identified(docs).collect()}
+    assert {(i, name) for i, _, name in rows[:-1]} <= found
+    kept = language.stage(spark, docs, "").filter("lang <> 'stray'").collect()
+    assert sorted((r.doc_id or 0, r.lang) for r in kept) == got
+
+
 def test_language_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in table(spark, folder, "documents").select("doc_id", "lang").collect()}
