@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterline.session import ready_for_checkpoint
+from meterline.session import ready_for_checkpoint, scratch_path
 
 from .common import table
 
@@ -79,18 +79,27 @@ def plan_mix(
     sorted last. Equal keys (repeated rows) are ordered by id and size, and rows that agree in both are alike.
     A table without words has targets of 0 and takes nothing; an empty one gives no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    ready_for_checkpoint(spark)
+    ready_for_checkpoint(docs.sparkSession)
+    return planned(keyed(docs, weight).checkpoint(), (), shares, volume, most)
+
+
+def keyed(docs: DataFrame, weight: Column | None, *more: Column) -> DataFrame:
+    """``doc_id, source, size``, the key and its ranges of every row, and ``more``."""
     text = F.col("text")
     key = -F.log(uniform(F.col("doc_id"))) / (quality_weight(text) if weight is None else weight)
     # exp(-key) is uniform for weight 1 and keeps the order for all weights, so its leading digits make even ranges
     place = (F.lit(1.0) - F.exp(-F.col("_key"))) * RANGES
-    rows = (
-        docs.select("doc_id", "source", size_of(text).alias("size"), key.alias("_key"))
+    return (
+        docs.select("doc_id", "source", size_of(text).alias("size"), key.alias("_key"), *more)
         .withColumn("_a", F.least(F.floor(place), F.lit(RANGES - 1)).cast("int"))
         .withColumn("_b", F.least(F.floor((place - F.col("_a")) * RANGES), F.lit(RANGES - 1)).cast("int"))
-        .checkpoint()
     )
+
+
+def planned(
+    rows: DataFrame, more: tuple[str, ...] = (), shares=SHARES, volume: float = VOLUME, most: int = MOST_EPOCHS
+) -> DataFrame:
+    """The plan of rows that ``keyed`` has made and that are stored, with the columns ``more``, the last of which orders rows that agree otherwise."""
     per_range = rows.groupBy("source", "_a").agg(F.sum("size").alias("_sum"))
     sizes = per_range.groupBy("source").agg(F.sum("_sum").alias("source_size"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -139,18 +148,18 @@ def plan_mix(
     at_end = (F.col("_a") == F.col("_a_end")) & (F.col("_b") == F.col("_b_end"))
     earlier = (F.col("_a") < F.col("_a_end")) | ((F.col("_a") == F.col("_a_end")) & (F.col("_b") < F.col("_b_end")))
     some = F.col("_budget") > 0
-    kept = ["doc_id", "source", "size", "source_size", "target"]
+    kept = ["doc_id", "source", "size", "source_size", "target", *more]
     clear = joined.filter(~F.coalesce(at_end, F.lit(False))).select(
         *kept, (F.col("_epochs") + F.coalesce(earlier & some, F.lit(False)).cast("long")).alias("copies")
     )
-    order = Window.partitionBy("source").orderBy("_key", "doc_id", "size")
+    order = Window.partitionBy("source").orderBy("_key", "doc_id", "size", *more[-1:])
     until = F.col("_before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     fits = until - F.col("size") / F.lit(2.0) <= F.col("_budget")
     ends = (F.col("_a") == F.col("_a_end")) & (F.col("_b") == F.col("_b_end"))
     boundary = rows.join(marks, rows["source"].eqNullSafe(marks["_source"]) & ends)
     last = boundary.withColumn("_in", fits & some).select(*kept, (F.col("_epochs") + F.col("_in").cast("long")).alias("copies"))
     everything = clear.unionByName(last).withColumn("taken", F.col("size") * F.col("copies"))
-    return everything.select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
+    return everything.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", *more)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -158,12 +167,19 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs)
 
 
-def mix(docs: DataFrame, **settings) -> DataFrame:
-    """Rows of ``docs`` as often as the mix takes them, with their own columns. Ids must be unique."""
-    plan = plan_mix(docs, **settings).filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    names = docs.columns
-    out = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[docs[n] for n in names])
+def mix(docs: DataFrame, weight: Column | None = None, **settings) -> DataFrame:
+    """Rows of ``docs`` as often as the mix takes them, with their own columns.
+
+    Each row is taken for itself, also one of a repeated or null id. The rows are written once with what the plan needs, so that
+    they go through it and nothing has to be joined by id; the plan's sums read its own columns only. At the end of a budget,
+    rows that agree in key, id and size follow a digest of all their columns.
+    """
+    spark = docs.sparkSession
+    ready_for_checkpoint(spark)
+    whole = F.struct(*[docs[n] for n in docs.columns])
+    keyed(docs, weight, whole.alias("_doc"), F.xxhash64(whole).alias("_digest")).write.parquet(path := scratch_path(spark, "mix"))
+    plan = planned(spark.read.parquet(path), ("_doc", "_digest"), **settings).filter("copies > 0")
+    return plan.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +90,28 @@ def test_mix_repeats_documents(spark):
     assert max(counts.values()) == 2
 
 
+def test_mix_takes_each_row_for_itself(spark):
+    rows = rows_of(60, ["a", "b"])
+    rows += [rows[4]] * 3 + [(rows[6][0], "other text of that id", "a")] * 2 + [(None, f"no id {i}", "a") for i in range(25)] + [(None, "no id 0", "b")] * 20
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], SCHEMA + ", size int, target int, copies int")
+    for settings in ({}, {"volume": 0.5}, {"volume": 2.0}):
+        plan = mixing.plan_mix(docs, **settings).collect()
+        out = mixing.mix(docs, **settings)
+        assert out.columns == docs.columns
+        got, want = Counter(), Counter()
+        for r in out.collect():
+            got[r.doc_id, r.source, len(WORDS.findall(r.text))] += 1
+        for r in plan:
+            want[r.doc_id, r.source, r["size"]] += r.copies
+        assert got == +want
+        assert not set(map(tuple, out.collect())) - {(*r, 1, 2, 3) for r in rows}
+        most, taken = Counter(rows), Counter((r.doc_id, r.text, r.source) for r in out.collect())
+        assert all(n <= 2 * most[r] for r, n in taken.items())
+        for s in "ab":
+            words = sum(n * len(WORDS.findall(r[1])) for r, n in taken.items() if r[2] == s)
+            assert abs(words - next(r.target for r in plan if r.source == s)) <= 24
+
+
 def test_heavier_documents_come_first(spark):
     docs = spark.createDataFrame([(i, "w", "a") for i in range(2000)], SCHEMA)
     plan = mixing.plan_mix(docs, weight=F.when(F.col("doc_id") < 1000, 9.0).otherwise(1.0), volume=0.25)
