@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and their SQL twins."""
 
-from . import fingerprint, language, mixing, near_duplicates, neighbours, quality, sentence_pieces, token_counts, toxicity, url_filter
+from . import conversations, fingerprint, language, mixing, near_duplicates, neighbours, periodic_runs, quality, sentence_pieces, substring_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_url_filter": url_filter.query,
     "op9_near_duplicates": near_duplicates.query,
     "op10_toxicity": toxicity.query,
+    "op11_periodic_runs": periodic_runs.query,
+    "op12_substring_dedup": substring_dedup.query,
+    "op13_conversations": conversations.query,
 }
 
 SQL = {
