@@ -18,7 +18,8 @@ from ..session import build_session
 from ..sources import schemas
 from ..sources.fixture import load
 from ..sources.readers import read_sources, register_raw_views
-from ..sources.sinks import append_results, publish_months, read_table, write_table, write_usage
+from ..sources.retention import expire_months
+from ..sources.sinks import publish_months, put_run, read_table, write_table, write_usage
 from . import catalog, evals, history, models, quality
 from .book import Book
 
@@ -59,17 +60,47 @@ def write_history(book: Book, folder: str) -> Book:
 
 
 def append_run(book: Book, folder: str, run_id: str, run_ts: datetime) -> None:
-    """One run's check results, evaluations and row counts, appended to the result tables."""
+    """One run's check results, evaluations and row counts, added to the result tables; the same run again replaces them."""
     run = {"run_id": F.lit(run_id), "run_ts": F.lit(run_ts)}
-    append_results(catalog.dq_catalog(book), f"{folder}/assertion_results", schemas.ASSERTION_RESULTS, run)
+    put_run(catalog.dq_catalog(book), f"{folder}/assertion_results", schemas.ASSERTION_RESULTS, run)
     status = F.when(F.col("passed"), "pass").otherwise("fail")
     results = evals.eval_results(book).withColumn("test_id", F.col("check_id")).withColumn("status", status)
-    append_results(results, f"{folder}/eval_results", schemas.EVAL_RESULTS, run)
+    put_run(results, f"{folder}/eval_results", schemas.EVAL_RESULTS, run)
     counts = reduce(
         DataFrame.unionByName,
         [getattr(book, t).agg(F.lit(t).alias("table_name"), F.count("*").alias("n_rows")) for t in models.TABLES],
     )
-    append_results(counts, f"{folder}/row_counts", schemas.ROW_COUNTS, {"run_id": F.lit(run_id)})
+    put_run(counts, f"{folder}/row_counts", schemas.ROW_COUNTS, run)
+
+
+def months_back(day: date, months: int) -> date:
+    """First day of the month ``months`` before the month of ``day``."""
+    y, m = divmod(day.year * 12 + day.month - 1 - months, 12)
+    return date(y, m + 1, 1)
+
+
+def expire(spark: SparkSession, folder: str, p: Params, result_months: int = 24) -> dict[str, list[date]]:
+    """Retention of a built folder: months wholly before the hot period are aggregated into ``<table>_archive``, then their
+    daily detail goes. Usage and the daily mart keep ``p.retention_months``; result tables ``result_months`` of runs.
+
+    Safe to stop at any point and run again (see ``retention.expire_months``). Returns the months removed per table.
+    """
+    hot = date(p.retention_from.year, p.retention_from.month, 1)
+    runs = months_back(p.as_of, result_months)
+    money = lambda c: F.sum(c).alias(c)
+    last = lambda c: F.max_by(c, "as_of_date").alias(f"last_{c}")
+    plans = {
+        "stg_daily_usage_logs": ("usage_month", hot, ["account_id"], [money("credits_consumed")]),
+        "usage_daily": ("usage_month", hot, ["account_id", "usage_class"], [money("n_logs"), money("credits_consumed")]),
+        "carr_account_day": ("usage_month", hot, ["account_id"],
+                             [last("carr"), last("committed_arr"), F.avg("carr").alias("mean_carr")]),
+        "assertion_results": ("run_month", runs, ["assertion_id", "status"], [F.countDistinct("run_id").alias("n_runs")]),
+        "eval_results": ("run_month", runs, ["test_id", "status"], [F.countDistinct("run_id").alias("n_runs")]),
+    }
+    return {
+        name: expire_months(spark, f"{folder}/{name}", f"{folder}/{name}_archive", column, cutoff, keys, measures)
+        for name, (column, cutoff, keys, measures) in plans.items()
+    }
 
 
 def main() -> int:
@@ -89,6 +120,7 @@ def main() -> int:
     book = write_all(spark, sources, a.out, Params(as_of=a.as_of))
     if a.run_id:
         append_run(write_history(book, a.out), a.out, a.run_id, a.run_ts or datetime.combine(a.as_of, datetime.min.time()))
+        expire(spark, a.out, book.p)
     book.mart_dq_summary.show(vertical=True, truncate=False)
     quality.dq_assertions(book).orderBy("assertion_id").show(50, truncate=False)
     gate = quality.dq_gate(book).first()

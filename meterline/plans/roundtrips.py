@@ -62,6 +62,30 @@ def src_incremental_merge(b) -> DataFrame:
     )
 
 
+def retention_expire(b) -> DataFrame:
+    """The staged logs written by month, then expired: months wholly before the retention period are aggregated per
+    account into an archive and their detail deleted. Returns what is left, per account: days of the kept months, and
+    the archived months (grain ``month``). The sums equal those of the logs before expiry."""
+    from ..sources.retention import archived, expire_months
+
+    spark, p = b.spark, b.p
+    ready_for_checkpoint(spark)
+    path = scratch_path(spark, "retained")
+    sinks.write_usage(b.stg_daily_usage_logs, path)
+    cutoff = p.retention_from.replace(day=1)
+    expire_months(spark, path, f"{path}_archive", "usage_month", cutoff, ["account_id"],
+                  [F.sum("credits_consumed").alias("credits")])
+    days = (
+        spark.read.parquet(path).groupBy("account_id", F.lit("day").alias("grain"), F.col("usage_date").alias("period_start"))
+        .agg(F.count("*").alias("n_logs"), F.sum("credits_consumed").alias("credits"))
+    )
+    months = archived(spark, f"{path}_archive").select(
+        "account_id", F.lit("month").alias("grain"), F.col("usage_month").alias("period_start"),
+        F.col("n_detail_rows").alias("n_logs"), "credits",
+    )
+    return days.unionByName(months)
+
+
 def export_csv(b) -> DataFrame:
     """All accounts of the current mart as CSV, largest first, read back."""
     path = scratch_path(b.spark, "export")

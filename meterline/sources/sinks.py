@@ -124,6 +124,31 @@ def append_results(df: DataFrame, path: str, schema: T.StructType, run: dict[str
     df.select(*cols).write.mode("append").parquet(path)
 
 
+def put_run(df: DataFrame, path: str, schema: T.StructType, run: dict[str, Column], month_of: str = "run_ts") -> None:
+    """One run's rows in its own folder ``run_month=.../run_id=...``: a run written again replaces only its own rows.
+
+    Runs are kept apart by folder, so two runs written at once touch different folders; ``run_month`` lets retention
+    expire whole months of runs (``retention.expire_months``). Read back with ``read_runs``.
+    """
+    for name, value in run.items():
+        df = df.withColumn(name, value)
+    cols = [
+        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
+    ]
+    (
+        df.select(*cols, F.trunc(F.to_date(month_of), "month").alias("run_month"))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run_month", "run_id").parquet(path)
+    )
+
+
+def read_runs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table written by ``put_run``, with the types of ``schema`` (folder names are not guessed at) and ``run_month``."""
+    full = T.StructType([f for f in schema.fields if f.name != "run_id"]
+                        + [T.StructField("run_month", T.DateType()), T.StructField("run_id", T.StringType())])
+    return spark.read.schema(full).parquet(path).select(*schema.names, "run_month")
+
+
 def export_csv(df: DataFrame, path: str, order: list[Column], limit: int | None = None) -> None:
     """A table view as CSV files that follow each other in the given order: all rows, or the first ``limit`` if one is given."""
     rows = df.orderBy(*order)

@@ -811,6 +811,11 @@ FINALS: dict[str, str] = {
     "pii_mask": """SELECT account_id, sha256(company_name) AS company_name_masked, industry, a.rep_id,
         sha256(s.rep_name) AS rep_name_masked FROM accounts a LEFT JOIN stg_sales_reps s ON a.rep_id = s.rep_id""",
     "retention_usage": RETAIN,
+    # months wholly before the first kept day are archived per account; the kept months stay by day
+    "retention_expire": f"""SELECT account_id, CASE WHEN usage_date >= date_trunc('month', {DAILY_DETAIL}) THEN 'day' ELSE 'month' END AS grain,
+    CAST(CASE WHEN usage_date >= date_trunc('month', {DAILY_DETAIL}) THEN usage_date ELSE date_trunc('month', usage_date) END AS DATE) AS period_start,
+    {COUNT} AS n_logs, {m('SUM(credits_consumed)', 'credits')}
+    FROM stg_daily_usage_logs GROUP BY 1, 2, 3""",
     "obs_row_counts": f"""SELECT table_name, {n('a', 'n_rows')}, {n('b', 'n_rows_before')},
         {r('CASE WHEN b > 0 THEN CAST(a AS DOUBLE) / b - 1 END', 'change_pct')},
         COALESCE(ABS(CAST(a AS DOUBLE) / NULLIF(b, 0) - 1) > 0.10::DOUBLE, FALSE) AS alert_change, a < b AS alert_decrease,
