@@ -17,6 +17,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sinks import LOG_INDEX
+
 
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -79,9 +81,12 @@ def expire_months(
     written = aggregated.unionByName(ledger, allowMissingColumns=True)
     written.write.mode("append").partitionBy(column).parquet(archive)
     now = month_folders(spark, archive, column)
+    index = month_folders(spark, f"{path}/{LOG_INDEX}", column)
     for month in due:
         if month in now:
             delete_folder(spark, detail[month])
+            if month in index:  # an id index must not send later merges to a month that is gone
+                delete_folder(spark, index[month])
     return [m for m in due if m in now]
 
 

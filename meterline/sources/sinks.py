@@ -31,8 +31,15 @@ def by_month(df: DataFrame, day: str, month: str = "usage_month") -> DataFrame:
     return df.withColumn(month, F.trunc(day, "month")).hint("rebalance", F.col(month))
 
 
+#: Sidecar of a usage table: (64-bit hash of log_id, month) by month. Its name starts with "_", so readers of the table skip it.
+LOG_INDEX = "_log_index"
+
+
 def write_usage(df: DataFrame, path: str, day: str = "usage_date") -> None:
-    """Month partitions, sorted by account inside each file so row-group statistics can skip accounts."""
+    """Month partitions, sorted by account inside each file so row-group statistics can skip accounts.
+
+    A table with a ``log_id`` also gets its id index (``LOG_INDEX``), from the written files' ``log_id`` column alone.
+    """
     (
         by_month(df, day)
         .sortWithinPartitions("usage_month", "account_id")
@@ -40,6 +47,35 @@ def write_usage(df: DataFrame, path: str, day: str = "usage_date") -> None:
         .partitionBy("usage_month")
         .parquet(path)
     )
+    written = df.sparkSession.read.parquet(path)
+    if "log_id" in written.columns:
+        write_index(written, path)
+
+
+def write_index(rows: DataFrame, path: str, months: list[date] | None = None) -> None:
+    """The id index of ``rows`` (log_id, usage_month); with ``months`` only those months' index partitions are replaced,
+    and a listed month without rows gets an empty one."""
+    index = rows.select(F.xxhash64("log_id").alias("h"), "usage_month").hint("rebalance", F.col("usage_month"))
+    index = index.sortWithinPartitions("usage_month", "h")
+    writer = index.write.mode("overwrite").partitionBy("usage_month")
+    if months is None:
+        writer.parquet(f"{path}/{LOG_INDEX}")
+        return
+    writer.option("partitionOverwriteMode", "dynamic").parquet(f"{path}/{LOG_INDEX}")
+    held = {r[0] for r in rows.select("usage_month").distinct().collect()}
+    for month in sorted(set(months) - held):
+        index.where("false").drop("usage_month").write.mode("overwrite").parquet(
+            f"{path}/{LOG_INDEX}/usage_month={month.isoformat()}")
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame | None:
+    """The id index of a usage table, or None for a table written without one."""
+    try:
+        return spark.read.schema("h long, usage_month date").parquet(f"{path}/{LOG_INDEX}")
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def write_clustered(df: DataFrame, table: str, path: str, buckets: int) -> None:
@@ -53,15 +89,24 @@ def merge_usage(spark: SparkSession, path: str, incoming: DataFrame, day: str =
     """Replace only the months that hold an incoming log or will hold one; an incoming log wins over a stored one.
 
     A log whose day moved to another month leaves its old month. Of several incoming versions of a log the one with the latest day,
-    then the most credits, is kept. The touched months are few and bounded by the calendar, so they are the one
-    thing read to the driver, which lets the stored side prune partitions.
+    then the most credits, is kept. The months that hold an incoming id come from the id index, so the usage rows of other
+    months are never read (a hash that two ids share only adds a month, which is then written back as it was); a table
+    without an index is searched by a semi join instead. The touched months are few and bounded by the calendar, so they
+    are the one thing read to the driver, which lets the stored side prune partitions. The index of the touched months is
+    replaced after the data.
     """
     versions = W.partitionBy("log_id").orderBy(F.desc(day), F.desc("credits_consumed"), F.desc("account_id"))
     fresh = incoming.withColumn("_v", F.row_number().over(versions)).where("_v = 1").drop("_v")
     fresh = fresh.withColumn("usage_month", F.trunc(day, "month")).checkpoint()
-    stored = spark.read.parquet(path)
+    # the batch's schema, so that no footer of the stored files is read to infer one
+    stored = spark.read.schema(fresh.schema).parquet(path)
     ids = fresh.select("log_id")
-    touched = fresh.select("usage_month").unionByName(stored.join(ids, "log_id", "left_semi").select("usage_month"))
+    index = read_index(spark, path)
+    if index is None:
+        held = stored.join(ids, "log_id", "left_semi").select("usage_month")
+    else:
+        held = index.join(fresh.select(F.xxhash64("log_id").alias("h")), "h", "left_semi").select("usage_month")
+    touched = fresh.select("usage_month").unionByName(held)
     months = [r[0] for r in touched.distinct().collect()]
     kept = stored.where(F.col("usage_month").isin(months)).join(ids, "log_id", "left_anti")
     # The read partitions are the ones replaced, so the merged rows are cut from the old files first.
@@ -79,6 +124,8 @@ def merge_usage(spark: SparkSession, path: str, incoming: DataFrame, day: str =
     for month in sorted(set(months) - left):
         empty = merged.where("false").drop("usage_month")
         empty.write.mode("overwrite").parquet(f"{path}/usage_month={month.isoformat()}")
+    if index is not None:
+        write_index(merged, path, months)
 
 
 class MonthClosed(Exception):
