@@ -1,15 +1,20 @@
 """Substring dedup: Rabin-Karp hashes of every window of 20 words, counted in Spark, merged into maximal removal intervals.
 
-Each task hashes the words of its documents (siphash of the UTF-8 word, two keys) and turns them into two independent
-polynomial (Rabin-Karp) hashes of every window of ``WINDOW`` consecutive words, from prefix sums modulo 2**64, so that the
-pair is a 128-bit fingerprint of the window's word sequence. Spark then finds, per fingerprint, the first place it starts
-(smallest doc_id, then start; a map-side partial aggregate, so a window shared by many documents costs one row per task
-before the shuffle) and joins the windows back to the fingerprints that occur more than once: every window that starts
-later than its fingerprint's first place is removed. Removed windows of a document are merged into maximal intervals with
-a running maximum over the document's windows (gaps and islands), and a last pass over each text drops the covered words.
-
-Decisions are taken on the input, not on what is left. Null ids count as larger than every id; rows that share an id and
-text give equal results, and windows at the same (id, start) never remove each other.
+Exact copies are settled per text first: rows are grouped by the SHA-256 of their text, and only the first row of each
+text (the representative) is cut into windows. A later copy has every window of its representative at the same start,
+so all of its words in windows go; a row with the same id and text as the representative is the same document.
+
+Each task hashes the words of its representatives (siphash of the word) and turns them into a polynomial (Rabin-Karp)
+hash of every window of ``WINDOW`` consecutive words, from prefix sums modulo 2**64. Windows are ordered by their place
+(the representative's rank, then start); ranks come from one sorted, checkpointed row per distinct text. Before the shuffle
+each task keeps, per hash, only its first place and reports the later places as removed (a map-side combine, so a
+window shared by many documents costs one entry per task); the rest travels packed in arrays, bucketed by hash, in one
+shuffle. Each bucket sorts its entries by hash and place: every place after a hash's first is removed. The removed
+windows of a document are checked against its own window hashes and merged into maximal intervals in a last pass.
+
+Order of places: smaller doc_id first, null ids after all ids; rows with the same id and different texts are ordered
+by the SHA-256 of the text. Decisions are taken on the input, not on what is left. A 64-bit window hash makes a false
+removal possible only when two different windows share it: about (distinct windows)^2 / 2**65 pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ready, table
@@ -29,105 +34,151 @@ from .common import ready, table
 WINDOW = 20
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-KEYS = ("substring-dedup1", "substring-dedup2")  # siphash keys of the two word hashes
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so invertible modulo 2**64
-EMPTY_SHA = hashlib.sha256(b"").hexdigest()
-WINDOWS = "doc_id long, tag long, start int, h1 long, h2 long"
-OUT = "doc_id long, tag long, n_words long, n_removed long, kept_sha256 string"
+KEY = "substring-dedup1"  # siphash key of the word hashes
+BASE = 0x9E3779B97F4A7C15  # odd, so invertible modulo 2**64
+PACKED = "route int, removed boolean, h array<bigint>, r array<bigint>, s array<int>"
+REMOVED = "r long, s int, h long"
+OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text) if text else []
 
 
-def window_hashes(words: list[str], key: str, base: int) -> np.ndarray:
-    """Rabin-Karp hash of every window of ``WINDOW`` words, as int64: ``sum(w[s + j] * base**j)``, wrapping at 2**64."""
+def window_hashes(words: list[str]) -> np.ndarray:
+    """Rabin-Karp hash of every window of ``WINDOW`` words, as int64: ``sum(w[s + j] * BASE**j)``, wrapping at 2**64."""
     n = len(words)
     if n < WINDOW:
         return np.zeros(0, np.int64)
-    w = pd.util.hash_array(np.array(words, dtype=object), hash_key=key, categorize=False)
+    w = pd.util.hash_array(np.array(words, dtype=object), hash_key=KEY, categorize=False)
     with np.errstate(over="ignore"):
-        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, base, np.uint64)]), dtype=np.uint64)
-        inverse = pow(base, -1, 1 << 64)
-        back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - WINDOW, inverse, np.uint64)]), dtype=np.uint64)
+        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, BASE, np.uint64)]), dtype=np.uint64)
+        back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - WINDOW, pow(BASE, -1, 1 << 64), np.uint64)]),
+                          dtype=np.uint64)
         prefix = np.concatenate([[np.uint64(0)], np.cumsum(w * powers, dtype=np.uint64)])
         sums = (prefix[WINDOW:] - prefix[:-WINDOW]) * back
     return sums.view(np.int64)
 
 
-def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        parts = []
-        for doc_id, tag, text in zip(batch["doc_id"], batch["tag"], batch["text"]):
-            words = words_of(text if isinstance(text, str) else None)
-            if len(words) < WINDOW:
+def _firsts(h: np.ndarray, r: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries (hash, rank, start): a mask of the first place of each hash (one entry per tie) and of later places."""
+    order = np.lexsort((s, r, h))
+    h, r, s = h[order], r[order], s[order]
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    group = np.cumsum(new) - 1
+    first_r, first_s = r[new][group], s[new][group]
+    later = (r > first_r) | ((r == first_r) & (s > first_s))
+    same = np.ones(len(h), bool)
+    same[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1]) | (s[1:] != s[:-1])
+    keep = ~later & same
+    first, gone = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    first[order[keep]] = True
+    gone[order[later]] = True
+    return first, gone
+
+
+def _packed(buckets: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hs, rs, ss = [], [], []
+            for rank, text in zip(batch["rank"], batch["text"]):
+                h = window_hashes(words_of(text if isinstance(text, str) else None))
+                hs.append(h)
+                rs.append(np.full(len(h), rank, np.int64))
+                ss.append(np.arange(len(h), dtype=np.int32))
+            if not hs:
                 continue
-            h1, h2 = (window_hashes(words, k, b) for k, b in zip(KEYS, BASES))
-            parts.append(pd.DataFrame({
-                "doc_id": pd.array([None if pd.isna(doc_id) else int(doc_id)] * len(h1), dtype="Int64"),
-                "tag": np.full(len(h1), tag, np.int64), "start": np.arange(len(h1), dtype=np.int32), "h1": h1, "h2": h2}))
-        if parts:
-            yield pd.concat(parts, ignore_index=True)
-
-
-def windows(docs: DataFrame) -> DataFrame:
-    """Every window of 20 words of every row: (doc_id, tag of the row's text, start, h1, h2)."""
-    ready(docs.sparkSession)
-    return docs.mapInPandas(_windows, WINDOWS)
-
-
-def removal_intervals(docs: DataFrame) -> DataFrame:
-    """Per (doc_id, tag) with removed words: maximal removal intervals ``[lo, hi)`` as arrays, and the words they cover."""
-    w = windows(docs)
-    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("start").alias("s"))
-    w = w.withColumn("place", place)
-    repeated = (
-        w.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("times"))
-        .filter("times > 1").drop("times")
-    )
-    removed = w.join(repeated, ["h1", "h2"]).filter(F.col("place") > F.col("first")).select("doc_id", "tag", "start")
-    doc = Window.partitionBy("doc_id", "tag").orderBy("start")
-    reach = F.max(F.col("start") + WINDOW).over(doc.rowsBetween(Window.unboundedPreceding, -1))
-    islands = (
-        removed.withColumn("new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
-        .withColumn("island", F.sum("new").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("doc_id", "tag", "island").agg(F.min("start").alias("lo"), (F.max("start") + WINDOW).alias("hi"))
-    )
-    return islands.groupBy("doc_id", "tag").agg(
-        F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"),
-        F.sum(F.col("hi") - F.col("lo")).alias("n_removed"),
-    )
+            h, r, s = np.concatenate(hs), np.concatenate(rs), np.concatenate(ss)
+            if not len(h):
+                continue
+            first, gone = _firsts(h, r, s)
+            route = (h.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+            rows = []
+            for removed, mask in ((False, first), (True, gone)):
+                if not mask.any():
+                    continue
+                hm, rm, sm, bm = h[mask], r[mask], s[mask], route[mask]
+                order = np.argsort(bm, kind="stable")
+                hm, rm, sm, bm = hm[order], rm[order], sm[order], bm[order]
+                cuts = np.flatnonzero(np.diff(bm)) + 1
+                for part_h, part_r, part_s, part_b in zip(*(np.split(x, cuts) for x in (hm, rm, sm, bm))):
+                    rows.append((int(part_b[0]), removed, part_h, part_r, part_s))
+            yield pd.DataFrame(rows, columns=["route", "removed", "h", "r", "s"])
+
+    return run
+
+
+def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All entries of a partition's buckets: every place after its hash's first one; reported removals pass through."""
+    kept = {"h": [], "r": [], "s": []}
+    for batch in batches:
+        for removed, h, r, s in zip(batch["removed"], batch["h"], batch["r"], batch["s"]):
+            if removed:
+                yield pd.DataFrame({"r": np.asarray(r, np.int64), "s": np.asarray(s, np.int32), "h": np.asarray(h, np.int64)})
+            else:
+                kept["h"].append(np.asarray(h, np.int64))
+                kept["r"].append(np.asarray(r, np.int64))
+                kept["s"].append(np.asarray(s, np.int32))
+    if kept["h"]:
+        h, r, s = (np.concatenate(kept[k]) for k in "hrs")
+        _, gone = _firsts(h, r, s)
+        yield pd.DataFrame({"r": r[gone], "s": s[gone], "h": h[gone]})
 
 
 def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for doc_id, tag, text, spans, n_removed in zip(batch["doc_id"], batch["tag"], batch["text"], batch["spans"],
-                                                       batch["n_removed"]):
+        for doc_id, text, copy, starts, hashes in zip(batch["doc_id"], batch["text"], batch["copy"], batch["starts"],
+                                                      batch["hashes"]):
             words = words_of(text if isinstance(text, str) else None)
             gone = np.zeros(len(words), bool)
-            if spans is not None:
-                for span in spans:
-                    gone[span["lo"] : span["hi"]] = True
+            if len(words) >= WINDOW:
+                if copy:
+                    gone[:] = True
+                elif starts is not None and len(starts):
+                    own = window_hashes(words)
+                    starts = np.asarray(starts, np.int64)
+                    sure = starts[own[starts] == np.asarray(hashes, np.int64)]
+                    # windows [s, s + 20) merged into intervals by a difference array
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(edge, sure, 1)
+                    np.add.at(edge, sure + WINDOW, -1)
+                    gone = np.cumsum(edge)[:-1] > 0
             kept = " ".join(w for w, g in zip(words, gone) if not g)
-            rows.append({"doc_id": None if pd.isna(doc_id) else int(doc_id), "tag": tag, "n_words": len(words),
-                         "n_removed": int(n_removed), "kept_sha256": hashlib.sha256(kept.encode("utf-8")).hexdigest()})
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")]).astype({"doc_id": "Int64"})
+            rows.append({"doc_id": None if pd.isna(doc_id) else int(doc_id), "n_words": len(words),
+                         "n_removed": int(gone.sum()), "kept_sha256": hashlib.sha256(kept.encode("utf-8")).hexdigest()})
+        yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256"]).astype({"doc_id": "Int64"})
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed and the hash of the kept words joined by one space.
 
-    Only ``doc_id`` and ``text`` are read. Null or empty text, or fewer than 20 words: nothing removed. Every text is read
-    whole; nothing is sampled or cut.
+    Only ``doc_id`` and ``text`` are read. Null or empty text, or fewer than 20 words: nothing removed. Repeated rows give
+    equal results. Every text is read whole; nothing is sampled or cut.
     """
+    spark = docs.sparkSession
+    ready(spark)
+    from meterline.session import ready_for_checkpoint
+
+    ready_for_checkpoint(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))))
-    spans = removal_intervals(rows)
-    joined = rows.join(
-        spans, rows["doc_id"].eqNullSafe(spans["doc_id"]) & (rows["tag"] == spans["tag"]), "left"
-    ).select(rows["doc_id"], rows["tag"], "text", "spans", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"))
-    return joined.mapInPandas(_kept, OUT)
+    rows = rows.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"))
+    texts = rows.groupBy("sha").agg(F.min(place).alias("first"))
+    # one rank per distinct text, in the order of places; written, so every later step sees the same ranks
+    texts = texts.orderBy(F.col("first.n"), F.col("first.d"), "sha").withColumn("rank", F.monotonically_increasing_id())
+    texts = texts.checkpoint()
+    joined = rows.join(texts, "sha").withColumn("copy", place != F.col("first"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = joined.where(~F.col("copy")).select("rank", "text").mapInPandas(_packed(buckets), PACKED)
+    removed = packed.repartition(buckets, "route").mapInPandas(_removed, REMOVED)
+    found = (
+        removed.join(texts.select(F.col("rank").alias("r"), "sha"), "r")
+        .groupBy("sha").agg(F.collect_list("s").alias("starts"), F.collect_list("h").alias("hashes"))
+    )
+    done = joined.join(found, "sha", "left").select("doc_id", "text", "copy", "starts", "hashes")
+    return done.mapInPandas(_kept, OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,24 +13,26 @@ SCHEMA = "doc_id long, text string, tag string"
 
 
 def plain(rows):
-    """doc_id -> (n_words, n_removed, kept_sha256) by a dictionary of first places, nulls after every id."""
-    key = lambda d: (d is None, d or 0)
+    """doc_id -> (n_words, n_removed, kept_sha256) by a dictionary of first places: nulls after every id, rows of one
+    id with different texts by the SHA-256 of the text."""
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    key = lambda d, t: (d is None, d or 0, sha(t))
     first = {}
     for d, text in rows:
         w = sd.words_of(text)
         for s in range(len(w) - 19):
             seq = tuple(w[s : s + 20])
-            first[seq] = min(first.get(seq, (key(d), s)), (key(d), s))
+            first[seq] = min(first.get(seq, (key(d, text), s)), (key(d, text), s))
     out = []
     for d, text in rows:
         w = sd.words_of(text)
         gone = [False] * len(w)
         for s in range(len(w) - 19):
-            if first[tuple(w[s : s + 20])] < (key(d), s):
+            if first[tuple(w[s : s + 20])] < (key(d, text), s):
                 gone[s : s + 20] = [True] * 20
         kept = " ".join(x for x, g in zip(w, gone) if not g)
         out.append((d, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    return sorted(out, key=lambda r: (key(r[0]), r[1:]))
+    return sorted(out, key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
 
 
 def run(spark, rows):
@@ -69,6 +71,16 @@ def test_edge_cases(spark):
     assert by_id[6][2] == 60000 - 5000  # the second half repeats the first
 
 
+def test_one_id_with_two_texts_orders_by_text_hash(spark):
+    a = " ".join(f"p{i}" for i in range(25))
+    b = "x y " + a
+    rows = [(9, a), (9, b), (None, "q " + a), (None, "r " + a)]
+    got = run(spark, rows)
+    assert got == plain(rows)
+    first = min((a, b), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert {r[1]: r[2] for r in got if r[0] == 9} == {len(first.split()): 0, len((a if first == b else b).split()): 25}
+
+
 def test_empty_table(spark):
     assert sd.dedup(spark.createDataFrame([], SCHEMA)).collect() == []
 
