@@ -143,6 +143,16 @@ def restatement_by_rep(b) -> DataFrame:
     return history.restatement_diff(history.carr_per_rep(old), history.carr_per_rep(new), 5000.0, "rep_id")
 
 
+def stream_daily_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """The event table as a stream whose micro-batches upsert a daily table; the table as it stands after the stream."""
+    from ..streaming import incremental
+
+    base = scratch_path(spark, "stream-daily")
+    usage = R.usage_events(R.read_events(spark, folder, "events.parquet"))
+    incremental.start(usage, f"{base}/tables", f"{base}/state").awaitTermination()
+    return incremental.read_daily(spark, f"{base}/tables")
+
+
 def stream_daily_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """The event table as a stream, landed by day and reconciled to daily usage: open days and late events included."""
     base = scratch_path(spark, "stream")

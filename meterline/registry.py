@@ -84,9 +84,10 @@ def book(spark: SparkSession, folder: str, params: Params | None = None) -> Book
 def run(key: str, spark: SparkSession, folder: str, params: Params | None = None) -> DataFrame:
     """One query over the given tables in ``folder``, with its published column types."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    if key == "stream_daily_rollup":
-        return publish(roundtrips.stream_daily_rollup(spark, folder))
+    if key in STREAMS:
+        return publish(STREAMS[key](spark, folder))
     return publish(PLANS[key](book(spark, folder, params)))
 
 
-KEYS = [*PLANS, "stream_daily_rollup"]
+STREAMS = {"stream_daily_rollup": roundtrips.stream_daily_rollup, "stream_daily_incremental": roundtrips.stream_daily_incremental}
+KEYS = [*PLANS, *STREAMS]

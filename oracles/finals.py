@@ -837,6 +837,9 @@ FINALS: dict[str, str] = {
     "stream_daily_rollup": f"""SELECT CAST(ts AS DATE) AS usage_date, 'ACC' || lpad(CAST(user_id AS VARCHAR), 8, '0') AS account_id,
         {COUNT} AS n_logs, {m('SUM(CAST(value AS DECIMAL(18,2)))', 'credits_consumed')} FROM
         (SELECT * FROM events QUALIFY ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY ts, user_id, value) = 1) GROUP BY 1, 2""",
+    "stream_daily_incremental": f"""SELECT CAST(ts AS DATE) AS usage_date, 'ACC' || lpad(CAST(user_id AS VARCHAR), 8, '0') AS account_id,
+        {COUNT} AS n_logs, {m('SUM(CAST(value AS DECIMAL(18,2)))', 'credits_consumed')} FROM
+        (SELECT * FROM events QUALIFY ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY ts, user_id, value) = 1) GROUP BY 1, 2""",
 }
 
 # The month-end metric once more, over every log of a known account.
