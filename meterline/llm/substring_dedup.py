@@ -8,9 +8,11 @@ Each task hashes the words of its representatives (siphash of the word) and turn
 hash of every window of ``WINDOW`` consecutive words, from prefix sums modulo 2**64. Windows are ordered by their place
 (the representative's rank, then start); ranks come from one sorted, checkpointed row per distinct text. Before the shuffle
 each task keeps, per hash, only its first place and reports the later places as removed (a map-side combine, so a
-window shared by many documents costs one entry per task); the rest travels packed in arrays, bucketed by hash, in one
-shuffle. Each bucket sorts its entries by hash and place: every place after a hash's first is removed. The removed
-windows of a document are checked against its own window hashes and merged into maximal intervals in a last pass.
+window shared by many documents costs one entry per task); the rest travels packed, bucketed by hash, in one shuffle:
+per bucket the entries sorted by place, as zstd-compressed arrays (ranks and starts are nearly constant steps there).
+Each bucket sorts its entries by hash and place: every place after a hash's first is removed. The removed windows of a
+document are checked against its own window hashes and merged into maximal intervals in a last pass. Texts cross the
+network once, zstd-compressed, into a table in the shared folder that both passes over them read.
 
 Order of places: smaller doc_id first, null ids after all ids; rows with the same id and different texts are ordered
 by the SHA-256 of the text. Decisions are taken on the input, not on what is left. A 64-bit window hash makes a false
@@ -25,8 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
+
+from meterline.session import ready_for_checkpoint, scratch_path
 
 from .common import ready, table
 
@@ -36,9 +42,12 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 KEY = "substring-dedup1"  # siphash key of the word hashes
 BASE = 0x9E3779B97F4A7C15  # odd, so invertible modulo 2**64
-PACKED = "route int, removed boolean, h array<bigint>, r array<bigint>, s array<int>"
+PACKED = "route int, removed boolean, n int, blob binary"
 REMOVED = "r long, s int, h long"
+PER_TEXT = "rank long, n_words long, n_removed long, kept_sha256 string"
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+LEVEL = 3  # zstd level of packed texts and windows
+EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
 def words_of(text: str | None) -> list[str]:
@@ -78,12 +87,36 @@ def _firsts(h: np.ndarray, r: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np
     return first, gone
 
 
+def pack(h: np.ndarray, r: np.ndarray, s: np.ndarray) -> bytes:
+    """Entries sorted by place, as zstd of hashes, rank steps and start steps."""
+    order = np.lexsort((s, r))
+    h, r, s = h[order], r[order], s[order].astype(np.int64)
+    raw = h.tobytes() + np.diff(r, prepend=0).tobytes() + np.diff(s, prepend=0).tobytes()
+    return zstandard.ZstdCompressor(level=LEVEL).compress(raw)
+
+
+def unpack(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64)
+    return raw[:n], np.cumsum(raw[n : 2 * n]), np.cumsum(raw[2 * n :]).astype(np.int32)
+
+
+def _text(z) -> str | None:
+    return None if z is None else zstandard.ZstdDecompressor().decompress(z).decode("utf-8")
+
+
+@F.pandas_udf(BinaryType())
+def _zstd(text: pd.Series) -> pd.Series:
+    """Texts as zstd frames, so that they cross the network and sit in the shared folder at a third of their size."""
+    zc = zstandard.ZstdCompressor(level=LEVEL)
+    return text.map(lambda t: None if not isinstance(t, str) else zc.compress(t.encode("utf-8")))
+
+
 def _packed(buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             hs, rs, ss = [], [], []
-            for rank, text in zip(batch["rank"], batch["text"]):
-                h = window_hashes(words_of(text if isinstance(text, str) else None))
+            for rank, z in zip(batch["rank"], batch["z"]):
+                h = window_hashes(words_of(_text(z)))
                 hs.append(h)
                 rs.append(np.full(len(h), rank, np.int64))
                 ss.append(np.arange(len(h), dtype=np.int32))
@@ -103,8 +136,8 @@ def _packed(buckets: int):
                 hm, rm, sm, bm = hm[order], rm[order], sm[order], bm[order]
                 cuts = np.flatnonzero(np.diff(bm)) + 1
                 for part_h, part_r, part_s, part_b in zip(*(np.split(x, cuts) for x in (hm, rm, sm, bm))):
-                    rows.append((int(part_b[0]), removed, part_h, part_r, part_s))
-            yield pd.DataFrame(rows, columns=["route", "removed", "h", "r", "s"])
+                    rows.append((int(part_b[0]), removed, len(part_h), pack(part_h, part_r, part_s)))
+            yield pd.DataFrame(rows, columns=["route", "removed", "n", "blob"])
 
     return run
 
@@ -113,42 +146,38 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """All entries of a partition's buckets: every place after its hash's first one; reported removals pass through."""
     kept = {"h": [], "r": [], "s": []}
     for batch in batches:
-        for removed, h, r, s in zip(batch["removed"], batch["h"], batch["r"], batch["s"]):
+        for removed, n, blob in zip(batch["removed"], batch["n"], batch["blob"]):
+            h, r, s = unpack(blob, int(n))
             if removed:
-                yield pd.DataFrame({"r": np.asarray(r, np.int64), "s": np.asarray(s, np.int32), "h": np.asarray(h, np.int64)})
+                yield pd.DataFrame({"r": r, "s": s, "h": h})
             else:
-                kept["h"].append(np.asarray(h, np.int64))
-                kept["r"].append(np.asarray(r, np.int64))
-                kept["s"].append(np.asarray(s, np.int32))
+                kept["h"].append(h)
+                kept["r"].append(r)
+                kept["s"].append(s)
     if kept["h"]:
         h, r, s = (np.concatenate(kept[k]) for k in "hrs")
         _, gone = _firsts(h, r, s)
         yield pd.DataFrame({"r": r[gone], "s": s[gone], "h": h[gone]})
 
 
-def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _per_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Results of representatives: removals checked against the text's own window hashes, merged into intervals."""
     for batch in batches:
         rows = []
-        for doc_id, text, copy, starts, hashes in zip(batch["doc_id"], batch["text"], batch["copy"], batch["starts"],
-                                                      batch["hashes"]):
-            words = words_of(text if isinstance(text, str) else None)
+        for rank, z, starts, hashes in zip(batch["rank"], batch["z"], batch["starts"], batch["hashes"]):
+            words = words_of(_text(z))
             gone = np.zeros(len(words), bool)
-            if len(words) >= WINDOW:
-                if copy:
-                    gone[:] = True
-                elif starts is not None and len(starts):
-                    own = window_hashes(words)
-                    starts = np.asarray(starts, np.int64)
-                    sure = starts[own[starts] == np.asarray(hashes, np.int64)]
-                    # windows [s, s + 20) merged into intervals by a difference array
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, sure, 1)
-                    np.add.at(edge, sure + WINDOW, -1)
-                    gone = np.cumsum(edge)[:-1] > 0
-            kept = " ".join(w for w, g in zip(words, gone) if not g)
-            rows.append({"doc_id": None if pd.isna(doc_id) else int(doc_id), "n_words": len(words),
-                         "n_removed": int(gone.sum()), "kept_sha256": hashlib.sha256(kept.encode("utf-8")).hexdigest()})
-        yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256"]).astype({"doc_id": "Int64"})
+            if len(words) >= WINDOW and starts is not None and len(starts):
+                own = window_hashes(words)
+                starts = np.asarray(starts, np.int64)
+                sure = starts[own[starts] == np.asarray(hashes, np.int64)]
+                edge = np.zeros(len(words) + 1, np.int64)
+                np.add.at(edge, sure, 1)
+                np.add.at(edge, sure + WINDOW, -1)
+                gone = np.cumsum(edge)[:-1] > 0
+            kept = " ".join(w for w, g in zip(words, gone) if not g) if gone.any() else " ".join(words)
+            rows.append((int(rank), len(words), int(gone.sum()), hashlib.sha256(kept.encode("utf-8")).hexdigest()))
+        yield pd.DataFrame(rows, columns=["rank", "n_words", "n_removed", "kept_sha256"])
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -159,8 +188,6 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     ready(spark)
-    from meterline.session import ready_for_checkpoint
-
     ready_for_checkpoint(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
@@ -169,16 +196,29 @@ def dedup(docs: DataFrame) -> DataFrame:
     # one rank per distinct text, in the order of places; written, so every later step sees the same ranks
     texts = texts.orderBy(F.col("first.n"), F.col("first.d"), "sha").withColumn("rank", F.monotonically_increasing_id())
     texts = texts.checkpoint()
-    joined = rows.join(texts, "sha").withColumn("copy", place != F.col("first"))
+    compressed = rows.select("doc_id", "sha", _zstd("text").alias("z"))
+    joined = compressed.join(texts, "sha").select(
+        "doc_id", "sha", "rank", (place != F.col("first")).alias("copy"),
+        F.when(place == F.col("first"), F.col("z")).alias("z"),
+    )
+    table_path = scratch_path(spark, "substring-dedup")
+    joined.write.parquet(table_path)
+    stored = spark.read.parquet(table_path)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = joined.where(~F.col("copy")).select("rank", "text").mapInPandas(_packed(buckets), PACKED)
+    reps = stored.where(~F.col("copy")).select("rank", "z")
+    packed = reps.mapInPandas(_packed(buckets), PACKED)
     removed = packed.repartition(buckets, "route").mapInPandas(_removed, REMOVED)
-    found = (
-        removed.join(texts.select(F.col("rank").alias("r"), "sha"), "r")
-        .groupBy("sha").agg(F.collect_list("s").alias("starts"), F.collect_list("h").alias("hashes"))
+    found = removed.groupBy(F.col("r").alias("rank")).agg(F.collect_list("s").alias("starts"), F.collect_list("h").alias("hashes"))
+    per_text = (
+        reps.dropDuplicates(["rank"]).join(found, "rank", "left").mapInPandas(_per_text, PER_TEXT)
+    )
+    every = stored.select("doc_id", "rank", "copy").join(per_text, "rank")
+    later = F.col("copy") & (F.col("n_words") >= WINDOW)
+    return every.select(
+        "doc_id", "n_words",
+        F.when(later, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
+        F.when(later, F.lit(EMPTY_SHA)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
     )
-    done = joined.join(found, "sha", "left").select("doc_id", "text", "copy", "starts", "hashes")
-    return done.mapInPandas(_kept, OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
