@@ -23,4 +23,5 @@ SQL = {
     "op6_neighbours": neighbours.ORACLE_SQL,
     "op8_url_filter": url_filter.ORACLE_SQL,
     "op9_near_duplicates": near_duplicates.ORACLE_SQL,
+    "op12_substring_dedup": substring_dedup.ORACLE_SQL,
 }

@@ -223,3 +223,29 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT doc_id, s, w[s:s + 19] AS seq FROM d, range(1, len(w) - 18) t(s) WHERE len(w) >= 20
+), first_doc AS (
+  SELECT seq, min(doc_id) AS fd FROM win GROUP BY seq
+), first_place AS (
+  SELECT w.seq, f.fd, min(w.s) AS fs FROM win w JOIN first_doc f ON w.seq = f.seq AND w.doc_id = f.fd GROUP BY w.seq, f.fd
+), gone AS (
+  SELECT DISTINCT w.doc_id, w.s + k AS pos
+  FROM win w JOIN first_place f ON w.seq = f.seq, range(0, 20) r(k)
+  WHERE w.doc_id > f.fd OR (w.doc_id = f.fd AND w.s > f.fs)
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d
+), kept AS (
+  SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.pos) AS kept
+  FROM words x LEFT JOIN gone g ON x.doc_id = g.doc_id AND x.pos = g.pos WHERE g.doc_id IS NULL GROUP BY x.doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words,
+       CAST(coalesce((SELECT count(*) FROM gone g WHERE g.doc_id = d.doc_id), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
