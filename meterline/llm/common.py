@@ -84,9 +84,18 @@ def texts_of(docs: DataFrame, ids: list[int]) -> dict[int, str]:
 
 
 def sample(rows: DataFrame, n: int, key: str = "doc_id") -> list[int]:
-    """The keys of the first ``n`` rows in a fixed pseudo-random order, each once; every task keeps its first ``n`` only."""
-    keys = rows.select(key).filter(F.col(key).isNotNull())
-    return list(dict.fromkeys(r[0] for r in keys.orderBy(F.md5(F.col(key).cast("string")), key).limit(n).collect()))
+    """``n`` distinct keys in a fixed pseudo-random order. Repeats are removed before the limit (a partial aggregate in every
+    task), so a key repeated on many rows takes one place; every task then keeps its first ``n`` only."""
+    keys = rows.select(key).filter(F.col(key).isNotNull()).distinct()
+    return [r[0] for r in keys.orderBy(F.md5(F.col(key).cast("string")), key).limit(n).collect()]
+
+
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have, so that a helper column never overwrites one of the user's."""
+    name = base
+    while name in df.columns:
+        name = "_" + name
+    return name
 
 
 def sigmoid(x):

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, ready, sample, sigmoid, table, texts_of
+from .common import fold, fresh_name, ready, sample, sigmoid, table, texts_of
 
 PER_CLASS = 600
 TEACH_BYTES = 16_384
@@ -144,7 +144,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose score is at least one half."""
+    """Keeps documents whose score is at least one half, with all their columns as they were (a column of the user's
+    named like the helper column is left alone). Empty and null texts are scored like any other; an empty table stays empty."""
     ready(spark)
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn("_quality", model.score_column()).filter(F.col("_quality") >= 0.5).select(*docs.columns)
+    score = fresh_name(docs, "_quality")
+    return docs.withColumn(score, model.score_column()).filter(F.col(score) >= 0.5).select(*docs.columns)
