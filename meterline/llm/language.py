@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from meterline.session import ready_for_checkpoint, scratch_path
 
-from .common import TEACH_CHARS, drawn, fold, ready, table
+from .common import TEACH_CHARS, drawn, fold, fresh_name, ready, table
 from .near_duplicates import texts_of
 from .url_filter import share
 
@@ -328,7 +328,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a learned language: those with letters whose phrases have ``LEAST_MATCH`` characters on average."""
+    """Keeps documents in a learned language: those with letters whose phrases have ``LEAST_MATCH`` characters on average.
+
+    If no language can be learned (no row of the teaching folds has a language and a text), there is nothing to judge by
+    and every row stays. Columns stay as they were, a user's column of the helper's name included.
+    """
     ready(spark)
-    rows = docs.withColumn("_l", language_column(learned(docs)))
-    return rows.filter((F.col("_l.lang") != "und") & (F.col("_l.match") >= LEAST_MATCH)).select(*docs.columns)
+    index = learned(docs)
+    if not json.loads(index):
+        return docs
+    judged = fresh_name(docs, "_l")
+    rows = docs.withColumn(judged, language_column(index))
+    keep = (F.col(f"{judged}.lang") != "und") & (F.col(f"{judged}.match") >= LEAST_MATCH)
+    return rows.filter(keep).select(*docs.columns)

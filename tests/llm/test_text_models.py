@@ -221,3 +221,14 @@ def test_toxicity_on_held_out_rows(spark):
     truth = {r.doc_id: r.toxic for r in table(spark, folder, "labels").collect()}
     rows = [r for r in toxicity.query(spark, folder).collect() if r.held_out]
     assert share(rows, truth, 1) >= 0.85 and share(rows, truth, 0) <= 0.02
+
+
+def test_language_stage_keeps_every_row_when_nothing_is_learned(spark):
+    from meterline.llm import language
+
+    rows = [(i, f"ciao mondo numero {i} parole", None, "s") for i in range(5)] + [(5, None, None, "s"), (6, "", None, None)]
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("_l", F.lit(3))
+    out = language.stage(spark, docs, "")
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == list(range(7))
