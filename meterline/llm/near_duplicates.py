@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from meterline.session import ready_for_checkpoint
 
-from .common import ready, table
+from .common import fresh_name, ready, table
 from .hashing import mixed, shingle_sets
 
 K = 64
@@ -386,9 +386,25 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
-    kept = groups(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    """One row of each group of near duplicates stays: the one with the smallest id (null ids after all ids; of rows with
+    one id, the first in the order of the scan).
+
+    Every row takes part, null ids and repeated rows included: rows are numbered by their place in the scan of ``docs``
+    (a table read from files, so a task that runs again numbers them alike), groups are found over those numbers, and the
+    winner of each group is chosen by (id, number) over narrow rows. Exact repeated rows are one group, so one of them
+    stays. Rows without words link with nothing and stay. Columns stay as they were.
+    """
+    ready_for_checkpoint(spark)
+    row = fresh_name(docs, "_row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    found = groups(numbered.select(F.col(row).alias("doc_id"), "text"))
+    order = numbered.select(
+        F.col(row).alias("_m"), F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(row).alias("r")).alias("_o"))
+    winners = (
+        found.select(F.col("doc_id").alias("_m"), "component_id").join(order, "_m")
+        .groupBy("component_id").agg(F.min("_o").alias("_w")).select(F.col("_w.r").alias("_keep"))
+    )
+    return numbered.join(winners, numbered[row] == winners["_keep"], "left_semi").drop(row)
 
 
 ORACLE_SQL = r"""

@@ -118,3 +118,18 @@ def test_shared_counts_and_estimates(monkeypatch):
                 assert guess[i, j] == pytest.approx(nd.union_estimate(sketches[at + i], sketches[j]))
                 seen += 1
     assert seen == 12 * 30
+
+
+def test_stage_leaves_one_of_repeated_rows_and_null_ids(spark):
+    from meterline.llm import near_duplicates as nd
+
+    text = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(1, text, "a"), (1, text, "a"), (None, text, "b"), (None, text, "b"), (None, other, "c"), (None, other, "c"),
+            (7, None, "d"), (8, "", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    out = nd.stage(spark, docs, "")
+    got = sorted(out.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text or ""))
+    assert out.columns == docs.columns
+    assert [(r.doc_id, r.text) for r in got] == [(1, text), (7, None), (8, ""), (None, other)]
+    assert got[0]._row == "a"
