@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,7 @@ REMOVED = "r long, s int, h long"
 PER_TEXT = "rank long, n_words long, n_removed long, kept_sha256 string"
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 LEVEL = 3  # zstd level of packed texts and windows
+BUCKET_ENTRIES = 2_000_000  # windows per bucket of the shuffle, about 40 MB in a task at once
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -143,21 +145,31 @@ def _packed(buckets: int):
 
 
 def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All entries of a partition's buckets: every place after its hash's first one; reported removals pass through."""
-    kept = {"h": [], "r": [], "s": []}
+    """Entries arrive sorted by bucket; each bucket in turn: every place after its hash's first one is removed.
+
+    Removals reported by the map side pass through. Only one bucket's entries are held at a time.
+    """
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    current = None
+
+    def close():
+        if held:
+            h, r, s = (np.concatenate([x[i] for x in held]) for i in range(3))
+            _, gone = _firsts(h, r, s)
+            yield pd.DataFrame({"r": r[gone], "s": s[gone], "h": h[gone]})
+        held.clear()
+
     for batch in batches:
-        for removed, n, blob in zip(batch["removed"], batch["n"], batch["blob"]):
+        for route, removed, n, blob in zip(batch["route"], batch["removed"], batch["n"], batch["blob"]):
             h, r, s = unpack(blob, int(n))
             if removed:
                 yield pd.DataFrame({"r": r, "s": s, "h": h})
-            else:
-                kept["h"].append(h)
-                kept["r"].append(r)
-                kept["s"].append(s)
-    if kept["h"]:
-        h, r, s = (np.concatenate(kept[k]) for k in "hrs")
-        _, gone = _firsts(h, r, s)
-        yield pd.DataFrame({"r": r[gone], "s": s[gone], "h": h[gone]})
+                continue
+            if route != current:
+                yield from close()
+                current = route
+            held.append((h, r, s))
+    yield from close()
 
 
 def _per_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,26 +204,28 @@ def dedup(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"))
-    texts = rows.groupBy("sha").agg(F.min(place).alias("first"))
+    words = F.size(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"))  # at most one too many
+    texts = rows.groupBy("sha").agg(F.min(place).alias("first"), F.max(words).alias("n_est"))
     # one rank per distinct text, in the order of places; written, so every later step sees the same ranks
     texts = texts.orderBy(F.col("first.n"), F.col("first.d"), "sha").withColumn("rank", F.monotonically_increasing_id())
     texts = texts.checkpoint()
+    windows = texts.agg(F.sum(F.greatest(F.col("n_est") - (WINDOW - 1), F.lit(0)))).first()[0] or 0
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(partitions, -(-windows // BUCKET_ENTRIES))
     compressed = rows.select("doc_id", "sha", _zstd("text").alias("z"))
-    joined = compressed.join(texts, "sha").select(
+    joined = compressed.join(texts.drop("n_est"), "sha").select(
         "doc_id", "sha", "rank", (place != F.col("first")).alias("copy"),
         F.when(place == F.col("first"), F.col("z")).alias("z"),
     )
-    table_path = scratch_path(spark, "substring-dedup")
-    joined.write.parquet(table_path)
-    stored = spark.read.parquet(table_path)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # bucketed by rank in the shared folder, so that the last pass meets its removals without moving texts again
+    name = f"substring_dedup_{uuid.uuid4().hex}"
+    joined.write.option("path", scratch_path(spark, "substring-dedup")).bucketBy(partitions, "rank").saveAsTable(name)
+    stored = spark.table(name)
     reps = stored.where(~F.col("copy")).select("rank", "z")
     packed = reps.mapInPandas(_packed(buckets), PACKED)
-    removed = packed.repartition(buckets, "route").mapInPandas(_removed, REMOVED)
+    removed = packed.repartition(buckets, "route").sortWithinPartitions("route", "removed").mapInPandas(_removed, REMOVED)
     found = removed.groupBy(F.col("r").alias("rank")).agg(F.collect_list("s").alias("starts"), F.collect_list("h").alias("hashes"))
-    per_text = (
-        reps.dropDuplicates(["rank"]).join(found, "rank", "left").mapInPandas(_per_text, PER_TEXT)
-    )
+    per_text = reps.dropDuplicates(["rank"]).join(found, "rank", "left").mapInPandas(_per_text, PER_TEXT)
     every = stored.select("doc_id", "rank", "copy").join(per_text, "rank")
     later = F.col("copy") & (F.col("n_words") >= WINDOW)
     return every.select(
