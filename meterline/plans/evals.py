@@ -161,6 +161,31 @@ def eval_report_delta(previous: DataFrame, current: DataFrame) -> DataFrame:
     ).withColumn("observed_change", F.col("curr_observed") - F.col("prev_observed"))
 
 
+def stored_report_delta(spark, folder: str) -> DataFrame:
+    """The two latest runs of the stored ``eval_results`` under ``folder`` side by side, as ``eval_report_delta`` gives them,
+    with ``prev_run_id`` and ``curr_run_id``. Latest by run time, ties by run id; one run only: the earlier side is empty.
+
+    Runs are few (one a day), so their times are one small aggregate; only the two chosen run folders are then read.
+    """
+    from ..sources import schemas
+    from ..sources.sinks import read_runs
+
+    runs = read_runs(spark, f"{folder}/eval_results", schemas.EVAL_RESULTS)
+    times = runs.groupBy("run_id").agg(F.max("run_ts").alias("t"))
+    picked = [r.run_id for r in times.orderBy(F.desc("t"), F.desc("run_id")).limit(2).collect()]
+    if not picked:
+        raise ValueError(f"no stored evaluation runs under {folder}")
+
+    def of(run_id):
+        rows = runs.where(F.col("run_id") == F.lit(run_id)) if run_id else runs.where("false")
+        return rows.select(F.col("test_id").alias("check_id"), (F.col("status") == "pass").alias("passed"),
+                           F.col("observed").cast("double").alias("observed"))
+
+    current, previous = picked[0], picked[1] if len(picked) > 1 else None
+    return eval_report_delta(of(previous), of(current)).withColumn("prev_run_id", F.lit(previous).cast("string")).withColumn(
+        "curr_run_id", F.lit(current))
+
+
 def eval_report_delta_run(b) -> DataFrame:
     """The report of the as-of date against the one of the earlier date."""
     from dataclasses import replace

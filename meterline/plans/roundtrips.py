@@ -86,6 +86,27 @@ def retention_expire(b) -> DataFrame:
     return days.unionByName(months)
 
 
+def eval_report_delta_stored(b) -> DataFrame:
+    """Three evaluation runs stored as a build stores them (a week before the prior as-of date, the prior as-of date and
+    the as-of date), then the report of the two latest read back from the stored table."""
+    from dataclasses import replace
+    from datetime import datetime, time
+
+    from . import evals
+    from .book import Book
+
+    spark, p = b.spark, b.p
+    folder = scratch_path(spark, "runs")
+    for run_id, day in (("r1", p.prior_as_of - timedelta(days=7)), ("r2", p.prior_as_of), ("r3", p.as_of)):
+        book = b if day == p.as_of else Book(b.sources, replace(p, as_of=day))
+        results = evals.eval_results(book).withColumn("test_id", F.col("check_id")).withColumn(
+            "status", F.when(F.col("passed"), "pass").otherwise("fail"))
+        sinks.put_run(results, f"{folder}/eval_results", schemas.EVAL_RESULTS,
+                      {"run_id": F.lit(run_id), "run_ts": F.lit(datetime.combine(day, time()))})
+    delta = evals.stored_report_delta(spark, folder)
+    return delta.drop("prev_run_id", "curr_run_id")
+
+
 def export_csv(b) -> DataFrame:
     """All accounts of the current mart as CSV, largest first, read back."""
     path = scratch_path(b.spark, "export")

@@ -881,3 +881,5 @@ for key in ("carr_account_month_end", "carr_rep_month_end", "freeze_write", "eva
 ORACLES["restatement_diff"] = build(RESTATED, **EVERY_MONTH, **BACKFILL)
 ORACLES["restatement_by_rep"] = build(RESTATED_REP, **EVERY_MONTH, **BACKFILL)
 ORACLES["eval_report_delta"] = REPORT_DELTA
+# the same two reports, stored as runs and read back
+ORACLES["eval_report_delta_stored"] = REPORT_DELTA
