@@ -147,6 +147,32 @@ def obs_row_counts(b) -> DataFrame:
     )
 
 
+def stored_row_counts(spark, folder: str) -> DataFrame:
+    """Alerts of the latest stored run against the run before it, from ``row_counts`` as builds store them (counted while
+    writing). Per table of the latest run: n_rows, n_rows_before (null for a table new in the run), change_pct,
+    alert_change (more than 10 % either way), alert_decrease. Runs are ordered by run time, then id; only the two chosen
+    run folders are compared.
+    """
+    from ..sources import schemas
+    from ..sources.sinks import read_runs
+
+    counts = read_runs(spark, f"{folder}/row_counts", schemas.ROW_COUNTS)
+    runs = counts.groupBy("run_id").agg(F.max("run_ts").alias("t"))
+    picked = [r.run_id for r in runs.orderBy(F.desc_nulls_last("t"), F.desc("run_id")).limit(2).collect()]
+    if not picked:
+        raise ValueError(f"no stored row counts under {folder}")
+    of = lambda run_id, name: counts.where(F.col("run_id") == F.lit(run_id)).select("table_name", F.col("n_rows").alias(name))
+    now = of(picked[0], "n_rows").withColumn("run_id", F.lit(picked[0]))
+    before = of(picked[1], "n_rows_before") if len(picked) > 1 else of(picked[0], "n_rows_before").where("false")
+    change = F.when(F.col("n_rows_before") > 0, F.col("n_rows") / F.col("n_rows_before") - 1)
+    return (
+        now.join(before, "table_name", "left")
+        .select("run_id", "table_name", "n_rows", "n_rows_before", change.alias("change_pct"))
+        .withColumn("alert_change", F.coalesce(F.abs("change_pct") > 0.10, F.lit(False)))
+        .withColumn("alert_decrease", F.coalesce(F.col("n_rows") < F.col("n_rows_before"), F.lit(False)))
+    )
+
+
 def obs_freshness(b) -> DataFrame:
     """Latest day of each day-stamped table against the as-of date."""
     p = b.p

@@ -83,6 +83,7 @@ RESTATEMENTS = _schema(
 )
 ROW_COUNTS = _schema(
     ("run_id", T.StringType(), False),
+    ("run_ts", T.TimestampType(), True),
     ("table_name", T.StringType(), False),
     ("n_rows", T.LongType(), False),
 )

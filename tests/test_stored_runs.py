@@ -33,3 +33,23 @@ def test_one_run_only(spark, tmp_path):
     store(spark, str(tmp_path), "r1", datetime(2026, 1, 1), [("T1", "a", True, 1.0)])
     rows = evals.stored_report_delta(spark, str(tmp_path)).collect()
     assert [(r.check_id, r.prev_passed, r.curr_passed, r.prev_run_id) for r in rows] == [("T1", None, True, None)]
+
+
+def test_row_counts_are_taken_while_writing_and_compared_by_run(spark, sf_dir, tmp_path):
+    from meterline.plans import governance, models
+    from meterline.plans.build import append_run, write_all
+    from meterline.sources.fixture import load
+
+    folder = str(tmp_path)
+    book = write_all(spark, load(spark, sf_dir), folder)
+    for t in models.TABLES:
+        assert book.written_rows[t] == spark.read.parquet(f"{folder}/{t}").count()
+    counts = {t: book.written_rows[t] for t in models.TABLES}
+    for t, run in ((datetime(2026, 4, 17), "b"), (datetime(2026, 4, 18), "a")):
+        if run == "a":  # the later run lost a fifth of one table
+            book.written_rows = counts | {"mart_carr_current": int(counts["mart_carr_current"] * 0.8)}
+        append_run(book, folder, run, t)
+    got = {r.table_name: r for r in governance.stored_row_counts(spark, folder).collect()}
+    assert {r.run_id for r in got.values()} == {"a"} and len(got) == len(models.TABLES)
+    assert got["mart_carr_current"].alert_decrease and got["mart_carr_current"].alert_change
+    assert not got["stg_accounts"].alert_change and got["stg_accounts"].change_pct == 0.0
