@@ -62,4 +62,4 @@ def test_sql(spark, sf_dir, key):
 
 
 def test_query_names():
-    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 14))
