@@ -136,6 +136,19 @@ def freeze_write(b) -> DataFrame:
     )
 
 
+def freeze_digest_check(b) -> DataFrame:
+    """Month-ends published once with their digests; then the month-ends again, from the raw logs in another physical
+    order, compared month by month with the stored digests alone."""
+    from .book import Book
+
+    path, _ = _published(b)
+    logs = b.sources["daily_usage_logs"]
+    shuffled = dict(b.sources, daily_usage_logs=logs.repartition(17, F.rand(7)))
+    again = history.carr_account_month_end(Book(shuffled, b.p))
+    return sinks.changed_months(again, path).select(
+        "month_end", F.col("n_rows").alias("n_accounts"), F.col("matches").alias("digest_matches"))
+
+
 def _backfilled(b):
     """The metric once every log of a known account counts, as after a backfill of contracts."""
     from .book import Book

@@ -66,7 +66,7 @@ PLANS: dict[str, Plan] = {
     **_named(
         roundtrips,
         """src_csv_roundtrip src_parquet_roundtrip src_labels src_incremental_merge export_csv freeze_write
-        restatement_diff restatement_by_rep retention_expire eval_report_delta_stored""",
+        restatement_diff restatement_by_rep retention_expire eval_report_delta_stored freeze_digest_check""",
     ),
 }
 

@@ -150,11 +150,43 @@ def publish_months(df: DataFrame, path: str) -> list[date]:
     closed = published_months(df.sparkSession, path)
     fresh = df.where(~F.col("month_end").isin(closed)) if closed else df
     fresh.hint("rebalance", F.col("month_end")).write.mode("append").partitionBy("month_end").parquet(path)
+    # the digest of each month as published, from the written rows, for later runs to compare with
+    written = df.sparkSession.read.parquet(path)
+    new = written.where(~F.col("month_end").isin(closed)) if closed else written
+    digests = month_digest(new)
+    if not digests.isEmpty():
+        digests.write.mode("append").parquet(f"{path}/{DIGESTS}")
     if not closed:
         return []
     return [r[0] for r in df.where(F.col("month_end").isin(closed)).select("month_end").distinct().orderBy("month_end").collect()]
 
 
+#: Digests of published months, beside them; the leading underscore hides the folder from readers of the months.
+DIGESTS = "_digests"
+
+
+def month_digest(df: DataFrame, month: str = "month_end") -> DataFrame:
+    """An order-free digest per month: the row count and the sums of the two 32-bit halves of a 64-bit hash of each row's
+    columns (by name). Sums of halves are exact, so the digest depends on the rows only, never on their order or their
+    partitions; a changed value, a lost row or an extra row changes it."""
+    h = F.xxhash64(*[F.col(c) for c in sorted(df.columns) if c != month])
+    return df.groupBy(month).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(F.shiftrightunsigned(h, 32)).alias("hi"),
+        F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("lo"),
+    )
+
+
+def changed_months(df: DataFrame, path: str, month: str = "month_end") -> DataFrame:
+    """Months of ``df`` against the digests written when they were published: (month, n_rows, matches). Only the small
+    digest table is read, never the published rows; a month published without a digest does not match."""
+    stored = df.sparkSession.read.parquet(f"{path}/{DIGESTS}").select(
+        month, F.col("n_rows").alias("_n"), F.col("hi").alias("_hi"), F.col("lo").alias("_lo"))
+    now = month_digest(df, month)
+    same = (F.col("n_rows") == F.col("_n")) & (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo"))
+    return now.join(stored, month, "left").select(month, "n_rows", F.coalesce(same, F.lit(False)).alias("matches"))
+
+
 def publish_month(df: DataFrame, path: str, month: date) -> None:
     """Write one month-end snapshot once. A second write for the same month fails and changes nothing."""
     if publish_months(df.where(F.col("month_end") == F.lit(month)), path):

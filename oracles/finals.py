@@ -834,6 +834,7 @@ FINALS: dict[str, str] = {
         {m('SUM(credits_consumed)', 'credits')} FROM stg_daily_usage_logs GROUP BY 1""",
     "export_csv": f"SELECT account_id, rep_id, {m('committed_arr')}, {r('healthscore')}, {m('carr')}, band FROM cur",
     "freeze_write": f"SELECT t AS month_end, {COUNT} AS n_accounts, {m(CARR, 'carr')}, TRUE AS second_write_refused FROM months GROUP BY t",
+    "freeze_digest_check": f"SELECT t AS month_end, {COUNT} AS n_accounts, TRUE AS digest_matches FROM months GROUP BY t",
     "stream_daily_rollup": f"""SELECT CAST(ts AS DATE) AS usage_date, 'ACC' || lpad(CAST(user_id AS VARCHAR), 8, '0') AS account_id,
         {COUNT} AS n_logs, {m('SUM(CAST(value AS DECIMAL(18,2)))', 'credits_consumed')} FROM
         (SELECT * FROM events QUALIFY ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY ts, user_id, value) = 1) GROUP BY 1, 2""",
@@ -876,7 +877,7 @@ EVERY_MONTH = {
         (SELECT date_trunc('month', MIN(start_date)) FROM stg_contracts), {T}, INTERVAL 1 MONTH)) AS g) WHERE last_day(g) <= {T}""",
     "months": "SELECT * FROM metric_on",
 }
-for key in ("carr_account_month_end", "carr_rep_month_end", "freeze_write", "eval_freeze"):
+for key in ("carr_account_month_end", "carr_rep_month_end", "freeze_write", "freeze_digest_check", "eval_freeze"):
     ORACLES[key] = build(FINALS[key], **EVERY_MONTH)
 ORACLES["restatement_diff"] = build(RESTATED, **EVERY_MONTH, **BACKFILL)
 ORACLES["restatement_by_rep"] = build(RESTATED_REP, **EVERY_MONTH, **BACKFILL)
