@@ -213,19 +213,24 @@ def dedup(docs: DataFrame) -> DataFrame:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(partitions, -(-windows // BUCKET_ENTRIES))
     compressed = rows.select("doc_id", "sha", _zstd("text").alias("z"))
-    joined = compressed.join(texts.drop("n_est"), "sha").select(
+    joined = compressed.join(texts.drop("n_est").hint("merge"), "sha").select(
         "doc_id", "sha", "rank", (place != F.col("first")).alias("copy"),
         F.when(place == F.col("first"), F.col("z")).alias("z"),
     )
-    # bucketed by rank in the shared folder, so that the last pass meets its removals without moving texts again
+    # bucketed by text in the shared folder: rows arrive partitioned by it from the join, so each task writes about one
+    # file, and the last pass meets its removals without moving texts again
     name = f"substring_dedup_{uuid.uuid4().hex}"
-    joined.write.option("path", scratch_path(spark, "substring-dedup")).bucketBy(partitions, "rank").saveAsTable(name)
+    joined.write.option("path", scratch_path(spark, "substring-dedup")).bucketBy(partitions, "sha").saveAsTable(name)
     stored = spark.table(name)
-    reps = stored.where(~F.col("copy")).select("rank", "z")
-    packed = reps.mapInPandas(_packed(buckets), PACKED)
+    reps = stored.where(~F.col("copy")).select("sha", "rank", "z")
+    packed = reps.select("rank", "z").mapInPandas(_packed(buckets), PACKED)
     removed = packed.repartition(buckets, "route").sortWithinPartitions("route", "removed").mapInPandas(_removed, REMOVED)
-    found = removed.groupBy(F.col("r").alias("rank")).agg(F.collect_list("s").alias("starts"), F.collect_list("h").alias("hashes"))
-    per_text = reps.dropDuplicates(["rank"]).join(found, "rank", "left").mapInPandas(_per_text, PER_TEXT)
+    found = (
+        removed.join(texts.select(F.col("rank").alias("r"), "sha"), "r")
+        .groupBy("sha").agg(F.collect_list("s").alias("starts"), F.collect_list("h").alias("hashes"))
+    )
+    per_text = reps.dropDuplicates(["sha"]).join(found, "sha", "left").select("rank", "z", "starts", "hashes").mapInPandas(
+        _per_text, PER_TEXT)
     every = stored.select("doc_id", "rank", "copy").join(per_text, "rank")
     later = F.col("copy") & (F.col("n_words") >= WINDOW)
     return every.select(
