@@ -275,7 +275,11 @@ def renewal_pattern(b) -> DataFrame:
 
 
 def overage_month_audit(b) -> DataFrame:
-    """Per account: its calendar months of valid usage against the largest included credits active in each."""
+    """Per account: its calendar months of valid usage against the largest included credits active in each.
+
+    Both sides are put side by side by one more grouping, not by a join: the unfolded months would look as small as the
+    contracts they come from, and be broadcast.
+    """
     used = b.valid_daily.groupBy("account_id", F.trunc("usage_date", "month").alias("month")).agg(
         F.sum("credits_consumed").alias("credits")
     )
@@ -290,9 +294,16 @@ def overage_month_audit(b) -> DataFrame:
         .agg(F.max("included").alias("included"))
     )
     ratio = F.when(F.col("included") > 0, F.col("credits").cast("double") / F.col("included"))
+    both = (
+        used.withColumn("used", F.lit(True))
+        .unionByName(offered.withColumn("offered", F.lit(True)), allowMissingColumns=True)
+        .where(F.col("account_id").isNotNull() & F.col("month").isNotNull())
+        .groupBy("account_id", "month")
+        .agg(*[F.max(c).alias(c) for c in ("credits", "included", "used", "offered")])
+        .where("used AND offered")
+    )
     return (
-        used.join(offered, ["account_id", "month"])
-        .withColumn("ratio", ratio)
+        both.withColumn("ratio", ratio)
         .groupBy("account_id")
         .agg(
             F.count("*").alias("n_months"),
