@@ -2,9 +2,9 @@
 
 A fact row picks one of ``salts`` copies of its key by a hash of its own id, and the (small per row)
 dimension side is repeated once per salt. One key that holds a third of all rows is then spread over
-``salts`` shuffle partitions, which adaptive execution can split further. No broadcast hint is given: Spark
-broadcasts the dimension by itself while its measured size is under ``spark.sql.autoBroadcastJoinThreshold``
-and shuffles otherwise.
+``salts`` shuffle partitions, which adaptive execution can split further. The copies are never broadcast: Spark's
+estimate does not see that the dimension was repeated, so it would send ``salts`` times what its threshold allows to every
+executor. Both sides are shuffled and merged instead, which grows with the input at any size.
 """
 
 from __future__ import annotations
@@ -24,4 +24,4 @@ def salted_join(
     """
     salted = fact.withColumn(SALT, F.pmod(F.xxhash64(*spread_on), F.lit(salts)))
     copies = dim.withColumn(SALT, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return salted.join(copies, [*keys, SALT], how).drop(SALT)
+    return salted.join(copies.hint("merge"), [*keys, SALT], how).drop(SALT)
