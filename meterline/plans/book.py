@@ -7,6 +7,8 @@ nothing runs until a result is written or read. ``Book.stored`` swaps the tables
 
 from __future__ import annotations
 
+from dataclasses import replace
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from ..operators import usage as U
 from ..operators.intervals import in_months
 from ..params import Params
-from ..session import ready_for_checkpoint
+from ..session import ready_for_checkpoint, written_once
 from ..sources.sinks import read_table
 from . import history, models, variants
 
@@ -24,6 +26,7 @@ class Book:
     def __init__(self, sources: dict[str, DataFrame], params: Params | None = None):
         self.sources = sources
         self.p = params or Params()
+        self._facts_of: Book | None = None
 
     @classmethod
     def stored(cls, spark: SparkSession, sources: dict[str, DataFrame], folder: str, params: Params | None = None):
@@ -31,7 +34,7 @@ class Book:
         for name in models.TABLES + models.SHARED:
             setattr(book, name, read_table(spark, f"{folder}/{name}"))
         book.stg_daily_usage_logs = book.stg_daily_usage_logs.drop("usage_month")
-        book.settled = book
+        book.rolled = book.settled = book
         book.usage_rollup = book.usage_daily.drop("usage_class")
         book.valid_daily = book.usage_daily.where(f"usage_class = '{U.VALID}'").drop("usage_class")
         return book
@@ -50,34 +53,61 @@ class Book:
         self.movement_metric = in_months(daily, *two).where(F.col("as_of_date").isin(two)).drop("usage_month")
         return self
 
+    @cached_property
+    def rolled(self) -> Book:
+        """The same book over a roll-up that is written once, for reports that read it more than once."""
+        book = Book(self.sources, self.p)
+        book.usage_rollup = written_once(self.usage_rollup, "rollup")
+        book._facts_of = self
+        book.rolled = book
+        return book
+
     @cached_property
     def settled(self) -> Book:
-        """The same book over a checkpointed roll-up and mart, for reports of many parts: they share one pass over the raw logs."""
+        """The same book over a roll-up written once and a checkpointed mart, for reports of many parts: they share one pass over
+        the raw logs."""
         ready_for_checkpoint(self.spark)
         book = Book(self.sources, self.p)
-        book.usage_rollup = self.usage_rollup.checkpoint()
+        book.usage_rollup = self.rolled.usage_rollup
         book.active_usage = book.active_usage.checkpoint()
         book.mart_carr_current = book.mart_carr_current.checkpoint()
-        book.log_facts = self.log_facts
-        book.settled = book
+        book._facts_of = self
+        book.rolled = book.settled = book
+        return book
+
+    def at(self, as_of: date) -> Book:
+        """The book of another as-of date over the same written roll-up, which does not depend on that date."""
+        book = Book(self.sources, replace(self.p, as_of=as_of))
+        book.usage_rollup = self.rolled.usage_rollup
+        book.rolled = book
         return book
 
     @cached_property
     def log_facts(self) -> DataFrame:
-        """One checkpointed row with all that the checks ask of the raw logs, in one scan."""
+        """One checkpointed row with all that the checks ask of the raw logs, in one scan, but for their distinct ids."""
+        if self._facts_of is not None:
+            return self._facts_of.log_facts
         ready_for_checkpoint(self.spark)
         p, logs = self.p, self.sources["daily_usage_logs"]
         day = F.col("date").cast("date")
         nulls = [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in logs.columns]
         return logs.agg(
             F.count("*").alias("n"),
-            F.countDistinct("log_id").alias("n_ids"),
             F.count_if(F.col("compute_credits_consumed") < 0).alias("n_negative"),
             F.count_if(~day.between(F.lit(p.observed_from), F.lit(p.observed_to))).alias("n_outside"),
             F.max(F.when(day <= F.lit(p.as_of), day)).alias("last_day"),
             *nulls,
         ).checkpoint()
 
+    @cached_property
+    def log_ids(self) -> DataFrame:
+        """One checkpointed row with the number of distinct log ids. Counted apart from ``log_facts``, so that the ids travel alone,
+        and only for the checks that ask for them."""
+        if self._facts_of is not None:
+            return self._facts_of.log_ids
+        ready_for_checkpoint(self.spark)
+        return self.sources["daily_usage_logs"].agg(F.countDistinct("log_id").alias("n_ids")).checkpoint()
+
     # staging
     @cached_property
     def stg_sales_reps(self) -> DataFrame:

@@ -187,12 +187,7 @@ def stored_report_delta(spark, folder: str) -> DataFrame:
 
 
 def eval_report_delta_run(b) -> DataFrame:
-    """The report of the as-of date against the one of the earlier date."""
-    from dataclasses import replace
-
-    from .book import Book
-
-    before = Book(b.sources, replace(b.p, as_of=b.p.prior_as_of))
-    return eval_report_delta(eval_results(before), eval_results(b))
+    """The report of the as-of date against the one of the earlier date; both read one written roll-up."""
+    return eval_report_delta(eval_results(b.at(b.p.prior_as_of)), eval_results(b))
 
 

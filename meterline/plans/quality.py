@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.usage import VALID
+from .models import one_row
 
 # Id, name, severity of the assertions.
 ASSERTIONS = {
@@ -60,7 +61,9 @@ def violations(b) -> DataFrame:
         F.count_if(F.col("included_monthly_credits") < 0).alias("A08"),
         F.count_if(F.col("end_date") < F.col("start_date")).alias("A09"),
     )
-    logs = b.log_facts.select((F.col("n") - F.col("n_ids")).alias("A04"), F.col("n_negative").alias("A10"))
+    logs = one_row([b.log_facts.select("n", "n_negative"), b.log_ids]).select(
+        (F.col("n") - F.col("n_ids")).alias("A04"), F.col("n_negative").alias("A10")
+    )
     p = b.p
     bad_hs = (F.col("healthscore") < p.hs_floor) | (F.col("healthscore") > p.hs_cap + 1e-9)
     scores = b.metric_healthscore.agg(F.count_if(bad_hs).alias("A11"))

@@ -302,14 +302,7 @@ def eval_determinism(b) -> DataFrame:
 
 def eval_freeze(b) -> DataFrame:
     """Month-end rows that an earlier run published against the same months computed on a later as-of date."""
-    from dataclasses import replace
-
-    from .book import Book
-
-    later = Book(b.sources, replace(b.p, as_of=b.p.month_ends[-1]))
-    earlier = Book(b.sources, replace(b.p, as_of=b.p.month_ends[-2]))
-    for run in (later, earlier):
-        run.usage_rollup = b.usage_rollup
+    later, earlier = b.at(b.p.month_ends[-1]), b.at(b.p.month_ends[-2])
     path = scratch_path(b.spark, "published")
     sinks.publish_months(history.carr_account_month_end(earlier), path)
     old = b.spark.read.parquet(path).select("month_end", "account_id", F.col("carr").alias("old"))
