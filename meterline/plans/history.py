@@ -12,13 +12,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..functions.edges import carr_sum
+from ..functions.edges import carr_sum, publish_early
 from ..operators import intervals as I
 from . import models
 
@@ -52,128 +53,165 @@ def every_month_end(high: date) -> tuple[Days, None, date]:
     return days, None, high
 
 
-def _changes(b, low: Bound | None, high: Bound) -> DataFrame:
-    """(account_id, day, n, arr, included, oldest, used, early): what changes on that day; money in cents."""
+CELLS = ("n", "arr", "included", "oldest", "used", "early")
+
+
+def _changes(b, low: Bound | None, high: Bound, usage: bool = True) -> DataFrame:
+    """(account_id, day, n, arr, included, oldest, used, early): what changes on that day; money in cents.
+
+    An account's rows are brought together as they are, one per contract change, stretch or day of usage, and only then
+    turned into changes, so that a day of usage travels once and not once per change that it makes. Without ``usage`` the
+    last three stay 0.
+    """
     p = b.p
     high = I.as_day(high)
-    contracts, seen = b.stg_contracts.where(F.col("start_date") <= high), b.valid_daily.where(F.col("usage_date") <= high)
+    contracts = b.stg_contracts.where(F.col("start_date") <= high)
+    entered = None
     if low is not None:
         low = I.as_day(low)
         entered = F.date_sub(low, p.window_days)
         contracts = contracts.where(F.col("end_date") >= low)
-        seen = I.in_months(seen, entered, high).where(F.col("usage_date") > entered)
-    names = ("n", "arr", "included", "oldest", "used", "early")
-
-    def shaped(df: DataFrame, day: Column, **cells: Column) -> DataFrame:
-        zero = F.lit(0).cast("bigint")
-        return df.select("account_id", day.alias("day"), *[cells.get(n, zero).cast("bigint").alias(n) for n in names])
-
-    signed = shaped(
-        I.daily_deltas(contracts),
-        F.col("day"),
-        n=F.col("d_n"),
-        arr=F.col("d_arr_cents"),
-        included=F.col("d_included"),
-    )
-    # The stretches of an account are disjoint, so a running sum holds the start day of the current one.
-    stretch = I.active_stretches(contracts)
-    old = I.daynum("oldest_active_start")
-    stretches = shaped(
-        stretch.select(
-            "account_id",
-            F.inline(
-                F.array(
-                    F.struct(F.col("from_day").alias("at"), old.alias("v")),
-                    F.struct(F.date_add("to_day", 1).alias("at"), (-old).alias("v")),
-                )
-            ),
-        ),
-        F.col("at"),
-        oldest=F.col("v"),
-    )
-    # Usage enters the window, moves into its first month, and leaves both on the same day.
-    cents = (F.col("credits_consumed") * 100).cast("bigint")
-    none = F.lit(0).cast("bigint")
-    move = lambda after, used, early: F.struct(
-        F.lit(after).alias("after"), used.alias("used"), early.alias("early")
-    )
-    moves = F.array(
-        move(0, cents, none), move(p.window_days - p.m1_days, none, cents), move(p.window_days, -cents, -cents)
-    )
-    seen = seen.select("account_id", "usage_date", F.inline(moves))
-    usage = shaped(seen, F.date_add(F.col("usage_date"), F.col("after")), used=F.col("used"), early=F.col("early"))
-    return signed.unionByName(stretches).unionByName(usage).where(F.col("day") <= high)
-
+    zero = F.lit(0).cast("bigint")
+
+    def row(kind: int, day: str, x: Column, y: Column = zero, z: Column = zero) -> list[Column | str]:
+        cells = [c.cast("bigint").alias(n) for n, c in (("x", x), ("y", y), ("z", z))]
+        return ["account_id", F.lit(kind).alias("kind"), F.col(day).alias("at"), *cells]
+
+    rows = I.daily_deltas(contracts).select(*row(0, "day", F.col("d_n"), F.col("d_arr_cents"), F.col("d_included")))
+    if usage:
+        seen = b.valid_daily.where(F.col("usage_date") <= high)
+        if entered is not None:
+            seen = I.in_months(seen, entered, high).where(F.col("usage_date") > entered)
+        # The stretches of an account are disjoint, so a running sum holds the start day of the current one.
+        stretch = I.active_stretches(contracts)
+        old, after = I.daynum("oldest_active_start"), I.daynum(F.date_add("to_day", 1))
+        rows = rows.unionByName(stretch.select(*row(1, "from_day", old, after)))
+        rows = rows.unionByName(seen.select(*row(2, "usage_date", F.col("credits_consumed") * 100)))
+    # A stretch unfolds to many days, so the input bytes that adaptive coalescing goes by say little about this stage;
+    # the session's own number of partitions is kept.
+    rows = rows.repartition(int(b.spark.conf.get("spark.sql.shuffle.partitions")), "account_id")
+    at, x, y, z = (F.col(c) for c in ("at", "x", "y", "z"))
+
+    def change(day: Column, **cells: Column) -> Column:
+        return F.struct(day.alias("day"), *[cells.get(n, zero).alias(n) for n in CELLS])
+
+    change_days = F.when(F.col("kind") == 0, F.array(change(at, n=x, arr=y, included=z)))
+    if usage:
+        # Usage enters the window, moves into its first month, and leaves both on the same day.
+        ended = F.date_add(F.lit(date(1970, 1, 1)), y.cast("int"))
+        change_days = change_days.when(F.col("kind") == 1, F.array(change(at, oldest=x), change(ended, oldest=-x))).otherwise(
+            F.array(
+                change(at, used=x),
+                change(F.date_add(at, p.window_days - p.m1_days), early=x),
+                change(F.date_add(at, p.window_days), used=-x, early=-x),
+            )
+        )
+    return rows.select("account_id", F.inline(change_days)).where(F.col("day") <= high)
 
-def daily_state(b, request: tuple[Days, Bound | None, Bound], attributes: DataFrame | None = None) -> DataFrame:
-    """Per account and requested day on which it has an active contract: contract sums and window usage.
 
-    ``attributes`` (one row per account) join the stretches, which are far fewer than the days they unfold to.
-    """
+def _stretches(b, request: tuple[Days, Bound | None, Bound], usage: bool = True) -> DataFrame:
+    """Per account the stretches (since, until) with an active contract over which nothing changes and that hold a requested day."""
     days, low, high = request
     high = I.as_day(high)
     line = W.partitionBy("account_id").orderBy("day")
     run = line.rowsBetween(W.unboundedPreceding, 0)
-    total = lambda c: F.sum(c).over(run).alias(c)
-    # A stretch unfolds to many days, so the input bytes that adaptive coalescing goes by say little about this stage;
-    # the session's own number of partitions is kept.
-    partitions = int(b.spark.conf.get("spark.sql.shuffle.partitions"))
     # Of several changes on one day only the last has days before the next change, and it holds them all.
-    held = _changes(b, low, high).repartition(partitions, "account_id").select(
+    held = _changes(b, low, high, usage).select(
         "account_id",
         F.col("day").alias("since"),
         F.coalesce(F.date_sub(F.lead("day").over(line), 1), high).alias("until"),
-        *[total(c) for c in ("n", "arr", "included", "oldest", "used", "early")],
+        *[F.sum(c).over(run).alias(c) for c in (CELLS if usage else CELLS[:3])],
     )
-    money = lambda c: (F.col(c).cast("decimal(26,0)") / 100).cast("decimal(28,2)")
     begin = F.col("since") if low is None else F.greatest(F.col("since"), I.as_day(low))
     held = held.where((F.col("n") > 0) & (F.col("until") >= begin))
-    carried = []
-    if attributes is not None:
-        carried = [c for c in attributes.columns if c != "account_id"]
-        held = held.join(attributes, "account_id")
-    return held.select(
+    return held.where(F.size(days(F.col("since"), F.col("until"))) > 0)
+
+
+def _money(cents: str) -> Column:
+    return (F.col(cents).cast("decimal(26,0)") * F.lit(Decimal("0.01"))).cast("decimal(28,2)")
+
+
+def active_days(b, low: Bound, high: Bound) -> DataFrame:
+    """Contract sums per account and day of [low, high] on which it has an active contract, from contract changes alone.
+
+    The sums are worked out, as they are published, once per stretch; a day is only a copy of its stretch.
+    """
+    days, *_ = request = every_day(low, high)
+    sums = _stretches(b, request, usage=False).select(
         "account_id",
-        *carried,
-        F.explode(days(F.col("since"), F.col("until"))).alias("day"),
-        F.date_add(F.lit(date(1970, 1, 1)), F.col("oldest").cast("int")).alias("oldest_active_start"),
-        F.col("n").alias("n_active_contracts"),
-        money("arr").alias("active_committed_arr"),
-        F.col("included").alias("included_monthly_credits"),
-        money("used").alias("credits_90d"),
-        money("early").alias("credits_month_1"),
+        days(F.col("since"), F.col("until")).alias("days"),
+        _money("arr").alias("committed_arr_on_day"),
+        (F.col("included") / 30.0).alias("daily_included_credits"),
+        F.col("n").alias("active_contract_count"),
+        (F.col("n") > 1).alias("has_overlap_on_day"),
     )
+    constant = [c for c in sums.columns if c not in ("account_id", "days")]
+    return publish_early(sums, constant).select("account_id", F.explode("days").alias("day"), *constant)
 
 
-def metric_on(b, request: tuple[Days, Bound | None, Bound]) -> DataFrame:
-    """(account, day) metric with band and account attributes."""
+def metric_on(b, request: tuple[Days, Bound | None, Bound], published: bool = False) -> DataFrame:
+    """(account, day) metric with band and account attributes.
+
+    All but the day and the age of the contract is worked out once per stretch: a stretch is cut on the day from which the age
+    lets a spike count, the only use that the score makes of the age. ``published`` also rounds these columns there, as
+    ``edges.publish`` would on each day.
+    """
     p = b.p
-    state = (
-        daily_state(b, request, b.stg_accounts)
-        .withColumn("contract_age_days", F.datediff("day", "oldest_active_start").cast("bigint"))
-        .withColumn("utilization_u", S.utilization(F.col("credits_90d"), F.col("included_monthly_credits")))
-        .withColumn("m1_share", S.share(F.col("credits_month_1"), F.col("credits_90d")))
+    days, *_ = request
+    held = _stretches(b, request)
+    oldest = F.date_add(F.lit(date(1970, 1, 1)), F.col("oldest").cast("int"))
+    since, until, turn = F.col("since"), F.col("until"), F.date_add(oldest, p.spike_min_age)
+    piece = lambda lo, hi: F.struct(lo.alias("since"), hi.alias("until"))
+    whole = (since >= turn) | (until < turn)
+    cut = F.when(whole, F.array(piece(since, until))).otherwise(
+        F.array(piece(since, F.date_sub(turn, 1)), piece(turn, until))
     )
-    carr = F.col("active_committed_arr").cast("double") * F.col("healthscore")
-    out = (
-        models.scored(state, p).select(
-            F.col("day").alias("as_of_date"),
+    pieces = held.select("account_id", *CELLS, F.inline(cut))
+    # attributes (one row per account) join the stretches, which are far fewer than the days they unfold to
+    state = (
+        pieces.select("*", days(F.col("since"), F.col("until")).alias("days"))
+        .where(F.size("days") > 0)
+        .join(b.stg_accounts, "account_id")
+        .select(
             "account_id",
             "company_name",
             "rep_id",
             "region",
             "segment",
-            "n_active_contracts",
-            F.col("active_committed_arr").alias("committed_arr"),
-            "credits_90d",
-            "utilization_u",
-            "m1_share",
-            "healthscore",
-            carr.alias("carr"),
-            "contract_age_days",
+            "days",
+            F.date_add(F.lit(date(1970, 1, 1)), F.col("oldest").cast("int")).alias("oldest_active_start"),
+            F.col("n").alias("n_active_contracts"),
+            _money("arr").alias("committed_arr"),
+            F.col("included").alias("included_monthly_credits"),
+            _money("used").alias("credits_90d"),
+            _money("early").alias("credits_month_1"),
+            F.datediff("since", F.date_add(F.lit(date(1970, 1, 1)), F.col("oldest").cast("int"))).cast("bigint").alias("contract_age_days"),
         )
+        .withColumn("utilization_u", S.utilization(F.col("credits_90d"), F.col("included_monthly_credits")))
+        .withColumn("m1_share", S.share(F.col("credits_month_1"), F.col("credits_90d")))
+    )
+    carr = F.col("committed_arr").cast("double") * F.col("healthscore")
+    scored = models.with_band(models.scored(state, p).withColumn("carr", carr), p)
+    if published:
+        scored = publish_early(scored, ["committed_arr", "credits_90d", "utilization_u", "m1_share", "healthscore", "carr"])
+    unfolded = scored.withColumn("as_of_date", F.explode("days"))
+    return unfolded.select(
+        "as_of_date",
+        "account_id",
+        "company_name",
+        "rep_id",
+        "region",
+        "segment",
+        "n_active_contracts",
+        "committed_arr",
+        "credits_90d",
+        "utilization_u",
+        "m1_share",
+        "healthscore",
+        "carr",
+        F.datediff("as_of_date", "oldest_active_start").cast("bigint").alias("contract_age_days"),
+        "band",
     )
-    return models.with_band(out, p)
 
 
 def carr_account_day(b) -> DataFrame:
@@ -181,6 +219,11 @@ def carr_account_day(b) -> DataFrame:
     return metric_on(b, every_day(b.p.retention_from, b.p.as_of))
 
 
+def carr_account_day_published(b) -> DataFrame:
+    """``carr_account_day`` with its columns in published form."""
+    return metric_on(b, every_day(b.p.retention_from, b.p.as_of), published=True)
+
+
 def carr_account_month_end(b) -> DataFrame:
     """Every account on every month-end up to the as-of date."""
     return b.all_month_ends.withColumnRenamed("as_of_date", "month_end")

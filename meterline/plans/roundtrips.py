@@ -88,17 +88,15 @@ def retention_expire(b) -> DataFrame:
 
 def eval_report_delta_stored(b) -> DataFrame:
     """Three evaluation runs stored as a build stores them (a week before the prior as-of date, the prior as-of date and
-    the as-of date), then the report of the two latest read back from the stored table."""
-    from dataclasses import replace
+    the as-of date), then the report of the two latest read back from the stored table. All three read one written roll-up."""
     from datetime import datetime, time
 
     from . import evals
-    from .book import Book
 
     spark, p = b.spark, b.p
     folder = scratch_path(spark, "runs")
     for run_id, day in (("r1", p.prior_as_of - timedelta(days=7)), ("r2", p.prior_as_of), ("r3", p.as_of)):
-        book = b if day == p.as_of else Book(b.sources, replace(p, as_of=day))
+        book = b if day == p.as_of else b.at(day)
         results = evals.eval_results(book).withColumn("test_id", F.col("check_id")).withColumn(
             "status", F.when(F.col("passed"), "pass").otherwise("fail"))
         sinks.put_run(results, f"{folder}/eval_results", schemas.EVAL_RESULTS,
@@ -125,7 +123,7 @@ def _published(b) -> tuple[str, DataFrame]:
 
 def freeze_write(b) -> DataFrame:
     """Published months with their totals after a second write was tried."""
-    path, rows = _published(b)
+    path, rows = _published(b.rolled)
     again = sinks.publish_months(rows.withColumn("carr", F.lit(0.0)), path)
     refused = b.spark.createDataFrame([(m,) for m in again], "month_end date").withColumn("refused", F.lit(True))
     kept = b.spark.read.parquet(path).groupBy("month_end").agg(
@@ -143,7 +141,7 @@ def freeze_digest_check(b) -> DataFrame:
 
     path, _ = _published(b)
     logs = b.sources["daily_usage_logs"]
-    shuffled = dict(b.sources, daily_usage_logs=logs.repartition(17, F.rand(7)))
+    shuffled = dict(b.sources, daily_usage_logs=logs.repartition(F.xxhash64("date", "compute_credits_consumed", "account_id")))
     again = history.carr_account_month_end(Book(shuffled, b.p))
     return sinks.changed_months(again, path).select(
         "month_end", F.col("n_rows").alias("n_accounts"), F.col("matches").alias("digest_matches"))
@@ -154,7 +152,7 @@ def _backfilled(b):
     from .book import Book
 
     again = Book(b.sources, b.p)
-    again.valid_daily = b.usage_rollup.join(b.sources["accounts"].select("account_id"), "account_id", "left_semi")
+    again.valid_daily = b.rolled.usage_rollup.join(b.sources["accounts"].select("account_id"), "account_id", "left_semi")
     return again
 
 
@@ -163,7 +161,7 @@ def restatement_diff(b) -> DataFrame:
 
     Differences above 500 dollars need a restatement, smaller ones a note.
     """
-    path, _ = _published(b)
+    path, _ = _published(b.rolled)
     diff = history.restatement_diff(b.spark.read.parquet(path), history.carr_account_month_end(_backfilled(b)), 500.0)
     table = scratch_path(b.spark, "restatements")
     sinks.append_results(diff, table, schemas.RESTATEMENTS, {"rationale": F.lit("usage backfill")})
@@ -172,7 +170,7 @@ def restatement_diff(b) -> DataFrame:
 
 def restatement_by_rep(b) -> DataFrame:
     """Reps of published months that the same backfill would move; above 5,000 dollars they need a restatement."""
-    path, _ = _published(b)
+    path, _ = _published(b.rolled)
     old, new = b.spark.read.parquet(path), history.carr_account_month_end(_backfilled(b))
     return history.restatement_diff(history.carr_per_rep(old), history.carr_per_rep(new), 5000.0, "rep_id")
 

@@ -9,11 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
+from ..functions.edges import publish_early
 from ..operators import intervals as I
 from ..operators import ordered as O
 from ..operators.skew import salted_join
 from ..operators.usage import reconcile
-from .history import daily_state, every_day
+from .history import active_days
 from .models import one_row
 
 
@@ -205,7 +206,7 @@ def score_modifier(b) -> DataFrame:
 
 def contract_day(b) -> DataFrame:
     """One row per contract and day it is active on within the observation window (first to last day of usage known on the as-of date)."""
-    return I.contract_days(b.stg_contracts, *b.observed)
+    return I.contract_days(publish_early(b.stg_contracts, ["annual_commit_dollars"]), *b.observed)
 
 
 def primary_contract_day(b) -> DataFrame:
@@ -214,14 +215,7 @@ def primary_contract_day(b) -> DataFrame:
 
 def account_day(b) -> DataFrame:
     """Contract sums per account and active day of the observation window, from running sums of daily changes."""
-    return daily_state(b, every_day(*b.observed)).select(
-        "account_id",
-        "day",
-        F.col("active_committed_arr").alias("committed_arr_on_day"),
-        (F.col("included_monthly_credits") / 30.0).alias("daily_included_credits"),
-        F.col("n_active_contracts").alias("active_contract_count"),
-        (F.col("n_active_contracts") > 1).alias("has_overlap_on_day"),
-    )
+    return active_days(b, *b.observed)
 
 
 def overlap_pairs(b) -> DataFrame:

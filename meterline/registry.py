@@ -44,7 +44,8 @@ PLANS: dict[str, Plan] = {
         account_day overlap_pairs overlap_non_expansion renewal_pattern overage_month_audit orphans_daily
         usage_reconcile join_anti_account_rep join_anti_contract_account join_anti_usage_account data_invariants""",
     ),
-    **_named(history, "carr_account_day carr_account_month_end carr_rep_month_end"),
+    "carr_account_day": history.carr_account_day_published,
+    **_named(history, "carr_account_month_end carr_rep_month_end"),
     **_named(quality, "dq_assertions dq_gate"),
     **_named(
         catalog,

@@ -148,6 +148,12 @@ def publish_months(df: DataFrame, path: str) -> list[date]:
     A write that fails halfway leaves nothing behind, as files are moved into place when the job commits.
     """
     closed = published_months(df.sparkSession, path)
+    if closed:
+        # the months alone first: rows of closed ones are not worked out only to be refused
+        asked = {r[0] for r in df.select("month_end").distinct().collect()}
+        refused = sorted(asked & set(closed))
+        if not asked - set(closed) - {None}:
+            return refused
     fresh = df.where(~F.col("month_end").isin(closed)) if closed else df
     fresh.hint("rebalance", F.col("month_end")).write.mode("append").partitionBy("month_end").parquet(path)
     # the digest of each month as published, from the written rows, for later runs to compare with
@@ -156,9 +162,7 @@ def publish_months(df: DataFrame, path: str) -> list[date]:
     digests = month_digest(new)
     if not digests.isEmpty():
         digests.write.mode("append").parquet(f"{path}/{DIGESTS}")
-    if not closed:
-        return []
-    return [r[0] for r in df.where(F.col("month_end").isin(closed)).select("month_end").distinct().orderBy("month_end").collect()]
+    return refused if closed else []
 
 
 #: Digests of published months, beside them; the leading underscore hides the folder from readers of the months.
