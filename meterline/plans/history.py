@@ -140,8 +140,9 @@ def active_days(b, low: Bound, high: Bound) -> DataFrame:
     sums = _stretches(b, request, usage=False).select(
         "account_id",
         days(F.col("since"), F.col("until")).alias("days"),
-        _money("arr").alias("committed_arr_on_day"),
-        (F.col("included") / 30.0).alias("daily_included_credits"),
+        # an active contract without an amount counts as 0
+        F.coalesce(_money("arr"), F.lit(0).cast("decimal(28,2)")).alias("committed_arr_on_day"),
+        (F.coalesce("included", F.lit(0)) / 30.0).alias("daily_included_credits"),
         F.col("n").alias("active_contract_count"),
         (F.col("n") > 1).alias("has_overlap_on_day"),
     )

@@ -76,3 +76,10 @@ def test_rows_of_closed_months_are_not_worked_out_again(spark, tmp_path, monkeyp
     sinks.publish_months(df, str(tmp_path / "m"))
     monkeypatch.setattr(sinks, "month_digest", lambda *_: pytest.fail("a refused month was written"))
     assert sinks.publish_months(df, str(tmp_path / "m")) == [date(2026, 1, 31)]
+
+
+def test_contract_without_amount_counts_as_zero(make_book):
+    b = make_book(CONTRACTS, USAGE)
+    b.stg_contracts = b.stg_contracts.withColumn("annual_commit_dollars", F.lit(None).cast("decimal(18,2)"))
+    got = history.active_days(b, T, T).first()
+    assert (got.committed_arr_on_day, got.active_contract_count) == (0.0, 2)
