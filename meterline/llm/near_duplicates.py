@@ -189,27 +189,29 @@ def components(edges: DataFrame) -> DataFrame:
         stars = small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct().coalesce(few).checkpoint()
 
 
-def dealt(members: DataFrame, weight: Column, most: int) -> DataFrame:
-    """Rows of ``members(block, minor, ...)`` for every pair of chunks they take part in, as ``side, job``.
+def dealt(members: DataFrame, weight: Column, most: int, at_once: int) -> DataFrame:
+    """Rows of ``members(block, minor, ...)`` for every pair of chunks they take part in, as ``side, lc, rc, job``.
 
     A block's members are dealt into as many chunks as their weight asks for; minors stand on the left side against every chunk, all
-    members on the right side against every chunk of minors. ``job`` gathers small pieces of work into even groups.
+    members on the right side against every chunk of minors. ``job`` gathers small pieces of work into even groups of about ``at_once``.
+    Members meet the numbers of their block once, for both sides, and the weight of all pieces comes from those numbers alone.
     """
-    per_block = members.groupBy("block").agg(
-        F.greatest(F.ceil(F.sum(weight) / F.lit(most)), F.lit(1)).cast("int").alias("chunks"),
-        F.greatest(F.ceil(F.sum(F.when(F.col("minor"), weight)) / F.lit(most)), F.lit(1)).cast("int").alias("minor_chunks"),
-    ).checkpoint()  # cut off, so that a large block can be split when its members meet it
-    rows = members.join(per_block, "block")
+    chunks = lambda w: F.greatest(F.ceil(F.col(w) / F.lit(most)), F.lit(1)).cast("int")
+    per_block = (
+        members.groupBy("block")
+        .agg(F.sum(weight).alias("_all"), F.coalesce(F.sum(F.when(F.col("minor"), weight)), F.lit(0)).alias("_minors"))
+        .select("block", chunks("_all").alias("chunks"), chunks("_minors").alias("minor_chunks"), "_all", "_minors")
+        .checkpoint()  # cut off, so that a large block can be split when its members meet it
+    )
+    total = per_block.agg(F.sum(F.expr("_minors * chunks + _all * minor_chunks"))).first()[0] or 0
+    jobs = max(1, -(-int(total) // at_once))
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.filter("minor").withColumn("side", F.lit(0)).withColumn("lc", own("minor_chunks")).withColumn("rc", every("chunks"))
-    right = rows.withColumn("side", F.lit(1)).withColumn("rc", own("chunks")).withColumn("lc", every("minor_chunks"))
-    return left.unionByName(right).drop("chunks", "minor_chunks")
-
-
-def grouped(rows: DataFrame, weight: Column, most: int) -> DataFrame:
-    total = rows.agg(F.sum(weight)).first()[0] or 0
-    jobs = max(1, -(-int(total) // most))
+    piece = lambda side, lc, rc: F.struct(F.lit(side).alias("side"), lc.alias("lc"), rc.alias("rc"))
+    every = lambda n, of: F.transform(F.sequence(F.lit(0), F.col(n) - 1), of)
+    left = every("chunks", lambda c: piece(0, own("minor_chunks"), c))
+    right = every("minor_chunks", lambda c: piece(1, c, own("chunks")))
+    rows = members.join(per_block.drop("_all", "_minors"), "block")
+    rows = rows.select(*members.columns, F.inline(F.when(F.col("minor"), F.concat(left, right)).otherwise(right)))
     return rows.withColumn("job", F.pmod(F.xxhash64("block", "lc", "rc"), F.lit(jobs)))
 
 
@@ -253,7 +255,7 @@ def hopeful(members: DataFrame, percent: int) -> DataFrame:
         empty = [np.zeros(0, np.int64)]
         return pa.table({"block": np.concatenate(blocks + empty), "rep": np.concatenate(reps + empty)})
 
-    rows = grouped(dealt(members, F.lit(1), CHUNK), F.lit(1), ROWS_AT_ONCE)
+    rows = dealt(members, F.lit(1), CHUNK, ROWS_AT_ONCE)
     found = rows.groupBy("job").applyInArrow(look, "block long, rep long").distinct()
     return members.drop("sketch").join(found, ["block", "rep"])
 
@@ -278,7 +280,7 @@ def rest_links(members: DataFrame, docs: DataFrame, words: int, percent: int) ->
                     a.append(np.full(len(first), ids[at + i]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    rows = grouped(dealt(members, F.col("n"), CHUNK_SHINGLES), F.col("n"), 2 * CHUNK_SHINGLES)
+    rows = dealt(members, F.col("n"), CHUNK_SHINGLES, 2 * CHUNK_SHINGLES)
     rows = rows.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
     return rows.groupBy("job").applyInArrow(look, "a long, b long")
 

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from meterline.llm import near_duplicates as nd
 
@@ -134,3 +135,21 @@ def test_stage_leaves_one_of_repeated_rows_and_null_ids(spark):
     assert out.columns == docs.columns
     assert [(r.doc_id, r.text) for r in got] == [(1, text), (7, None), (8, ""), (None, other)]
     assert got[0]._row == "a"
+
+
+def test_members_meet_their_block_once(spark):
+    """Both sides of the pieces of work come from one join, and every minor meets every other member of its block in one piece."""
+    rnd = random.Random(15)
+    sizes = {1: 40, 2: 3, 3: 1, 4: 25}
+    rows = [(b, 100 * b + i, rnd.randint(1, 9), i % 3 == 0) for b, n in sizes.items() for i in range(n)]
+    rows += [(5, 500 + i, 2, False) for i in range(4)]
+    members = spark.createDataFrame(rows, "block long, rep long, n long, minor boolean")
+    out = nd.dealt(members, F.col("n"), 20, 60)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    left, right, jobs = {}, {}, {}
+    for r in out.collect():
+        ({0: left, 1: right}[r.side]).setdefault((r.block, r.lc, r.rc), []).append(r.rep)
+        jobs.setdefault((r.block, r.lc, r.rc), set()).add(r.job)
+    met = sorted((x, y) for k, xs in left.items() for x in xs for y in right.get(k, []))
+    assert met == sorted((x[1], y[1]) for x in rows if x[3] for y in rows if x[0] == y[0])
+    assert all(len(j) == 1 for j in jobs.values()) and len({j for js in jobs.values() for j in js}) > 2
