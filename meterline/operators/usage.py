@@ -54,6 +54,14 @@ def classify_daily(daily: DataFrame, spans: DataFrame) -> DataFrame:
     return daily.join(spans, "account_id", "left").select(*daily.columns, usage_class().alias("usage_class"))
 
 
+def daily_of_classified(logs: DataFrame) -> DataFrame:
+    """The rows of ``classify_daily`` from logs that carry their class, which their account and day decide: no second look at the spans."""
+    return logs.groupBy("account_id", "usage_date", "usage_class").agg(
+        F.count("*").alias("n_logs"),
+        F.sum("credits_consumed").alias("credits_consumed"),
+    ).select("account_id", "usage_date", "n_logs", "credits_consumed", "usage_class")
+
+
 def valid_only(daily: DataFrame, spans: DataFrame) -> DataFrame:
     """The valid rows of ``classify_daily``, as an inner join that drops the rest before it is widened."""
     inside = spans.where(F.col("earliest_start").isNotNull())

@@ -1,7 +1,7 @@
 """Full refresh of a snapshot: writes every table, then reads the marts back for the checks.
 
-The shared roll-ups are written first and the later tables read them, so the raw usage logs are scanned twice in
-a run: once for the (account, day) roll-up and once for the row-level orphan table.
+The shared roll-ups are written first and the later tables read them. The usage logs are classified once, for the row-level
+orphan table; the (account, day) roll-up is summed from that table, class included.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import usage as U
 from ..params import Params
 from ..session import build_session
 from ..sources import schemas
@@ -51,6 +52,8 @@ def write_all(
         setattr(book, name, read_table(spark, path))
         if name == "stg_daily_usage_logs":
             book.stg_daily_usage_logs = book.stg_daily_usage_logs.drop("usage_month")
+        if name == "int_orphan_usage":
+            book.usage_daily = U.daily_of_classified(book.int_orphan_usage)
         if name == "usage_daily":
             book.usage_rollup = book.usage_daily.drop("usage_class")
             book.valid_daily = book.usage_daily.where("usage_class = 'valid'").drop("usage_class")

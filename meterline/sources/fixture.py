@@ -71,7 +71,15 @@ def contracts(spark: SparkSession, folder: str) -> DataFrame:
 
 def daily_usage_logs(spark: SparkSession, folder: str) -> DataFrame:
     """All line items. Some carry no account, and every tenth customer reports under an unknown account."""
-    day = F.to_date("l_shipdate")
+    # day and credits are made before the join, so that what is shuffled for it is no wider than what is kept
+    lines = _read(spark, folder, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+        F.to_date("l_shipdate").alias("day"),
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("credits"),
+    )
     owner = (
         F.when(F.col("l_orderkey") % 499 == 0, F.lit(None).cast("string"))
         .when(F.col("o_custkey") % 10 == 0, padded("ACC9", F.col("o_custkey"), 7))
@@ -79,15 +87,14 @@ def daily_usage_logs(spark: SparkSession, folder: str) -> DataFrame:
     )
     holder = _read(spark, folder, "orders").select("o_orderkey", "o_custkey")
     return (
-        _read(spark, folder, "lineitem")
-        .join(holder, F.col("l_orderkey") == F.col("o_orderkey"))
+        lines.join(holder, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             F.concat_ws(
-                "-", F.lit("UL"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", day.cast("string")
+                "-", F.lit("UL"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("day").cast("string")
             ).alias("log_id"),
             owner.alias("account_id"),
-            day.alias("date"),
-            F.col("l_extendedprice").cast("decimal(18,2)").alias("compute_credits_consumed"),
+            F.col("day").alias("date"),
+            F.col("credits").alias("compute_credits_consumed"),
         )
     )
 

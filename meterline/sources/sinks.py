@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Of the tables of a snapshot; their ids and keys take about a third less room than in the default codec.
+CODEC = "zstd"
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """Replace the whole table; running it twice gives the same table."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", CODEC).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -44,6 +48,7 @@ def write_usage(df: DataFrame, path: str, day: str = "usage_date") -> None:
         by_month(df, day)
         .sortWithinPartitions("usage_month", "account_id")
         .write.mode("overwrite")
+        .option("compression", CODEC)
         .partitionBy("usage_month")
         .parquet(path)
     )
@@ -54,13 +59,14 @@ def write_usage(df: DataFrame, path: str, day: str = "usage_date") -> None:
 
 def write_index(rows: DataFrame, path: str, months: list[date] | None = None) -> None:
     """The id index of ``rows`` (log_id, usage_month); with ``months`` only those months' index partitions are replaced,
-    and a listed month without rows gets an empty one."""
-    index = rows.select(F.xxhash64("log_id").alias("h"), "usage_month").hint("rebalance", F.col("usage_month"))
-    index = index.sortWithinPartitions("usage_month", "h")
-    writer = index.write.mode("overwrite").partitionBy("usage_month")
+    and a listed month without rows gets an empty one. Without ``months`` the rows are a written table's, whose files hold a month
+    each, so every task writes the index of its own files and nothing is shuffled."""
+    index = rows.select(F.xxhash64("log_id").alias("h"), "usage_month")
     if months is None:
-        writer.parquet(f"{path}/{LOG_INDEX}")
+        index.sortWithinPartitions("usage_month", "h").write.mode("overwrite").partitionBy("usage_month").parquet(f"{path}/{LOG_INDEX}")
         return
+    index = index.hint("rebalance", F.col("usage_month")).sortWithinPartitions("usage_month", "h")
+    writer = index.write.mode("overwrite").partitionBy("usage_month")
     writer.option("partitionOverwriteMode", "dynamic").parquet(f"{path}/{LOG_INDEX}")
     held = {r[0] for r in rows.select("usage_month").distinct().collect()}
     for month in sorted(set(months) - held):

@@ -4,10 +4,12 @@ from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from meterline.functions.edges import publish, publish_early
 from meterline.operators.skew import salted_join
-from meterline.plans import evals, history, variants
+from meterline.operators import usage as U
+from meterline.plans import build, evals, history, variants
 from meterline.sources import sinks
 
 T = date(2026, 4, 18)
@@ -83,3 +85,21 @@ def test_contract_without_amount_counts_as_zero(make_book):
     b.stg_contracts = b.stg_contracts.withColumn("annual_commit_dollars", F.lit(None).cast("decimal(18,2)"))
     got = history.active_days(b, T, T).first()
     assert (got.committed_arr_on_day, got.active_contract_count) == (0.0, 2)
+
+
+def test_logs_of_a_snapshot_are_classified_once(spark, make_book, tmp_path, monkeypatch):
+    """The daily roll-up is summed from the classified logs, and the id index is written without a shuffle."""
+    usage = [*USAGE, ("L6", "A1", date(2026, 4, 1), "0.25"), ("L7", None, date(2026, 4, 2), "3.00")]
+    b = make_book(CONTRACTS, usage)
+    want = b.usage_daily.collect()
+    monkeypatch.setattr(U, "classify_daily", lambda *_: pytest.fail("the logs are classified again"))
+    stored = build.write_all(spark, b.sources, str(tmp_path), b.p)
+    assert sorted(map(str, stored.usage_daily.select(*b.usage_daily.columns).collect())) == sorted(map(str, want))
+    assert stored.usage_daily.schema["credits_consumed"].dataType == b.usage_daily.schema["credits_consumed"].dataType
+    hinted = []
+    monkeypatch.setattr(DataFrame, "hint", lambda self, name, *a, f=DataFrame.hint: hinted.append(name) or f(self, name, *a))
+    sinks.write_index(spark.read.parquet(str(tmp_path / "stg_daily_usage_logs")), str(tmp_path / "other"))
+    assert not hinted
+    rows = sinks.read_index(spark, str(tmp_path / "other")).collect()
+    logs = b.stg_daily_usage_logs.select(F.xxhash64("log_id"), F.trunc("usage_date", "month")).collect()
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, map(tuple, logs)))
