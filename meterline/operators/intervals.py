@@ -136,6 +136,30 @@ def active_stretches(contracts: DataFrame) -> DataFrame:
     )
 
 
+def totals_by_dates(contracts: DataFrame) -> DataFrame:
+    """(account_id, start_date, end_date, n, arr_cents, included): contracts of the same dates added up, money in whole cents."""
+    return (
+        contracts.where(F.col("end_date") >= F.col("start_date"))
+        .groupBy("account_id", "start_date", "end_date")
+        .agg(
+            F.count("*").alias("n"),
+            F.sum((F.col("annual_commit_dollars") * 100).cast("bigint")).alias("arr_cents"),
+            F.sum("included_monthly_credits").alias("included"),
+        )
+    )
+
+
+def with_stretch(totals: DataFrame) -> DataFrame:
+    """Adds ``from_day`` to rows unique in (account_id, start_date, end_date): the first day of the stretch that ``active_stretches``
+    has for this start day. It ends with the row; rows that own no stretch have NULL."""
+    line = W.partitionBy("account_id").orderBy("start_date", F.desc("end_date"))
+    older_end = F.max("end_date").over(line.rowsBetween(W.unboundedPreceding, -1))
+    first = ~F.lag("start_date").over(line).eqNullSafe(F.col("start_date"))
+    found = totals.select("*", first.alias("_first"), F.greatest("start_date", F.date_add(older_end, 1)).alias("_from"))
+    owned = F.col("_first") & (F.col("_from") <= F.col("end_date"))
+    return found.withColumn("from_day", F.when(owned, F.col("_from"))).drop("_first", "_from")
+
+
 def max_concurrency(contracts: DataFrame, low: date, high: date) -> DataFrame:
     """(account_id, max_active): the most contracts active on one day of [low, high]."""
     deltas = daily_deltas(clip(contracts, low, high))

@@ -22,11 +22,17 @@ from ..sources.sinks import read_table
 from . import history, models, variants
 
 
+#: Rows of the written roll-up for each task that works on whole accounts: three changes of each fit a task's share of memory
+#: many times, so that their sort does not spill.
+ROLLUP_ROWS = 250_000
+
+
 class Book:
     def __init__(self, sources: dict[str, DataFrame], params: Params | None = None):
         self.sources = sources
         self.p = params or Params()
         self._facts_of: Book | None = None
+        self._least_tasks = 0
 
     @classmethod
     def stored(cls, spark: SparkSession, sources: dict[str, DataFrame], folder: str, params: Params | None = None):
@@ -53,6 +59,12 @@ class Book:
         self.movement_metric = in_months(daily, *two).where(F.col("as_of_date").isin(two)).drop("usage_month")
         return self
 
+    @property
+    def account_tasks(self) -> int:
+        """Number of tasks that accounts are dealt out to. A stretch unfolds to many days, so the input bytes that adaptive coalescing
+        goes by say little about their work; the session's own number is kept, or more for a large written roll-up."""
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self._least_tasks)
+
     @cached_property
     def rolled(self) -> Book:
         """The same book over a roll-up that is written once, for reports that read it more than once."""
@@ -79,9 +91,19 @@ class Book:
         """The book of another as-of date over the same written roll-up, which does not depend on that date."""
         book = Book(self.sources, replace(self.p, as_of=as_of))
         book.usage_rollup = self.rolled.usage_rollup
+        book._least_tasks = self._rollup_tasks
+        if book.account_tasks == book._least_tasks:
+            # dealt out before the lookup of the spans, which by itself would use the session's number
+            usage, spans = (df.repartition(book.account_tasks, "account_id") for df in (book.usage_rollup, book.spans))
+            book.valid_daily = U.valid_only(usage, spans)
         book.rolled = book
         return book
 
+    @cached_property
+    def _rollup_tasks(self) -> int:
+        # the count comes from the footers of the written files
+        return -(-self.rolled.usage_rollup.count() // ROLLUP_ROWS)
+
     @cached_property
     def log_facts(self) -> DataFrame:
         """One checkpointed row with all that the checks ask of the raw logs, in one scan, but for their distinct ids."""

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions.edges import carr_sum, publish_early
 from ..operators import intervals as I
+from ..sources import sinks
 from . import models
 
 Days = Callable[[Column, Column], Column]
@@ -59,11 +60,11 @@ CELLS = ("n", "arr", "included", "oldest", "used", "early")
 def _changes(b, low: Bound | None, high: Bound, usage: bool = True) -> DataFrame:
     """(account_id, day, n, arr, included, oldest, used, early): what changes on that day; money in cents.
 
-    An account's rows are brought together as they are, one per contract change, stretch or day of usage, and only then
-    turned into changes, so that a day of usage travels once and not once per change that it makes. Without ``usage`` the
-    last three stay 0.
+    An account's rows are brought together as they are, one per contract dates or day of usage, and only then turned into
+    changes, so that a day of usage travels once and not once per change that it makes. Contracts and usage are dealt out
+    alike, so their union needs no further shuffle. Without ``usage`` the last three stay 0.
     """
-    p = b.p
+    p, tasks = b.p, b.account_tasks
     high = I.as_day(high)
     contracts = b.stg_contracts.where(F.col("start_date") <= high)
     entered = None
@@ -73,40 +74,38 @@ def _changes(b, low: Bound | None, high: Bound, usage: bool = True) -> DataFrame
         contracts = contracts.where(F.col("end_date") >= low)
     zero = F.lit(0).cast("bigint")
 
-    def row(kind: int, day: str, x: Column, y: Column = zero, z: Column = zero) -> list[Column | str]:
-        cells = [c.cast("bigint").alias(n) for n, c in (("x", x), ("y", y), ("z", z))]
-        return ["account_id", F.lit(kind).alias("kind"), F.col(day).alias("at"), *cells]
-
-    rows = I.daily_deltas(contracts).select(*row(0, "day", F.col("d_n"), F.col("d_arr_cents"), F.col("d_included")))
-    if usage:
-        seen = b.valid_daily.where(F.col("usage_date") <= high)
-        if entered is not None:
-            seen = I.in_months(seen, entered, high).where(F.col("usage_date") > entered)
-        # The stretches of an account are disjoint, so a running sum holds the start day of the current one.
-        stretch = I.active_stretches(contracts)
-        old, after = I.daynum("oldest_active_start"), I.daynum(F.date_add("to_day", 1))
-        rows = rows.unionByName(stretch.select(*row(1, "from_day", old, after)))
-        rows = rows.unionByName(seen.select(*row(2, "usage_date", F.col("credits_consumed") * 100)))
-    # A stretch unfolds to many days, so the input bytes that adaptive coalescing goes by say little about this stage;
-    # the session's own number of partitions is kept.
-    rows = rows.repartition(int(b.spark.conf.get("spark.sql.shuffle.partitions")), "account_id")
-    at, x, y, z = (F.col(c) for c in ("at", "x", "y", "z"))
-
     def change(day: Column, **cells: Column) -> Column:
-        return F.struct(day.alias("day"), *[cells.get(n, zero).alias(n) for n in CELLS])
-
-    change_days = F.when(F.col("kind") == 0, F.array(change(at, n=x, arr=y, included=z)))
-    if usage:
-        # Usage enters the window, moves into its first month, and leaves both on the same day.
-        ended = F.date_add(F.lit(date(1970, 1, 1)), y.cast("int"))
-        change_days = change_days.when(F.col("kind") == 1, F.array(change(at, oldest=x), change(ended, oldest=-x))).otherwise(
-            F.array(
-                change(at, used=x),
-                change(F.date_add(at, p.window_days - p.m1_days), early=x),
-                change(F.date_add(at, p.window_days), used=-x, early=-x),
-            )
-        )
-    return rows.select("account_id", F.inline(change_days)).where(F.col("day") <= high)
+        return F.struct(day.alias("day"), *[cells.get(n, zero).cast("bigint").alias(n) for n in CELLS])
+
+    def inlined(rows: DataFrame, changes: Column) -> DataFrame:
+        return rows.select("account_id", F.inline(changes)).where(F.col("day") <= high)
+
+    if not usage:
+        deltas = I.daily_deltas(contracts).repartition(tasks, "account_id")
+        sums = {"n": F.col("d_n"), "arr": F.col("d_arr_cents"), "included": F.col("d_included")}
+        return inlined(deltas, F.array(change(F.col("day"), **sums)))
+    # The stretches of an account are disjoint, so a running sum holds the start day of the current one.
+    held = I.with_stretch(I.totals_by_dates(contracts).repartition(tasks, "account_id"))
+    old, ended = I.daynum("start_date"), F.date_add("end_date", 1)
+    # an amount that is missing counts as 0
+    sums = {"n": F.col("n"), "arr": F.coalesce("arr_cents", zero), "included": F.coalesce("included", zero)}
+    terms = F.array(change(F.col("start_date"), **sums), change(ended, **{c: -x for c, x in sums.items()}))
+    stretch = F.array(change(F.col("from_day"), oldest=old), change(ended, oldest=-old))
+    of_contracts = inlined(held, F.when(F.col("from_day").isNull(), terms).otherwise(F.concat(terms, stretch)))
+    seen = b.valid_daily.where(F.col("usage_date") <= high)
+    if entered is not None:
+        seen = I.in_months(seen, entered, high).where(F.col("usage_date") > entered)
+    # Spark leaves this shuffle out where the usage comes from a join that has dealt it out so already
+    used = seen.select("account_id", "usage_date", (F.col("credits_consumed") * 100).cast("bigint").alias("cents"))
+    used = used.repartition(tasks, "account_id")
+    # Usage enters the window, moves into its first month, and leaves both on the same day.
+    x, at = F.col("cents"), F.col("usage_date")
+    of_usage = inlined(used, F.array(
+        change(at, used=x),
+        change(F.date_add(at, p.window_days - p.m1_days), early=x),
+        change(F.date_add(at, p.window_days), used=-x, early=-x),
+    ))
+    return of_contracts.unionByName(of_usage)
 
 
 def _stretches(b, request: tuple[Days, Bound | None, Bound], usage: bool = True) -> DataFrame:
@@ -150,12 +149,13 @@ def active_days(b, low: Bound, high: Bound) -> DataFrame:
     return publish_early(sums, constant).select("account_id", F.explode("days").alias("day"), *constant)
 
 
-def metric_on(b, request: tuple[Days, Bound | None, Bound], published: bool = False) -> DataFrame:
+def metric_on(b, request: tuple[Days, Bound | None, Bound], published: bool = False, gathered: bool = False) -> DataFrame:
     """(account, day) metric with band and account attributes.
 
     All but the day and the age of the contract is worked out once per stretch: a stretch is cut on the day from which the age
     lets a spike count, the only use that the score makes of the age. ``published`` also rounds these columns there, as
-    ``edges.publish`` would on each day.
+    ``edges.publish`` would on each day. With ``gathered`` the rows of a quarter are brought together, sorted by day, for a writer by
+    day: as sums and attributes, from which the score and what follows from it are worked out after that shuffle.
     """
     p = b.p
     days, *_ = request
@@ -169,24 +169,35 @@ def metric_on(b, request: tuple[Days, Bound | None, Bound], published: bool = Fa
     )
     pieces = held.select("account_id", *CELLS, F.inline(cut))
     # attributes (one row per account) join the stretches, which are far fewer than the days they unfold to
-    state = (
+    sums = (
         pieces.select("*", days(F.col("since"), F.col("until")).alias("days"))
         .where(F.size("days") > 0)
         .join(b.stg_accounts, "account_id")
-        .select(
+        .select("account_id", "company_name", "rep_id", "region", "segment", *CELLS, "since", "days")
+    )
+    at, kept = "since", "days"
+    if gathered:
+        at = kept = "as_of_date"
+        sums = sums.withColumn(at, F.explode("days")).drop("since", "days").withColumn("_quarter", F.trunc(at, "quarter"))
+        # an account's days of a quarter lie side by side, so what they share is compressed away
+        sums = sums.hint("rebalance", F.col("_quarter")).drop("_quarter")
+        # in the order that a writer by day asks for, so that it need not sort the wider rows
+        sums = sums.sortWithinPartitions(at)
+    state = (
+        sums.select(
             "account_id",
             "company_name",
             "rep_id",
             "region",
             "segment",
-            "days",
+            kept,
             F.date_add(F.lit(date(1970, 1, 1)), F.col("oldest").cast("int")).alias("oldest_active_start"),
             F.col("n").alias("n_active_contracts"),
             _money("arr").alias("committed_arr"),
             F.col("included").alias("included_monthly_credits"),
             _money("used").alias("credits_90d"),
             _money("early").alias("credits_month_1"),
-            F.datediff("since", F.date_add(F.lit(date(1970, 1, 1)), F.col("oldest").cast("int"))).cast("bigint").alias("contract_age_days"),
+            F.datediff(at, F.date_add(F.lit(date(1970, 1, 1)), F.col("oldest").cast("int"))).cast("bigint").alias("contract_age_days"),
         )
         .withColumn("utilization_u", S.utilization(F.col("credits_90d"), F.col("included_monthly_credits")))
         .withColumn("m1_share", S.share(F.col("credits_month_1"), F.col("credits_90d")))
@@ -195,7 +206,7 @@ def metric_on(b, request: tuple[Days, Bound | None, Bound], published: bool = Fa
     scored = models.with_band(models.scored(state, p).withColumn("carr", carr), p)
     if published:
         scored = publish_early(scored, ["committed_arr", "credits_90d", "utilization_u", "m1_share", "healthscore", "carr"])
-    unfolded = scored.withColumn("as_of_date", F.explode("days"))
+    unfolded = scored if gathered else scored.withColumn("as_of_date", F.explode("days"))
     return unfolded.select(
         "as_of_date",
         "account_id",
@@ -230,6 +241,12 @@ def carr_account_month_end(b) -> DataFrame:
     return b.all_month_ends.withColumnRenamed("as_of_date", "month_end")
 
 
+def publish_month_ends(b, path: str) -> list[date]:
+    """``sinks.publish_months`` of ``carr_account_month_end``, whose rows are brought together before they are scored."""
+    rows = metric_on(b, every_month_end(b.p.as_of), gathered=True).withColumnRenamed("as_of_date", "month_end")
+    return sinks.publish_months(rows, path, gathered=True)
+
+
 def carr_per_rep(month_ends: DataFrame) -> DataFrame:
     """(month_end, rep_id, carr) of an account-level month-end frame."""
     return month_ends.groupBy("month_end", "rep_id").agg(carr_sum().cast("double").alias("carr"))
@@ -244,6 +261,37 @@ def carr_rep_month_end(b) -> DataFrame:
     )
 
 
+def compare(b, old: DataFrame, new: DataFrame) -> DataFrame:
+    """One row (n_rows, n_changed): the rows of a full outer join of ``old`` and ``new`` on month and account, and those of them whose
+    carr differs.
+
+    Counted per month, account and value, so that ``new`` stays where it was worked out (its accounts are dealt out already) and
+    only ``old`` travels; a key that repeats counts all its pairs, as the join would.
+    """
+    keys = ["account_id", "month_end"]
+
+    def side(df: DataFrame, in_old: int) -> DataFrame:
+        return df.select("*", F.lit(in_old).cast("bigint").alias("n_old"), F.lit(1 - in_old).cast("bigint").alias("n_new"))
+
+    old, new = (df.select(*keys, "carr") for df in (old, new))
+    rows = side(old.repartition(b.account_tasks, "account_id"), 1).unionByName(side(new, 0))
+    n_old, n_new = F.col("n_old"), F.col("n_new")
+    values = rows.groupBy(*keys, "carr").agg(F.sum("n_old").alias("n_old"), F.sum("n_new").alias("n_new"))
+    # a row without a partner differs unless it has no value
+    valued = F.when(F.col("carr").isNull(), F.lit(0)).otherwise(n_old + n_new)
+    found = values.groupBy(*keys).agg(
+        F.sum("n_old").alias("n_old"),
+        F.sum("n_new").alias("n_new"),
+        F.sum(n_old * n_new).alias("same"),
+        F.sum(valued).alias("valued"),
+    )
+    both = (n_old > 0) & (n_new > 0)
+    zero = F.lit(0).cast("bigint")
+    n_rows = F.when(both, n_old * n_new).otherwise(n_old + n_new)
+    n_changed = F.when(both, n_old * n_new - F.col("same")).otherwise(F.col("valued"))
+    return found.agg(F.coalesce(F.sum(n_rows), zero).alias("n_rows"), F.coalesce(F.sum(n_changed), zero).alias("n_changed"))
+
+
 def restatement_diff(
     frozen: DataFrame, recomputed: DataFrame, tolerance: float = 0.0, key: str = "account_id"
 ) -> DataFrame:

@@ -11,7 +11,6 @@ from ..functions.edges import CARR_SUM
 from ..operators import ordered as O
 from ..operators.skew import salted_join
 from ..session import scratch_path
-from ..sources import sinks
 from . import history, trends
 from .evals import labelled
 from .marts import desc, money
@@ -304,11 +303,8 @@ def eval_freeze(b) -> DataFrame:
     """Month-end rows that an earlier run published against the same months computed on a later as-of date."""
     later, earlier = b.at(b.p.month_ends[-1]), b.at(b.p.month_ends[-2])
     path = scratch_path(b.spark, "published")
-    sinks.publish_months(history.carr_account_month_end(earlier), path)
-    old = b.spark.read.parquet(path).select("month_end", "account_id", F.col("carr").alias("old"))
+    history.publish_month_ends(earlier, path)
     closed = F.col("month_end") <= F.lit(earlier.p.as_of)
-    new = history.carr_account_month_end(later).where(closed).select("month_end", "account_id", F.col("carr").alias("new"))
-    both = old.join(new, ["month_end", "account_id"], "full_outer")
-    changed = F.count_if(~F.col("old").eqNullSafe(F.col("new")))
-    row = both.agg(F.count("*").alias("n_rows"), changed.alias("n_changed"))
+    new = history.carr_account_month_end(later).where(closed)
+    row = history.compare(later, b.spark.read.parquet(path), new)
     return row.withColumn("identical", F.col("n_changed") == 0)

@@ -65,5 +65,5 @@ def written_once(df: DataFrame, name: str) -> DataFrame:
     compressed, and a reader takes only the columns and rows it needs."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

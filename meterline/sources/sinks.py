@@ -148,8 +148,9 @@ def published_months(spark: SparkSession, path: str, month: str = "month_end") -
         raise
 
 
-def publish_months(df: DataFrame, path: str) -> list[date]:
+def publish_months(df: DataFrame, path: str, gathered: bool = False) -> list[date]:
     """Write the month-ends of ``df`` that aren't published yet, in one job. Returns those that are: they stay as they are.
+    ``gathered``: the rows of a month are together already.
 
     A write that fails halfway leaves nothing behind, as files are moved into place when the job commits.
     """
@@ -161,7 +162,8 @@ def publish_months(df: DataFrame, path: str) -> list[date]:
         if not asked - set(closed) - {None}:
             return refused
     fresh = df.where(~F.col("month_end").isin(closed)) if closed else df
-    fresh.hint("rebalance", F.col("month_end")).write.mode("append").partitionBy("month_end").parquet(path)
+    fresh = fresh if gathered else fresh.hint("rebalance", F.col("month_end"))
+    fresh.write.mode("append").option("compression", CODEC).partitionBy("month_end").parquet(path)
     # the digest of each month as published, from the written rows, for later runs to compare with
     written = df.sparkSession.read.parquet(path)
     new = written.where(~F.col("month_end").isin(closed)) if closed else written

@@ -8,8 +8,9 @@ from pyspark.sql.classic.dataframe import DataFrame
 
 from meterline.functions.edges import publish, publish_early
 from meterline.operators.skew import salted_join
+from meterline.operators import intervals as I
 from meterline.operators import usage as U
-from meterline.plans import build, evals, history, variants
+from meterline.plans import book, build, evals, history, spec_evals, variants
 from meterline.sources import sinks
 
 T = date(2026, 4, 18)
@@ -103,3 +104,85 @@ def test_logs_of_a_snapshot_are_classified_once(spark, make_book, tmp_path, monk
     rows = sinks.read_index(spark, str(tmp_path / "other")).collect()
     logs = b.stg_daily_usage_logs.select(F.xxhash64("log_id"), F.trunc("usage_date", "month")).collect()
     assert sorted(map(str, map(tuple, rows))) == sorted(map(str, map(tuple, logs)))
+
+
+def many_contracts(k=60):
+    """Contracts that overlap, repeat dates, leave gaps, end before they start, lack an amount, or belong to no account."""
+    day = lambda i: T - timedelta(days=i)
+    terms = (0, 20, 90, 400, -3)
+    return [(f"C{i}", ("A1", "A2", "A9")[i % 7 % 3], day(37 * i % 900), day(37 * i % 900 - terms[i % 5]), "10.50", 5 + i % 3) for i in range(k)] + [
+        ("D1", "A2", day(30), day(-10), "1.25", 1), ("D2", "A2", day(30), day(-10), "2.25", 2), ("D3", "A2", day(30), day(-40), "3.00", 0)]
+
+
+def test_stretches_of_summed_contracts(make_book):
+    b = make_book(many_contracts())
+    contracts = b.stg_contracts
+    want = I.active_stretches(contracts).select("account_id", "oldest_active_start", "from_day", "to_day")
+    got = I.with_stretch(I.totals_by_dates(contracts)).where("from_day is not null").select("account_id", "start_date", "from_day", "end_date")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+
+
+def test_usage_is_shuffled_once_for_the_changes(spark, make_book):
+    """The days of usage that were dealt out by account to look up their contracts aren't dealt out again."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan(history._changes(make_book(CONTRACTS, USAGE), None, T).groupBy("account_id").count()).splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    at = next(i for i, x in enumerate(lines) if "Join" in x and "usage_date" in x)
+    above, level = [], depth(lines[at])
+    for x in reversed(lines[:at]):
+        if depth(x) < level:
+            above, level = [*above, x], depth(x)
+    assert [x for x in above if "Union" in x] and not [x for x in above if "Exchange" in x]
+
+
+def test_score_is_worked_out_after_the_months_are_gathered(make_book):
+    b = make_book(many_contracts(), USAGE, accounts=(("A1", "Acme", "BUILDING", "R1"), ("A2", "Bolt", "BUILDING", "R2")))
+    rows = history.metric_on(b, history.every_month_end(T), gathered=True)
+    lines = plan(rows).splitlines()
+    gathered = next(i for i, x in enumerate(lines) if "REBALANCE" in x)
+    assert next(i for i, x in enumerate(lines) if "healthscore" in x) < gathered
+    assert not [x for x in lines[gathered:] if "healthscore" in x or "utilization_u" in x]
+    want = b.all_month_ends
+    assert rows.schema == want.schema
+    assert sorted(map(str, rows.collect())) == sorted(map(str, want.collect())) and rows.count() > 40
+
+
+def test_recomputed_months_stay_where_they_are(make_book):
+    """Closed months are compared without a shuffle by month of the recomputed rows, whose accounts are dealt out already."""
+    b = make_book(many_contracts(), USAGE, accounts=(("A1", "Acme", "BUILDING", "R1"), ("A2", "Bolt", "BUILDING", "R2")))
+    freeze = spec_evals.eval_freeze(b)
+    assert "Exchange hashpartitioning(month_end" not in plan(freeze) and "Exchange hashpartitioning(as_of_date" not in plan(freeze)
+    row = freeze.first()
+    months = history.carr_account_month_end(b.at(b.p.month_ends[-2])).count()
+    assert (row.n_rows, row.n_changed, row.identical) == (months, 0, True) and months > 40
+
+
+def test_compare_counts_the_rows_of_a_full_join(spark, make_book):
+    """Repeated keys count every pair, rows without a partner differ unless they have no value."""
+    b = make_book(CONTRACTS)
+    schema = "month_end date, account_id string, carr double"
+    m = [date(2026, i, 28) for i in (1, 2, 3)]
+    old = [(m[0], "A", 1.0), (m[0], "B", None), (m[1], "A", 2.0), (m[1], "A", 2.0), (m[1], "A", 3.0), (m[1], "C", 0.0), (m[2], "D", None), (m[2], "E", 5.0)]
+    new = [(m[0], "A", 1.0), (m[0], "B", None), (m[1], "A", 2.0), (m[1], "A", None), (m[1], "C", -0.0), (m[1], "F", None), (m[2], "G", 7.0), (m[2], "H", float("nan"))]
+    old, new = spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)
+    both = old.withColumnRenamed("carr", "old").join(new.withColumnRenamed("carr", "new"), ["month_end", "account_id"], "full_outer")
+    want = both.agg(F.count("*"), F.count_if(~F.col("old").eqNullSafe(F.col("new")))).first()
+    assert tuple(history.compare(b, old, new).first()) == tuple(want) == (14, 7)
+    assert tuple(history.compare(b, old.where("false"), new.where("false")).first()) == (0, 0)
+
+
+def test_large_rollups_are_dealt_to_more_tasks(make_book, monkeypatch):
+    monkeypatch.setattr(book, "ROLLUP_ROWS", 10)
+    usage = [(f"L{i}", "A1", T - timedelta(days=i), "1.00") for i in range(115)]
+    b = make_book(CONTRACTS, usage)
+    assert b.account_tasks == 8
+    later = b.at(T)
+    assert later.account_tasks == 12
+    text = plan(later.all_month_ends)
+    assert "hashpartitioning(account_id" in text
+    assert later.valid_daily.rdd.getNumPartitions() == 12
+    assert sorted(map(str, later.all_month_ends.collect())) == sorted(map(str, b.all_month_ends.collect()))
